@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fingerprints, pii
 from .common import documents
 from .sentencepiece_codec import roundtrip_digests
 
@@ -12,5 +13,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip_digests(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbour_likeness(documents(spark, sf_dir))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op5_fingerprints": op5_fingerprints, "op8_pii": op8_pii}
 ORACLES: dict[str, str] = {}
