@@ -109,3 +109,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, buckets: int, held_out: int, max_rows: int, max_bytes: int):
+    """Texts and labels to fit a classifier on: a bounded random sample of labelled rows.
+
+    Rows of the held-out fold (crc32 of the id modulo ``buckets``) never enter.
+    Ids are drawn in the order of a hash, at most ``max_rows`` of them and as
+    many as ``max_bytes`` of text allow, so what reaches the driver is bounded.
+    Rows without id, text or label are left out; of several labels of one id the
+    smallest counts.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).cast("int").alias("y"))
+    drawn = known.where(crc_mod(F.col("doc_id"), buckets) != held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("place", F.xxhash64("doc_id"))
+    ids = {r.doc_id: (r.place, r.y) for r in drawn.collect()}
+    if not ids:
+        return [], np.zeros(0, dtype=int)
+    spark = docs.sparkSession
+    picked = F.broadcast(spark.createDataFrame([(i, p) for i, (p, _) in ids.items()], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long"))
+    there = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(picked, "doc_id")
+    sizes = sorted((r.place, r.doc_id, r.size) for r in there.groupBy("doc_id", "place").agg(F.max(F.octet_length("text")).alias("size")).collect())
+    within, total = [], 0
+    for _, i, size in sizes:
+        if total + size <= max_bytes:
+            total += size
+            within.append(i)
+    chosen = F.broadcast(spark.createDataFrame([(i,) for i in within], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"))
+    rows = sorted((ids[r.doc_id][0], r.doc_id, r.text) for r in docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).collect()) if within else []
+    return [t for _, _, t in rows], np.array([ids[i][1] for _, i, _ in rows], dtype=int)
+
+
+def sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+
+
+def scored(df: DataFrame, make_score, buckets: int, held_out: int, threshold: float) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; ``make_score()`` gives a function of raw texts."""
+    kind = df.schema["doc_id"].dataType.simpleString()
+
+    def make():
+        score = make_score()
+
+        def one(batch):
+            s = np.clip(np.asarray(score(raw_texts(batch.column("text"))), dtype=float), 0.0, 1.0)
+            out = [k == held_out for k in id_bucket(batch.column("doc_id").to_pylist(), buckets)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+        return one
+
+    return per_batch(df.select("doc_id", "text"), make, f"doc_id {kind}, held_out boolean, score double, predicted int")
