@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, pii
+from . import fingerprints, pii, quality, toxicity
 from .common import documents
 from .sentencepiece_codec import roundtrip_digests
 
@@ -21,5 +21,19 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op5_fingerprints": op5_fingerprints, "op8_pii": op8_pii}
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, _labels(spark, sf_dir)))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op5_fingerprints, op6_toxicity, op8_pii)}
 ORACLES: dict[str, str] = {}

@@ -5,9 +5,8 @@ windows of ordinary text.  A window is one word between spaces, after a fixed
 lead-in that both dictionaries hold, so the compressor never falls back to a
 raw block.  A window's distance is its compressed length with the ordinary
 dictionary less that with the toxic one: a word that toxic text repeats costs a
-few bytes fewer with the toxic dictionary, ordinary words cost more.  A quick
-compression level sifts the windows; those that it doesn't rule out are
-compressed at the best level.
+few bytes fewer with the toxic dictionary, ordinary words cost more.  Distances
+are kept in a bounded memo, as most words of a corpus come again and again.
 
 Only windows that mark toxic text train the toxic dictionary: a stem (the first
 four or five bytes of a word) marks it if it stands after many different words
@@ -43,7 +42,9 @@ BUCKETS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 WINDOW = 64
 TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 4_096, 65_536
 ORDINARY_WINDOWS = 80_000
-QUICK, BEST, RULED_OUT = 3, 19, 2
+#: Segment lengths that the trainer picks: the toxic windows are short and few, the ordinary ones many.
+TOXIC_SEGMENT, ORDINARY_SEGMENT = 32, 64
+LEVEL = 19
 MARK_TEST, MARK_SHARE = 15.0, 0.9
 MEMO_WINDOWS = 300_000
 LEAD_IN = b" qzjxkvwpbyfgmuc" * 3
@@ -82,11 +83,11 @@ def marks(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
     return out
 
 
-def dictionary(words: list[bytes], size: int) -> zstandard.ZstdCompressionDict:
+def dictionary(words: list[bytes], size: int, segment: int) -> zstandard.ZstdCompressionDict:
     """A dictionary trained on windows, eight to a sample; raw content where there are too few to train on."""
     samples = [LEAD_IN + b"".join(b" " + w + b" " for w in words[i : i + 8]) for i in range(0, len(words), 8)]
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=6)
+        return zstandard.train_dictionary(size, samples, k=segment, d=6)
     except zstandard.ZstdError:
         return zstandard.ZstdCompressionDict((b"".join(samples) + LEAD_IN)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
@@ -103,8 +104,8 @@ class Distance:
 
     def _prepare(self):
         dicts = [zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT) for b, raw in self.parts]
-        settings = lambda level: zstandard.ZstdCompressionParameters.from_level(level, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.ready = [[zstandard.ZstdCompressor(dict_data=d, compression_params=settings(level)).compress for d in dicts] for level in (QUICK, BEST)]
+        settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.ready = [zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress for d in dicts]
         self.memo = TwoGenerationCache(MEMO_WINDOWS)
 
     def of(self, window: bytes) -> int:
@@ -113,16 +114,15 @@ class Distance:
         got = self.memo.get(window)
         if got is None:
             framed = LEAD_IN + b" " + window + b" "
-            (ordinary, toxic), (best_ordinary, best_toxic) = self.ready
+            ordinary, toxic = self.ready
             got = len(ordinary(framed)) - len(toxic(framed))
-            got = min(0, got) if got < RULED_OUT else len(best_ordinary(framed)) - len(best_toxic(framed))
             self.memo.put(window, got)
         return got
 
     def features(self, text: bytes) -> tuple[float, float, float]:
         """The two largest distances of different windows, and a constant."""
         found = sorted((self.of(w) for w in set(windows(text))), reverse=True)[:2]
-        return (max(0, found[0]) if found else 0, max(0, found[1]) if len(found) > 1 else 0, 1.0)
+        return (max(-8, found[0]) if found else -8, max(-8, found[1]) if len(found) > 1 else -8, 1.0)
 
 
 class Classifier:
@@ -161,7 +161,7 @@ class Classifier:
         common = sorted({w for r in ordinary for w in windows(r)})
         draw.shuffle(marking)
         draw.shuffle(common)
-        return Distance(dictionary(marking, TOXIC_DICTIONARY), dictionary(common[:ORDINARY_WINDOWS], ORDINARY_DICTIONARY))
+        return Distance(dictionary(marking, TOXIC_DICTIONARY, TOXIC_SEGMENT), dictionary(common[:ORDINARY_WINDOWS], ORDINARY_DICTIONARY, ORDINARY_SEGMENT))
 
     @staticmethod
     def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
