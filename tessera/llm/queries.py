@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, pii, quality, toxicity
+from . import fingerprints, html_extract, pii, quality, toxicity
 from .common import documents
 from .sentencepiece_codec import roundtrip_digests
 
@@ -13,6 +13,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip_digests(documents(spark, sf_dir))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbour_likeness(documents(spark, sf_dir))
 
@@ -35,5 +39,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op5_fingerprints, op6_toxicity, op8_pii)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_html, op5_fingerprints, op6_toxicity, op8_pii)}
 ORACLES: dict[str, str] = {}
