@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, pii, quality, toxicity
+from . import decontaminate, fingerprints, html_extract, pii, quality, substring_dedup, toxicity
 from .common import documents
 from .sentencepiece_codec import roundtrip_digests
 
@@ -21,6 +21,14 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbour_likeness(documents(spark, sf_dir))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(documents(spark, sf_dir))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(documents(spark, sf_dir))
 
@@ -39,5 +47,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_html, op5_fingerprints, op6_toxicity, op8_pii)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_html, op5_fingerprints, op6_toxicity, op7_substrings, op8_pii, op9_decontamination)}
 ORACLES: dict[str, str] = {}
