@@ -2,14 +2,17 @@
 
 A merge-type vocabulary gives every piece a score.  Encoding starts from single
 characters and repeatedly joins the adjacent pair whose joined piece has the
-best score (leftmost on ties); an agenda (a heap of candidate pairs) finds it
-without rescanning.  Characters outside the vocabulary become byte pieces.
+best score (leftmost on ties).  The candidate pairs form an agenda ordered by
+score: for short strings a matrix with one row for each of many strings, whose
+best entries are joined in step by numpy; for long ones a heap.  Characters
+outside the vocabulary become byte pieces.
 
 No piece of the vocabulary holds the space mark after another character, so a
 text can be cut before every run of marks and each part be encoded alone; parts
 repeat a lot and are kept in a bounded memo.  Every part that the memo lacks is
-encoded by the agenda and, batch by batch, checked against the sentencepiece
-library; should they differ, the library's ids hold and ``n_corrected`` counts it.
+encoded by the agenda and, a block of an Arrow batch at a time, checked against
+the sentencepiece library; should they differ, the library's ids hold and
+``n_corrected`` counts it.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
 null ids are kept; repeated rows are encoded each on their own; other columns
@@ -24,13 +27,18 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import TwoGenerationCache, per_batch, texts
 
 MARK = "▁"
-MEMO_PARTS = 300_000
+NONE = np.int32(2**31 - 1)
+MEMO_PARTS = 500_000
+#: Bytes of text whose parts are learnt together, and the longest part for the matrix agenda.
+BLOCK_BYTES = 2_000_000
+SHORT = 48
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -77,9 +85,110 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary has pieces across word starts")
         self.unknown = lib.unk_id()
+        self.id_text = [str(i) for i in range(n)]
+        self._pair_tables()
         self.plain = lib.normalize("  ﬁ a  b ") == "  ﬁ a  b ".replace(" ", MARK).join([MARK, ""])
         self.memo = TwoGenerationCache(MEMO_PARTS)
 
+    def _pair_tables(self) -> None:
+        """Joined piece and rank of every pair of symbols that makes a piece, behind a flat hash table."""
+        self.symbol = {c: i for c, i in self.ids.items() if len(c) == 1}
+        for p in self.ids:
+            for c in p:
+                if c not in self.symbol:
+                    self.symbol[c] = len(self.shown) + len(self.symbol)
+        self.other = 2 * len(self.shown) + len(self.symbol)
+        known = {**self.symbol, **self.ids}
+        pairs = {}
+        for p, r in self.rank.items():
+            for k in range(1, len(p)):
+                a, b = known.get(p[:k]), known.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[(a << 32) | b] = (r, self.ids[p])
+        self.keys = np.array(sorted(pairs) or [-1], dtype=np.int64)
+        found = [pairs.get(k, (0, 0)) for k in self.keys.tolist()]
+        self.key_rank = np.array([f[0] for f in found], dtype=np.int32)
+        self.key_piece = np.array([f[1] for f in found], dtype=np.int64)
+        slots = self._slot(self.keys)
+        self.first = np.zeros(1 << 20, dtype=np.int32)
+        self.first[slots[::-1]] = np.arange(len(slots) - 1, -1, -1)
+        self.shared = np.bincount(slots, minlength=1 << 20) > 1
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (or NONE) and joined piece of pairs of symbols."""
+        keys = (left << 32) | right
+        slots = self._slot(keys)
+        at = self.first[slots]
+        hit = self.keys[at] == keys
+        if len(again := np.flatnonzero(self.shared[slots] & ~hit)):
+            there = np.minimum(np.searchsorted(self.keys, keys[again]), len(self.keys) - 1)
+            at[again] = there
+            hit[again] = self.keys[there] == keys[again]
+        return np.where(hit, self.key_rank[at], NONE), self.key_piece[at]
+
+    def matrix_agenda(self, parts: list[str]) -> list[list[int]]:
+        """Ids of many parts of like length: each step joins the best pair of every row that has one."""
+        if not parts:
+            return []
+        n, width = len(parts), 1 + max(map(len, parts))
+        get, other = self.symbol.get, self.other
+        sizes = np.array([1 + len(p) for p in parts])
+        symbols = np.full((n, width), -1, dtype=np.int64)
+        inside = np.arange(width) < sizes[:, None]
+        symbols[inside] = [get(c, other) for p in parts for c in MARK + p]
+        rank = np.full((n, width), NONE, dtype=np.int32)
+        piece = np.zeros((n, width), dtype=np.int64)
+        both = np.flatnonzero(inside[:, 1:].ravel())
+        row, col = np.divmod(both, max(1, width - 1))
+        rank[row, col], piece[row, col] = self._pairs(symbols[row, col], symbols[row, col + 1])
+        spans = np.where(inside, 1, 0)
+        live = np.arange(n)
+        while len(live):
+            best = rank[live].argmin(axis=1)
+            open_ = rank[live, best] < NONE
+            live, best = live[open_], best[open_]
+            if not len(live):
+                break
+            shift = np.arange(width - 1)[None] + (np.arange(width - 1)[None] > best[:, None])
+            joined, weight = piece[live, best], spans[live, best] + spans[live, best + 1]
+            for table, last in ((symbols, -1), (rank, NONE), (piece, 0), (spans, 0)):
+                rows = table[live]
+                rows[:, :-1] = np.take_along_axis(rows, shift, axis=1)
+                rows[:, -1] = last
+                table[live] = rows
+            symbols[live, best], spans[live, best] = joined, weight
+            after = symbols[live, np.minimum(best + 1, width - 1)]
+            there = (after >= 0) & (best + 1 < width)
+            rank[live, best] = NONE
+            if there.any():
+                r, c = live[there], best[there]
+                rank[r, c], piece[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1])
+            there = best > 0
+            if there.any():
+                r, c = live[there], best[there] - 1
+                rank[r, c], piece[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1])
+        out = []
+        limit = len(self.shown)
+        for p, ids, size in zip(parts, symbols.tolist(), spans.tolist(), strict=True):
+            k = size.index(0) if 0 in size else len(size)
+            ids = ids[:k]
+            if max(ids) >= limit:
+                at, spelled, text = 0, [], MARK + p
+                for i, s in zip(ids, size, strict=False):
+                    if i < limit:
+                        spelled.append(i)
+                    else:
+                        b = [self.byte_ids[x] for x in text[at : at + s].encode()]
+                        spelled.extend([self.unknown] if None in b else b)
+                    at += s
+                ids = spelled
+            out.append(ids)
+        return out
+
     def parts(self, text: str) -> list[str]:
         """The text cut before every run of marks; each part is without its first mark."""
         if not text:
@@ -128,8 +237,13 @@ class Codec:
 
     def learn(self, new: set[str]) -> tuple[dict[str, tuple], int]:
         """Encode new parts, check them against the library in one call and keep them; also counts corrections."""
-        new = list(new)
-        made = [self.agenda(p) for p in new]
+        sized: dict[int, list[str]] = {}
+        for p in new:
+            sized.setdefault(len(p) // 4 if len(p) < SHORT else -1, []).append(p)
+        new, made = [], []
+        for size, parts in sized.items():
+            new += parts
+            made += [self.agenda(p) for p in parts] if size < 0 else self.matrix_agenda(parts)
         wrong = 0
         if self.plain:
             checked = self.library.encode([p.replace(MARK, " ") for p in new], num_threads=1)
@@ -138,28 +252,53 @@ class Codec:
                 wrong = len(differ)
                 for k in differ:
                     made[k] = checked[k]
-        shown, put, out = self.shown, self.memo.put, {}
+        shown, id_text, put, out = self.shown, self.id_text, self.memo.put, {}
         for p, ids in zip(new, made, strict=True):
-            out[p] = f = (len(ids), ",".join(map(str, ids)), b"".join([shown[i] for i in ids]))
+            out[p] = f = (len(ids), ",".join([id_text[i] for i in ids]), b"".join([shown[i] for i in ids]))
             put(p, f)
         return out, wrong
 
-    def encoded_parts(self, text: str) -> tuple[list[tuple], int]:
-        """Per part (count, ids as text, shown bytes), and the corrections that the check made."""
-        parts = self.parts(text)
-        get = self.memo.get
-        found = list(map(get, parts))
+    def encoded(self, many: list[str]):
+        """Per text its parts as (count, ids as text, shown bytes), and the corrections made for it.
+
+        Texts are taken in blocks of about BLOCK_BYTES, whose new parts are learnt together.
+        """
+        block, size = [], 0
+        for t in many:
+            block.append(t)
+            size += len(t)
+            if size >= BLOCK_BYTES:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _block(self, block: list[str]):
+        cut = [self.parts(t) for t in block]
+        young, old = self.memo.young, self.memo.old
+        found = [list(map(young.get, parts)) for parts in cut]
+        here: dict[str, tuple] = {}
+        lacking = {p for parts, f in zip(cut, found, strict=True) if None in f for p, x in zip(parts, f, strict=True) if x is None}
+        for p in [p for p in lacking if p in old]:
+            here[p] = old[p]
+        lacking.difference_update(here)
+        for p, f in here.items():
+            self.memo.put(p, f)
         wrong = 0
-        if None in found:
-            lacking = [k for k, f in enumerate(found) if f is None]
-            new, wrong = self.learn({parts[k] for k in lacking})
-            for k in lacking:
-                found[k] = new[parts[k]]
-        return found, wrong
+        if lacking:
+            new, wrong = self.learn(lacking)
+            here.update(new)
+        for parts, f in zip(cut, found, strict=True):
+            if None in f:
+                f = [here[p] if x is None else x for p, x in zip(parts, f, strict=True)]
+            yield f, wrong
+            wrong = 0
+
+    def encoded_parts(self, text: str) -> tuple[list[tuple], int]:
+        return next(iter(self._block([text])))
 
     def encode(self, text: str) -> tuple[list[int], int]:
         found, wrong = self.encoded_parts(text)
-        return [int(i) for f in found if f[0] for i in f[1].split(",")], wrong
+        return _ids(found), wrong
 
     def decode(self, ids) -> str:
         """The text of ids: marks become spaces, byte pieces join to characters, the first mark goes."""
@@ -171,6 +310,10 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
+def _ids(found: list[tuple]) -> list[int]:
+    return [int(i) for f in found if f[0] for i in f[1].split(",")]
+
+
 def _codec(model_path: str, held: dict = {}) -> Codec:  # noqa: B006 - one codec per worker process
     if model_path not in held:
         held.clear()
@@ -197,7 +340,7 @@ def _with(df: DataFrame, column: str, kind: str, f, source: str) -> DataFrame:
 def encode(df: DataFrame, text: str = "text", out: str = "ids", model_path: str | None = None) -> DataFrame:
     """Add the ids of every whole text as an array column."""
     path = model_path or default_model()
-    return _with(df, out, "array<int>", lambda c: pa.array([_codec(path).encode(t)[0] for t in texts(c)], pa.list_(pa.int32())), text)
+    return _with(df, out, "array<int>", lambda c: pa.array([_ids(f) for f, _ in _codec(path).encoded(texts(c))], pa.list_(pa.int32())), text)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model_path: str | None = None) -> DataFrame:
@@ -220,8 +363,7 @@ def roundtrip_digests(df: DataFrame, model_path: str | None = None) -> DataFrame
 
         def one(batch):
             rows = []
-            for t in texts(batch.column("text")):
-                found, wrong = codec.encoded_parts(t)
+            for found, wrong in codec.encoded(texts(batch.column("text"))):
                 shown = b"".join([f[2] for f in found])
                 shown = shown[1:] if shown[:1] == b" " else shown
                 joined = ",".join([f[1] for f in found]).encode()
