@@ -8,6 +8,7 @@ pattern matching is needed.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -87,21 +88,27 @@ class TwoGenerationCache:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints; one is chosen only where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or "/tmp/tessera-checkpoints")
-    return named or "/tmp/tessera-checkpoints"
+    """The folder that all executors share; one is chosen only where the session names none (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera-shared"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared folder, so that later jobs neither recompute nor lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(df: DataFrame) -> DataFrame:
+    """Write a frame once to the shared folder and read it back.
+
+    Later jobs read the files, so nothing before them is run again, and the
+    loss of an executor loses nothing.  :func:`drop_tables` removes them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-MASK64 = (1 << 64) - 1
+def drop_tables(spark: SparkSession) -> None:
+    """Remove what :func:`table` has written in this application; frames that read it must be done."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, html_extract, pii, quality, substring_dedup, toxicity
+from . import decontaminate, fingerprints, html_extract, language_model, pii, quality, substring_dedup, toxicity
 from .common import documents
 from .sentencepiece_codec import roundtrip_digests
 
@@ -47,5 +47,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_html, op5_fingerprints, op6_toxicity, op7_substrings, op8_pii, op9_decontamination)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_html, op5_fingerprints, op6_toxicity, op7_substrings, op8_pii, op9_decontamination, op10_language_model)}
 ORACLES: dict[str, str] = {}
