@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, html_extract, language_model, pii, quality, substring_dedup, toxicity
+from . import decontaminate, fingerprints, html_extract, jaccard_join, language_model, pii, quality, substring_dedup, toxicity
 from .common import documents
 from .sentencepiece_codec import roundtrip_digests
 
@@ -17,6 +17,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbour_likeness(documents(spark, sf_dir))
 
@@ -51,5 +55,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_html, op5_fingerprints, op6_toxicity, op7_substrings, op8_pii, op9_decontamination, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_quality, op3_html, op4_jaccard, op5_fingerprints, op6_toxicity, op7_substrings, op8_pii, op9_decontamination, op10_language_model)}
 ORACLES: dict[str, str] = {}
