@@ -337,10 +337,32 @@ def _with(df: DataFrame, column: str, kind: str, f, source: str) -> DataFrame:
     return per_batch(df, make, schema)
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "ids", model_path: str | None = None) -> DataFrame:
-    """Add the ids of every whole text as an array column."""
+def encode(df: DataFrame, text: str = "text", out: str = "ids", check: str | None = None, model_path: str | None = None) -> DataFrame:
+    """Add the ids of every whole text as an array column; ``check`` names a column for whether they decode to it."""
+    from pyspark.sql import types as T
+
     path = model_path or default_model()
-    return _with(df, out, "array<int>", lambda c: pa.array([_ids(f) for f, _ in _codec(path).encoded(texts(c))], pa.list_(pa.int32())), text)
+    kept = [c for c in df.schema.fields if c.name not in (out, check)]
+    added = f"{out} array<int>" + (f", {check} boolean" if check else "")
+    schema = T.StructType([*kept, *T._parse_datatype_string(added).fields])
+
+    def make():
+        codec = _codec(path)
+
+        def one(batch):
+            given = texts(batch.column(text))
+            ids, same = [], []
+            for t, (found, _) in zip(given, codec.encoded(given), strict=True):
+                ids.append(_ids(found))
+                if check:
+                    shown = b"".join([f[2] for f in found])
+                    same.append((shown[1:] if shown[:1] == b" " else shown) == t.replace(MARK, " ").encode())
+            cols = [*(batch.column(c.name) for c in kept), pa.array(ids, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(same)] if check else cols, names=[f.name for f in schema])
+
+        return one
+
+    return per_batch(df, make, schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model_path: str | None = None) -> DataFrame:
