@@ -8,21 +8,28 @@ Equal sets become one point.  Points far from everything are separated first:
 under one global order of shingles (sampled frequency, then hash) linked sets
 share one of their first n - ceil(0.75 n) + 1 shingles, so every such shingle
 spans a region, a point lies in the regions of its own first shingles, and
-regions without a second point go.  In every region the point of least priority
-is the pivot.  Each point is compared with the pivot that most of its regions
-have, which joins copies of a text in one round.  Regions whose points are not
-all connected by then are joined recursively: pivots are drawn in them, every
-point of another component is compared with them unless its size, or the
-triangle inequality on known distances to the region's first pivot, keeps it
-out of the window, pivots that have met all points of their region leave it,
-and regions that have become connected go.  The number of pivots grows from
-round to round.  Every pair of linked points is either compared or already
-connected, so components are exact.
+regions without a second point go; regions of the same points count as one, of
+their common weight.  In every region the point of least priority is the pivot,
+and the pivot that most of a point's regions have is its home: the cells of the
+homes are the Voronoi regions by shared shingles.  Each point is compared with
+its home, which joins the copies of a text in one round.
+
+Regions whose points are not all connected by then are joined recursively.
+Pivots are drawn in them; every point of another component that shares a region
+with a pivot is compared with it, unless it is kept out of the window by its
+size, by the weight of the regions they share (linked sets share at least so
+many first shingles), by the triangle inequality on the distances to a common
+home, or by a bitmap of the shingles, which bounds the intersection.  Pivots
+that have been compared leave all regions, regions that have become connected
+go, and the number of pivots grows from round to round.  No rule drops a linked
+pair, so every pair of linked points is compared or already connected, and
+components are exact.
 
 Frequent shingles are known from a bounded sample (``SAMPLE_DOCS``); it only
 orders shingles and spreads the rows of frequent ones, the result is the same
 for any order.  Components are found by alternating stars on distributed
-tables.  Shingles and sets are known by 64-bit hashes.
+tables, after each task has contracted the links that it holds.  Shingles and
+sets are known by 64-bit hashes.
 
 Defined results: null and empty texts have no shingles, component_id their own
 doc_id, and link with nothing; rows of one doc_id with different texts are
@@ -50,7 +57,9 @@ SAMPLE_DOCS = 8_000
 FREQUENT = 3
 SALTS = 64
 BROADCAST_ROWS = 400_000
-FIRST_PIVOTS, PIVOT_GROWTH = 1, 4
+FIRST_PIVOTS, PIVOT_GROWTH = 16, 16
+#: Bits of a bitmap for every shingle, at least, and the least and most bits.
+LEAST_BITS, MOST_BITS = 256, 65_536
 
 _BYTE = np.random.default_rng(314159).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -58,7 +67,17 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACES = np.random.default_rng(271828).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-BLOCK = 4_000_000
+
+
+def _powers(n: int, held: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006 - one table per process
+    """The first n powers of the base and of its inverse."""
+    if not held or len(held[0]) < n:
+        size = max(n, 1 << 16)
+        held[:] = [np.full(size, x, dtype=np.uint64) for x in (_BASE, _BACK)]
+        for table_ in held:
+            table_[0] = 1
+            np.cumprod(table_, out=table_)
+    return held[0][:n], held[1][:n]
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
@@ -73,13 +92,9 @@ def word_hashes(raw: bytes) -> np.ndarray:
     space = np.concatenate([[True], _SPACE[data], [True]])
     begins = np.flatnonzero(space[:-1] & ~space[1:])
     ends = np.flatnonzero(~space[:-1] & space[1:])
-    powers = np.full(len(data) + 1, _BASE, dtype=np.uint64)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[:-1], dtype=np.uint64)])
-    back = np.full(len(data) + 1, _BACK, dtype=np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
+    powers, back = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * powers[:-1], out=sums[1:])
     return mix64((sums[ends] - sums[begins]) * back[begins] + (ends - begins).astype(np.uint64))
 
 
@@ -113,18 +128,53 @@ def linked(inter, union):
     return 100 * inter >= PERCENT * union
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the id of the set (null if it is empty) of every row."""
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Bits of the low hash bits of the shingles; as many bits as twice the shingles, rounded up to a power of two."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length()))
+    held = np.zeros(bits, dtype=bool)
+    held[(shingles & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(held).tobytes()
+
+
+def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """A bound on the intersection of two sets, from their bitmaps: a bit that only one has stands for an element that only it has."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(n_a - int(_ONES[x & ~y].sum()), n_b - int(_ONES[y & ~x].sum()))
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
+
+
+def document_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n_shingles, the id of the set (null if it is empty), its first shingles with their ranks, and its bitmap."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
+        hot, counts = shipped.value
+
+        def first(shingles):
+            keep = prefix_size(len(shingles))
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+                found = hot[at] == shingles
+                if found.any():
+                    rank = np.where(found, counts[at], 0).astype(np.uint8)
+                    order = np.argsort(rank, kind="stable")[:keep]
+                    return shingles[order].tobytes() + rank[order].tobytes()
+            return shingles[:keep].tobytes() + bytes(keep)
+
         def one(batch):
             sets = [shingle_set(t) for t in raw_texts(batch.column("text"))]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "point"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([first(s) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "point", "first", "bits"])
 
         return one
 
-    return per_batch(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, point long")
+    return per_batch(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, point long, first binary, bits binary")
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -147,59 +197,39 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], n[order]
 
 
-def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def postings(sets: DataFrame) -> DataFrame:
     """s, salt, point and size for the first shingles of every set; salt spreads frequent shingles (-1: not frequent)."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, counts = held.value
         seen: set[int] = set()
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            size = 0
-
-            def flush(cols):
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["s", "salt", "point", "n"])
-
-            for raw in raw_texts(batch.column("text")):
-                shingles = shingle_set(raw)
-                n = len(shingles)
-                if n == 0:
-                    continue
-                point = set_id(shingles)
-                if point in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(point)
-                keep = prefix_size(n)
-                rank = np.zeros(n, dtype=np.uint8)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-                    rank = np.where(hot[at] == shingles, counts[at], 0).astype(np.uint8)
-                if rank.any():
-                    first = np.argsort(rank, kind="stable")[:keep]
-                    shingles, rank = shingles[first], rank[first]
-                else:
-                    shingles, rank = shingles[:keep], rank[:keep]
-                salt = np.where(rank > 0, np.int16(point % SALTS), np.int16(-1)).astype(np.int16)
-                for c, v in zip(cols, (shingles.view(np.int64), salt, np.full(keep, point, np.int64), np.full(keep, n, np.int32)), strict=True):
-                    c.append(v)
-                size += keep
-                if size > 200_000:
-                    yield flush(cols)
-                    cols, size = [[], [], [], []], 0
-            if size:
-                yield flush(cols)
-
-    return docs.select("text").mapInArrow(run, "s long, salt short, point long, n int")
+            points, sizes, firsts = (batch.column(c).to_pylist() for c in ("point", "n_shingles", "first"))
+            new = []
+            for i, p in enumerate(points):
+                if p not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(p)
+                    new.append(i)
+            for at in range(0, len(new), 1_000):
+                some = new[at : at + 1_000]
+                keep = np.array([len(firsts[i]) // 9 for i in some])
+                s = np.concatenate([np.frombuffer(firsts[i], dtype=np.int64, count=k) for i, k in zip(some, keep, strict=True)])
+                rank = np.concatenate([np.frombuffer(firsts[i], dtype=np.uint8, offset=8 * k) for i, k in zip(some, keep, strict=True)])
+                point = np.repeat(np.array([points[i] for i in some], dtype=np.int64), keep)
+                salt = np.where(rank > 0, point % SALTS, -1).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(salt), pa.array(point), pa.array(np.repeat(np.array([sizes[i] for i in some], dtype=np.int32), keep))], names=["s", "salt", "point", "n"])
+
+    return sets.where(F.col("point").isNotNull()).select("point", "n_shingles", "first").mapInArrow(run, "s long, salt short, point long, n int")
 
 
 def regions(found: DataFrame) -> DataFrame:
-    """s, salt, point, n and the pivot (with its size) of every region that can hold a link.
+    """region, whether it is spread, point, n, the pivot and its size, and the region's weight.
 
     One shuffle deals postings by shingle (and salt, for frequent ones); each
-    task sorts its own part in numpy and drops regions of one point.
+    task sorts its own part in numpy, drops regions of one point and writes
+    regions of the same points once, with their number as weight.  A frequent
+    shingle stays a region of its own, as each task sees only a part of it.
     """
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -209,8 +239,18 @@ def regions(found: DataFrame) -> DataFrame:
             return
         s, salt, point, size = (np.concatenate(c) for c in zip(*parts, strict=True))
         parts = None
-        priority = mix64(point.view(np.uint64))
-        order = np.lexsort((priority, salt, s))
+        # Only shingles that come again matter; few do.
+        mixed = mix64(s.view(np.uint64) + (salt.astype(np.int64) + 1).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(mixed)
+        mixed = mixed[order]
+        twice = np.zeros(len(mixed), dtype=bool)
+        twice[1:] = mixed[1:] == mixed[:-1]
+        twice[:-1] |= twice[1:]
+        order = order[twice | (salt[order] >= 0)]
+        s, salt, point, size = s[order], salt[order], point[order], size[order]
+        if not len(s):
+            return
+        order = np.lexsort((mix64(point.view(np.uint64)), salt, s))
         s, salt, point, size = s[order], salt[order], point[order], size[order]
         new = np.ones(len(s), dtype=bool)
         new[1:] = (s[1:] != s[:-1]) | (salt[1:] != salt[:-1])
@@ -219,13 +259,21 @@ def regions(found: DataFrame) -> DataFrame:
         s, salt, point, size, new = (x[~again] for x in (s, salt, point, size, new))
         begin = np.flatnonzero(new)
         held = np.diff(np.append(begin, len(s)))
-        keep = (np.repeat(held, held) > 1) | (salt >= 0)
-        pivot = np.repeat(begin, held)
-        cols = (s[keep], salt[keep], point[keep], size[keep], point[pivot[keep]], size[pivot[keep]])
+        spread = salt[begin] >= 0
+        keep = (held > 1) | spread
+        name = np.add.reduceat(mix64(point.view(np.uint64) + np.uint64(0x5851F42D4C957F2D)), begin)
+        name = np.where(spread, s[begin].view(np.uint64), mix64(name ^ held.astype(np.uint64)))
+        # One region for each name; frequent shingles keep theirs, salt by salt.
+        unique = np.where(spread, mix64(name + (salt[begin].astype(np.int64) + 2).view(np.uint64)), name)
+        _, first, weight = np.unique(unique[keep], return_index=True, return_counts=True)
+        chosen = np.flatnonzero(keep)[first]
+        take = np.repeat(begin[chosen] - np.cumsum(held[chosen]) + held[chosen], held[chosen]) + np.arange(int(held[chosen].sum()))
+        by = lambda x: np.repeat(x, held[chosen])
+        cols = (by(name[chosen].view(np.int64)), by(spread[chosen]), point[take], size[take], by(point[begin[chosen]]), by(size[begin[chosen]]), by(weight))
         for at in range(0, len(cols[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in cols], names=["s", "salt", "point", "n", "pivot", "pivot_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in cols], names=["region", "spread", "point", "n", "pivot", "pivot_n", "weight"])
 
-    return found.repartition(n, "s", "salt").mapInArrow(run, "s long, salt short, point long, n int, pivot long, pivot_n int")
+    return found.repartition(n, "s", "salt").mapInArrow(run, "region long, spread boolean, point long, n int, pivot long, pivot_n int, weight long")
 
 
 def _fits(a, b):
@@ -241,7 +289,8 @@ def compare(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
     shuffled; more pairs are joined by shuffle.  Spark splits the rows of a pivot
     with many points.
     """
-    pairs = table(pairs.join(points.select(F.col("point").alias("a"), F.col("doc").alias("doc_a")), "a").join(points.select(F.col("point").alias("b"), F.col("doc").alias("doc_b")), "b"))
+    named = points.select("point", "doc")
+    pairs = table(pairs.join(named.withColumnsRenamed({"point": "a", "doc": "doc_a"}), "a").join(named.withColumnsRenamed({"point": "b", "doc": "doc_b"}), "b"))
     small = pairs.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
@@ -275,15 +324,52 @@ def compare(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
     return table(per_batch(both, make, "a long, b long, distance double, link boolean").distinct())
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """The same components from fewer links: each task joins the links that it holds and gives every point its least one."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x):
+            top = x
+            while (up := parent.get(top, top)) != top:
+                top = up
+            while (up := parent.get(x, x)) != top:
+                parent[x] = top
+                x = up
+            return top
+
+        def flush():
+            both = [(v, root(v)) for v in parent]
+            parent.clear()
+            both = [(v, r) for v, r in both if v != r]
+            if both:
+                u, v = zip(*both, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                u, v = root(u), root(v)
+                if u != v:
+                    low, high = min(u, v), max(u, v)
+                    parent[high] = low
+                    parent.setdefault(low, low)
+            if len(parent) > 1_000_000:
+                yield from flush()
+        yield from flush()
+
+    return links.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """v and c (the least point of its component) of every point with a link (a, b); alternating large and small stars."""
-    edges = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = table(_contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")))
     state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = state(edges)
     while before[0]:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = table(small)
@@ -294,48 +380,79 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("c")).withColumnRenamed("u", "v").unionByName(edges.select(F.col("v"), F.col("v").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
 
 
-def point_links(docs: DataFrame, points: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) that their bitmaps don't rule out."""
+    side = lambda k: points.select(F.col("point").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def make():
+        def one(batch):
+            cols = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
+            keep = []
+            for n_a, n_b, x, y in zip(*cols, strict=True):
+                common = most_common(x, n_a, y, n_b)
+                keep.append(linked(common, n_a + n_b - common))
+            return batch.select(["a", "b"]).filter(pa.array([bool(k) for k in keep]))
+
+        return one
+
+    return per_batch(both, make, "a long, b long")
+
+
+def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFrame:
     """Links (a, b) between points that connect whatever any links connect."""
-    where = table(regions(postings(docs, frequent_shingles(docs))))
-    # Frequent shingles have a pivot for each salt; the least of them is the pivot of the region.
-    hot = where.where("salt >= 0").select("s", "pivot", "pivot_n").distinct()
-    head = hot.groupBy("s").agg(F.min(F.struct(F.xxhash64("pivot").alias("o"), "pivot", "pivot_n")).alias("h")).select("s", F.col("h.pivot").alias("top"), F.col("h.pivot_n").alias("top_n"))
-    between = hot.join(head, "s").select(F.col("pivot").alias("a"), F.col("pivot_n").alias("n_a"), F.col("top").alias("b"), F.col("top_n").alias("n_b"))
-    votes = where.select(F.col("point").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"), F.col("pivot_n").alias("n_b")).where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    where = table(regions(postings(sets)))
+    # A frequent shingle has a pivot for each salt; the least of them is the pivot of the region.
+    hot = where.where("spread").select("region", "pivot", "pivot_n").distinct()
+    head = hot.groupBy("region").agg(F.min(F.struct(F.xxhash64("pivot").alias("o"), "pivot", "pivot_n")).alias("h")).select("region", F.col("h.pivot").alias("b"), F.col("h.pivot_n").alias("n_b"))
+    between = hot.join(head, "region").select(F.col("pivot").alias("a"), F.col("pivot_n").alias("n_a"), "b", "n_b").where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).select("a", "b")
+    votes = where.select(F.col("point").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"), F.col("pivot_n").alias("n_b"), "weight").where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
     home = votes.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    first = home.unionByName(between.where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).select("a", "b")).distinct()
-    known = compare(docs, points, first)
-    members = where.select("s", "point", "n").distinct()
+    asked = home.unionByName(between).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    known = compare(docs, points, table(_bounded(asked, points)))
+    links = [known.where("link").select("a", "b")]
+    near = known.select("a", "b", "distance")
+    near = table(home.join(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")), ["a", "b"]).select(F.col("a").alias("point"), F.col("b").alias("home"), "distance"))
+    members = where.groupBy("region", "point", "n").agg(F.sum("weight").alias("weight"))
+    label = table(components(links[0]).withColumnRenamed("v", "point"))
     pivots = FIRST_PIVOTS
     while True:
-        label = components(known.where("link").select("a", "b")).withColumnsRenamed({"v": "point"})
         labelled = members.join(label, "point", "left").withColumn("c", F.coalesce("c", "point"))
-        members = table(labelled.join(labelled.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s"), "s").select("s", "point", "n", "c"))
+        open_ = labelled.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("region")
+        members = table(labelled.join(open_, "region").select("region", "point", "n", "c", "weight"))
         if members.isEmpty():
-            return known.where("link").select("a", "b")
-        drawn = members.groupBy("s", F.pmod(F.xxhash64("point", F.lit(pivots)), F.lit(pivots)).alias("place")).agg(F.min(F.struct(F.xxhash64("point").alias("o"), F.col("point").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))).alias("p")).select("s", "p.b", "p.n_b", "p.c_b")
-        drawn = table(drawn)
-        ends = known.select("a", "b", "distance")
-        ends = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-        asked = members.withColumnsRenamed({"point": "a", "n": "n_a"}).join(drawn, "s").where(F.col("c") != F.col("c_b")).where(_fits("n_a", "n_b")).select("a", "b").distinct()
-        asked = asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        # Triangle inequality: where both have a known distance to one pivot, theirs is at least the difference.
-        seen = ends.select(F.col("a").alias("x"), F.col("b").alias("via"), F.col("distance").alias("d"))
-        apart = asked.join(seen.withColumnsRenamed({"x": "a", "d": "d_a"}), "a").join(seen.withColumnsRenamed({"x": "b", "d": "d_b"}), ["b", "via"]).where(F.abs(F.col("d_a") - F.col("d_b")) > EPSILON + 1e-9).select("a", "b").distinct()
-        asked = asked.join(apart, ["a", "b"], "left_anti").join(ends.select("a", "b"), ["a", "b"], "left_anti")
-        known = table(known.unionByName(compare(docs, points, asked)))
-        # A pivot has now met every point of its region, or is kept from it by size, distance or connection.
-        members = members.join(drawn.select("s", F.col("b").alias("point")), ["s", "point"], "left_anti").select("s", "point", "n")
+            break
+        place = F.pmod(F.xxhash64("point", F.lit(pivots)), F.lit(pivots))
+        drawn = members.groupBy("region", place.alias("place")).agg(F.min(F.struct(F.xxhash64("point").alias("o"), "point")).alias("p")).select("p.point").distinct()
+        at = table(members.join(drawn, "point").select("region", F.col("point").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b")))
+        met = members.select("region", F.col("point").alias("a"), F.col("n").alias("n_a"), "c", "weight").join(at, "region").where(F.col("c") != F.col("c_b")).where(_fits("n_a", "n_b"))
+        shared = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum("weight").alias("shared"))
+        most = lambda k: F.floor((F.col(k) * PERCENT + 99) / 100)
+        # Linked sets have at least ceil(75/175 of both sizes) shingles in common, of which at most ceil(3/4 n) - 1 lie after the first ones.
+        needed = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT)) - F.greatest(most("n_a"), most("n_b")) + 1
+        asked = shared.where(F.col("shared") >= needed).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        # Triangle inequality: two points of one home are at least as far apart as their distances to it differ.
+        side = lambda k: near.select(F.col("point").alias(k), F.col("home").alias(f"home_{k}"), F.col("distance").alias(f"d_{k}"))
+        far = (F.col("home_a") == F.col("home_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > EPSILON + 1e-9)
+        asked = asked.join(side("a"), "a", "left").join(side("b"), "b", "left").where(~F.coalesce(far, F.lit(False))).select("a", "b")
+        new = compare(docs, points, table(_bounded(asked, points))).where("link").select("a", "b")
+        links.append(new)
+        if not new.isEmpty():
+            tied = label.select(F.col("point").alias("a"), F.col("c").alias("b"))
+            label = table(components(tied.unionByName(new)).withColumnRenamed("v", "point"))
+        members = members.join(drawn, "point", "left_anti").select("region", "point", "n", "weight")
         pivots *= PIVOT_GROWTH
+    return label.select(F.col("point").alias("a"), F.col("c").alias("b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = docs.select("doc_id", "text")
-    sets = table(document_sets(docs))
+    sets = table(document_sets(docs, frequent_shingles(docs)))
     named = sets.where(F.col("doc_id").isNotNull() & F.col("point").isNotNull())
-    points = table(named.groupBy("point").agg(F.min("doc_id").alias("doc")))
-    links = point_links(docs, points)
+    least = named.groupBy("point").agg(F.min("doc_id").alias("doc"))
+    points = table(least.join(named.select(F.col("doc_id").alias("doc"), "point", F.col("n_shingles").cast("int").alias("n"), "bits"), ["doc", "point"]).dropDuplicates(["point"]))
+    links = point_links(docs, named, points)
     # An id with several texts ties their sets together.
     tied = named.groupBy("doc_id").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a <> b").select("a", "b")
     several = named.select("doc_id", "point").join(named.groupBy("doc_id").agg(F.min("point").alias("b"), F.max("point").alias("t")).where("b <> t").select("doc_id", "b"), "doc_id").select(F.col("point").alias("a"), "b").where("a <> b")
@@ -343,7 +460,7 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = points.join(label.withColumnsRenamed({"v": "point"}), "point", "left").withColumn("c", F.coalesce("c", "point"))
     first = placed.groupBy("c").agg(F.min("doc").alias("component_id"))
     whole = placed.join(first, "c").select("point", "component_id")
-    return sets.join(whole, "point", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return sets.select("doc_id", "n_shingles", "point").join(whole, "point", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
