@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,9 +80,6 @@ def log_det(m: Column, d: int) -> Column:
     if d == 2:
         return F.log(det2(m))
 
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def numeric(column: pd.Series) -> pd.Series:
         stacked = np.array(column.tolist()).reshape(-1, d, d)

@@ -46,7 +46,11 @@ def shown(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
     return df.select(*(F.col(k).cast("long").alias(k) for k in keys), *(r(c).alias(n) for n, c in columns.items()))
 
 
-PRIOR = Scalar.of(MU, KAPPA, PSI, NU)
+def prior() -> Scalar:
+    """Made when it is used: Columns need a session."""
+    return Scalar.of(MU, KAPPA, PSI, NU)
+
+
 MOMENTS = "count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS s"
 
 
@@ -266,7 +270,11 @@ def _blocks(spark, sf_dir) -> DataFrame:
 
 
 _BLOCKS_SQL = f"{E_SQL}, blocks AS (SELECT l, k, {MOMENTS} FROM cells GROUP BY 1, 2)"
-_STATS = (F.col("n"), F.col("mean"), F.col("s"))
+
+
+def _stats() -> tuple[Column, Column, Column]:
+    return F.col("n"), F.col("mean"), F.col("s")
+
 
 
 def _parameters(df: DataFrame, keys: list[str], p: Scalar) -> DataFrame:
@@ -279,7 +287,7 @@ def _parameters_sql(keys: str, p: dict[str, str], source: str) -> str:
 
 @query(f"WITH {_BLOCKS_SQL} " + _parameters_sql("l, k", posterior_sql("n", "m", "s"), "blocks"))
 def niw_update(spark, sf_dir):
-    return _parameters(_blocks(spark, sf_dir), ["l", "k"], PRIOR.update(*_STATS))
+    return _parameters(_blocks(spark, sf_dir), ["l", "k"], prior().update(*_stats()))
 
 
 @query(f"WITH {_BLOCKS_SQL} " + _parameters_sql("l, k", posterior_sql("n", "m", "s"), "blocks"))
@@ -287,7 +295,7 @@ def block_niw_grid(spark, sf_dir):
     """The grid assembled from statistics per worker, column and cluster."""
     parts = stats.grouped(e_cells(spark, sf_dir), "worker_id", "col_id", "l", "k")
     whole = stats.merged(parts, "l", "k").withColumn("n", F.col("n").cast("double"))
-    return _parameters(whole, ["l", "k"], PRIOR.update(*_STATS))
+    return _parameters(whole, ["l", "k"], prior().update(*_stats()))
 
 
 @query(
@@ -300,12 +308,12 @@ def niw_downdate(spark, sf_dir):
     every = stats.grouped(cells, "k").withColumn("n", F.col("n").cast("double"))
     gone = stats.grouped(cells.where("l = 0"), "k").select("k", F.col("n").cast("double").alias("n0"), F.col("mean").alias("mean0"), F.col("s").alias("s0"))
     both = every.join(gone, "k")
-    return _parameters(both, ["k"], PRIOR.update(*_STATS).downdate(F.col("n0"), F.col("mean0"), F.col("s0")))
+    return _parameters(both, ["k"], prior().update(*_stats()).downdate(F.col("n0"), F.col("mean0"), F.col("s0")))
 
 
 @query(f"WITH {_BLOCKS_SQL} SELECT l, k, {q(MU)} AS mu, {q(KAPPA)} AS kappa, {q(PSI)} AS psi, {q(NU)} AS nu FROM blocks")
 def niw_roundtrip(spark, sf_dir):
-    return _parameters(_blocks(spark, sf_dir), ["l", "k"], PRIOR.update(*_STATS).downdate(*_STATS))
+    return _parameters(_blocks(spark, sf_dir), ["l", "k"], prior().update(*_stats()).downdate(*_stats()))
 
 
 @query(f"WITH {E_SQL}, g AS (SELECT {MOMENTS} FROM cells) SELECT " + ", ".join(f"{q(e)} AS {n}" for n, e in (("mu", "m"), ("precision_psi", "(n - 1) / s"), ("covariance_psi", "s / (n - 1)"), ("scatter_psi", "1 / s"), ("kappa", "1"), ("nu", "2"))) + " FROM g")
@@ -318,7 +326,7 @@ def prior_factories(spark, sf_dir):
 @query(f"WITH {_BLOCKS_SQL} SELECT l, k, CAST(n AS BIGINT) AS n, {q(marginal_sql('n', 'm', 's'), 4)} AS log_marginal FROM blocks")
 def log_marginal(spark, sf_dir):
     """Log marginal likelihood of every block of the embedding matrix."""
-    return _blocks(spark, sf_dir).select("l", "k", F.col("n").cast("long").alias("n"), r(PRIOR.log_marginal(*_STATS), 4).alias("log_marginal"))
+    return _blocks(spark, sf_dir).select("l", "k", F.col("n").cast("long").alias("n"), r(prior().log_marginal(*_stats()), 4).alias("log_marginal"))
 
 
 _POST = posterior_sql("n", "m", "s")
@@ -326,7 +334,7 @@ _POST = posterior_sql("n", "m", "s")
 
 @query(f"WITH {_BLOCKS_SQL}, p AS (SELECT l, k, {_POST['mu']} AS mu, {_POST['kappa']} AS kappa, {_POST['psi']} AS psi, CAST({_POST['nu']} AS DOUBLE) AS nu FROM blocks) SELECT row_id, col_id, {q(student_sql('x', 'mu', '((kappa + 1) / (kappa * nu) * psi)', 'nu'))} AS logpdf FROM cells JOIN p USING (l, k)")
 def student_logpdf(spark, sf_dir):
-    after = PRIOR.update(*_STATS)
+    after = prior().update(*_stats())
     params = _blocks(spark, sf_dir).select("l", "k", *after.columns())
     p = Scalar(*(F.col(c) for c in ("mu", "kappa", "psi", "nu")))
     return shown(e_cells(spark, sf_dir).join(F.broadcast(params), ["l", "k"]), ["row_id", "col_id"], logpdf=p.predictive(F.col("x")))
@@ -338,7 +346,7 @@ def posterior_predictive(spark, sf_dir):
     cells = e_cells(spark, sf_dir)
     seen = stats.grouped(cells.where("worker_id % 2 = 0"), "l", "k").withColumn("n", F.col("n").cast("double"))
     new = stats.grouped(cells.where("worker_id % 2 = 1"), "l", "k").select("l", "k", F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("s").alias("s1"))
-    value = PRIOR.update(*_STATS).log_marginal(F.col("n1"), F.col("m1"), F.col("s1"))
+    value = prior().update(*_stats()).log_marginal(F.col("n1"), F.col("m1"), F.col("s1"))
     return seen.join(new, ["l", "k"]).select("l", "k", r(value, 4).alias("log_predictive"))
 
 
@@ -347,12 +355,12 @@ _IW_SQL = f"({NU} / 2 * ln({PSI}) - {NU} / 2 * ln(2) - lgamma({NU} / 2) - ({NU}
 
 @query(f"WITH {_BLOCKS_SQL}, t AS (SELECT l, k, s / n AS v FROM blocks) SELECT l, k, {q(_IW_SQL)} AS logpdf FROM t")
 def invwishart_logpdf(spark, sf_dir):
-    return shown(_blocks(spark, sf_dir), ["l", "k"], logpdf=PRIOR.inverse_wishart_logpdf(F.col("s") / F.col("n")))
+    return shown(_blocks(spark, sf_dir), ["l", "k"], logpdf=prior().inverse_wishart_logpdf(F.col("s") / F.col("n")))
 
 
 @query(f"WITH {_BLOCKS_SQL}, t AS (SELECT l, k, m, s / n AS v FROM blocks) SELECT l, k, {q(f'(-ln(2 * pi()) / 2 - ln(v / {KAPPA}) / 2 - (m - {MU}) * (m - {MU}) / (v / {KAPPA}) / 2 + ' + _IW_SQL[1:])} AS logpdf FROM t")
 def niw_logpdf(spark, sf_dir):
-    return shown(_blocks(spark, sf_dir), ["l", "k"], logpdf=PRIOR.logpdf(F.col("mean"), F.col("s") / F.col("n")))
+    return shown(_blocks(spark, sf_dir), ["l", "k"], logpdf=prior().logpdf(F.col("mean"), F.col("s") / F.col("n")))
 
 
 @query(f"WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT count(*) AS clusters, {q(f'count(*) * ln({ALPHA}) + sum(lgamma(CAST(n AS DOUBLE))) - (lgamma({ALPHA} + sum(n)) - lgamma({ALPHA}))', 4)} AS log_prob FROM c")
@@ -376,7 +384,7 @@ def joint_loglik(spark, sf_dir):
     """Log joint density of labels, block parameters (the blocks' own means and variances) and cells."""
     cells = e_cells(spark, sf_dir)
     parts = _blocks(spark, sf_dir).select("l", "k", "mean", (F.col("s") / F.col("n")).alias("v"))
-    own = parts.agg(F.sum(PRIOR.logpdf(F.col("mean"), F.col("v"))).alias("own"))
+    own = parts.agg(F.sum(prior().logpdf(F.col("mean"), F.col("v"))).alias("own"))
     every = cells.join(F.broadcast(parts), ["l", "k"]).agg(F.sum(niw.normal_logpdf(F.col("x"), F.col("mean"), F.col("v"))).alias("cells"))
 
     def crp(df: DataFrame, label: str, alpha: float, name: str) -> DataFrame:
@@ -398,9 +406,9 @@ def _row_weights(spark, sf_dir) -> DataFrame:
     own = stats.grouped(cells, "row_id", "l").select("row_id", "l", F.col("n").cast("double").alias("rn"), F.col("mean").alias("rm"), F.col("s").alias("rs"))
     sizes = e_rows(spark, sf_dir).groupBy("k").agg(F.count(F.lit(1)).alias("size"))
     grid = stats.grouped(cells, "l", "k").withColumn("n", F.col("n").cast("double")).join(F.broadcast(sizes), "k")
-    value = PRIOR.update(*_STATS).log_marginal(F.col("rn"), F.col("rm"), F.col("rs"))
+    value = prior().update(*_stats()).log_marginal(F.col("rn"), F.col("rm"), F.col("rs"))
     held = own.join(F.broadcast(grid), "l").groupBy("row_id", "k").agg((F.sum(value) + F.log(F.first("size"))).alias("logw"))
-    fresh = own.groupBy("row_id").agg((F.sum(PRIOR.log_marginal(F.col("rn"), F.col("rm"), F.col("rs"))) + math.log(ALPHA)).alias("logw")).select("row_id", F.lit(-1).cast("long").alias("k"), "logw")
+    fresh = own.groupBy("row_id").agg((F.sum(prior().log_marginal(F.col("rn"), F.col("rm"), F.col("rs"))) + math.log(ALPHA)).alias("logw")).select("row_id", F.lit(-1).cast("long").alias("k"), "logw")
     return held.select("row_id", "k", "logw").unionByName(fresh)
 
 
@@ -472,8 +480,8 @@ def col_membership_logw(spark, sf_dir):
     sizes = cells.groupBy("l").agg(F.countDistinct("col_id").alias("size"))
     grid = stats.grouped(cells, "l", "k").withColumn("n", F.col("n").cast("double")).join(F.broadcast(sizes), "l")
     theirs = (F.col("cn"), F.col("cm"), F.col("cs"))
-    held = own.join(F.broadcast(grid), "k").groupBy("col_id", "l").agg((F.sum(PRIOR.update(*_STATS).log_marginal(*theirs)) + F.log(F.first("size"))).alias("logw"))
-    fresh = own.groupBy("col_id").agg((F.sum(PRIOR.log_marginal(*theirs)) + math.log(BETA)).alias("logw")).select("col_id", F.lit(-1).cast("long").alias("l"), "logw")
+    held = own.join(F.broadcast(grid), "k").groupBy("col_id", "l").agg((F.sum(prior().update(*_stats()).log_marginal(*theirs)) + F.log(F.first("size"))).alias("logw"))
+    fresh = own.groupBy("col_id").agg((F.sum(prior().log_marginal(*theirs)) + math.log(BETA)).alias("logw")).select("col_id", F.lit(-1).cast("long").alias("l"), "logw")
     return held.select("col_id", "l", "logw").unionByName(fresh).select("col_id", "l", r(F.col("logw"), 3).alias("logw"))
 
 
@@ -487,8 +495,8 @@ def merge_logw(spark, sf_dir):
     new = stats.grouped(means.where("worker_id = 0"), "k").select(F.col("k").alias("local_k"), F.col("n").cast("double").alias("rn"), F.col("mean").alias("rm"), F.col("s").alias("rs"))
     held = stats.grouped(means.where("worker_id > 0"), "k").withColumn("n", F.col("n").cast("double"))
     theirs = (F.col("rn"), F.col("rm"), F.col("rs"))
-    pairs = new.crossJoin(held).select("local_k", "k", (PRIOR.update(*_STATS).log_marginal(*theirs) + F.log("n")).alias("logw"))
-    fresh = new.select("local_k", F.lit(-1).cast("long").alias("k"), (PRIOR.log_marginal(*theirs) + math.log(ALPHA)).alias("logw"))
+    pairs = new.crossJoin(held).select("local_k", "k", (prior().update(*_stats()).log_marginal(*theirs) + F.log("n")).alias("logw"))
+    fresh = new.select("local_k", F.lit(-1).cast("long").alias("k"), (prior().log_marginal(*theirs) + math.log(ALPHA)).alias("logw"))
     return pairs.unionByName(fresh).select("local_k", "k", r(F.col("logw"), 4).alias("logw"))
 
 
