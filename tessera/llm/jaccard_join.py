@@ -44,20 +44,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, per_batch, raw_texts, table
+from .common import mix64, per_batch, pieces, raw_texts, table
 
 WORDS = 5
 #: Link where 100 * intersection >= 75 * union.
 PERCENT = 75
 EPSILON = 0.25
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 32_000
 FREQUENT = 3
 SALTS = 64
 BROADCAST_ROWS = 400_000
 FIRST_PIVOTS, PIVOT_GROWTH = 16, 16
+#: Ranks of frequent shingles go up to this.
+MOST_RANK = 127
 #: Bits of a bitmap for every shingle, at least, and the least and most bits.
 LEAST_BITS, MOST_BITS = 256, 65_536
 
@@ -150,7 +152,7 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
 
 
 def document_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_shingles, the id of the set (null if it is empty), its first shingles with their ranks, and its bitmap."""
+    """doc_id, n_shingles, the id of the set (null if it is empty), its first shingles with their ranks, where they end, and its bitmap."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -165,16 +167,18 @@ def document_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> D
                 if found.any():
                     rank = np.where(found, counts[at], 0).astype(np.uint8)
                     order = np.argsort(rank, kind="stable")[:keep]
-                    return shingles[order].tobytes() + rank[order].tobytes()
-            return shingles[:keep].tobytes() + bytes(keep)
+                    end = order[-1]
+                    return shingles[order].tobytes() + rank[order].tobytes(), (int(rank[end]) << 56) | (int(shingles[end]) >> 8)
+            return shingles[:keep].tobytes() + bytes(keep), int(shingles[keep - 1]) >> 8
 
         def one(batch):
             sets = [shingle_set(t) for t in raw_texts(batch.column("text"))]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([first(s) if len(s) else None for s in sets], pa.binary()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "point", "first", "bits"])
+            firsts = [first(s) if len(s) else (None, None) for s in sets]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([f for f, _ in firsts], pa.binary()), pa.array([e for _, e in firsts], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "point", "first", "last", "bits"])
 
         return one
 
-    return per_batch(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, point long, first binary, bits binary")
+    return per_batch(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, point long, first binary, last long, bits binary")
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -185,14 +189,14 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids = F.broadcast(docs.sparkSession.createDataFrame(drawn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingle_set(t) for t in raw_texts(batch.column("text"))]
             every = np.concatenate([np.zeros(0, np.uint64), *sets])
             shingles, n = np.unique(every, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["s", "n"])
 
     found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
-    shingles, n = found.column("s").to_numpy().view(np.uint64), np.minimum(found.column("n").to_numpy(), 255).astype(np.uint8)
+    shingles, n = found.column("s").to_numpy().view(np.uint64), np.minimum(found.column("n").to_numpy(), MOST_RANK).astype(np.uint8)
     order = np.argsort(shingles)
     return shingles[order], n[order]
 
@@ -410,38 +414,47 @@ def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFram
     home = votes.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     asked = home.unionByName(between).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     known = compare(docs, points, table(_bounded(asked, points)))
-    links = [known.where("link").select("a", "b")]
     near = known.select("a", "b", "distance")
     near = table(home.join(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")), ["a", "b"]).select(F.col("a").alias("point"), F.col("b").alias("home"), "distance"))
     members = where.groupBy("region", "point", "n").agg(F.sum("weight").alias("weight"))
-    label = table(components(links[0]).withColumnRenamed("v", "point"))
-    pivots = FIRST_PIVOTS
+    label = table(components(known.where("link").select("a", "b")).withColumnRenamed("v", "point"))
+    ends = points.select("point", "last")
+    pivots, step = FIRST_PIVOTS, 0
     while True:
         labelled = members.join(label, "point", "left").withColumn("c", F.coalesce("c", "point"))
-        open_ = labelled.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("region")
-        members = table(labelled.join(open_, "region").select("region", "point", "n", "c", "weight"))
+        held = labelled.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("region", "size")
+        members = table(labelled.join(held, "region").join(ends, "point").select("region", "size", "point", "n", "last", "c", "weight"))
         if members.isEmpty():
             break
-        place = F.pmod(F.xxhash64("point", F.lit(pivots)), F.lit(pivots))
-        drawn = members.groupBy("region", place.alias("place")).agg(F.min(F.struct(F.xxhash64("point").alias("o"), "point")).alias("p")).select("p.point").distinct()
-        at = table(members.join(drawn, "point").select("region", F.col("point").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b")))
-        met = members.select("region", F.col("point").alias("a"), F.col("n").alias("n_a"), "c", "weight").join(at, "region").where(F.col("c") != F.col("c_b")).where(_fits("n_a", "n_b"))
-        shared = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum("weight").alias("shared"))
-        most = lambda k: F.floor((F.col(k) * PERCENT + 99) / 100)
-        # Linked sets have at least ceil(75/175 of both sizes) shingles in common, of which at most ceil(3/4 n) - 1 lie after the first ones.
-        needed = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT)) - F.greatest(most("n_a"), most("n_b")) + 1
-        asked = shared.where(F.col("shared") >= needed).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        # The weight of a point's regions from this one on, larger regions being later: a pair that meets first here shares at most that.
+        later = Window.partitionBy("point").orderBy(F.desc("size"), F.desc("region")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        reached = members.withColumn("reach", F.sum("weight").over(later))
+        place = F.pmod(F.xxhash64("point", F.lit(step)), F.lit(pivots))
+        drawn = members.groupBy("region", place.alias("place")).agg(F.min(F.struct(F.xxhash64("point", F.lit(-step)).alias("o"), "point")).alias("p")).select("p.point").distinct()
+        drawn = table(drawn)
+        side = lambda k: [F.col("point").alias(k), F.col("n").alias(f"n_{k}"), F.col("last").alias(f"last_{k}"), F.col("c").alias(f"c_{k}"), F.col("reach").alias(f"reach_{k}")]
+        theirs = reached.join(drawn, "point").select("region", *side("b"))
+        met = reached.select("region", "weight", *side("a")).join(theirs, "region").where(F.col("c_a") != F.col("c_b")).where(_fits("n_a", "n_b"))
+        # Linked sets share 75/175 of both sizes, of which at most ceil(3/4 n) - 1 lie after the first shingles of the set whose first ones end first.
+        after = lambda k: F.floor((F.col(f"n_{k}") * PERCENT + 99) / 100) - 1
+        rest = F.when(F.col("last_a") < F.col("last_b"), after("a")).when(F.col("last_a") > F.col("last_b"), after("b")).otherwise(F.greatest(after("a"), after("b")))
+        needed = F.greatest(F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT)) - rest, F.lit(1))
+        # A linked pair meets at its first region within both points' reach; what the rows left out could add to its weight is bounded too.
+        open_ = met.where(F.least("reach_a", "reach_b") >= needed)
+        pairs = open_.groupBy("a", "b").agg(F.max(needed).alias("needed"), F.sum("weight").alias("shared"), F.min(F.least("reach_a", "reach_b") - F.col("weight")).alias("left"))
+        pairs = pairs.where(F.col("shared") + F.least(F.col("left"), F.col("needed") - 1) >= F.col("needed"))
         # Triangle inequality: two points of one home are at least as far apart as their distances to it differ.
-        side = lambda k: near.select(F.col("point").alias(k), F.col("home").alias(f"home_{k}"), F.col("distance").alias(f"d_{k}"))
+        home_of = lambda k: near.select(F.col("point").alias(k), F.col("home").alias(f"home_{k}"), F.col("distance").alias(f"d_{k}"))
         far = (F.col("home_a") == F.col("home_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > EPSILON + 1e-9)
-        asked = asked.join(side("a"), "a", "left").join(side("b"), "b", "left").where(~F.coalesce(far, F.lit(False))).select("a", "b")
+        pairs = pairs.join(home_of("a"), "a", "left").join(home_of("b"), "b", "left").where(~F.coalesce(far, F.lit(False)))
+        asked = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         new = compare(docs, points, table(_bounded(asked, points))).where("link").select("a", "b")
-        links.append(new)
         if not new.isEmpty():
             tied = label.select(F.col("point").alias("a"), F.col("c").alias("b"))
             label = table(components(tied.unionByName(new)).withColumnRenamed("v", "point"))
         members = members.join(drawn, "point", "left_anti").select("region", "point", "n", "weight")
         pivots *= PIVOT_GROWTH
+        step += 1
     return label.select(F.col("point").alias("a"), F.col("c").alias("b"))
 
 
@@ -451,7 +464,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = table(document_sets(docs, frequent_shingles(docs)))
     named = sets.where(F.col("doc_id").isNotNull() & F.col("point").isNotNull())
     least = named.groupBy("point").agg(F.min("doc_id").alias("doc"))
-    points = table(least.join(named.select(F.col("doc_id").alias("doc"), "point", F.col("n_shingles").cast("int").alias("n"), "bits"), ["doc", "point"]).dropDuplicates(["point"]))
+    points = table(least.join(named.select(F.col("doc_id").alias("doc"), "point", F.col("n_shingles").cast("int").alias("n"), "last", "bits"), ["doc", "point"]).dropDuplicates(["point"]))
     links = point_links(docs, named, points)
     # An id with several texts ties their sets together.
     tied = named.groupBy("doc_id").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a <> b").select("a", "b")
