@@ -8,6 +8,8 @@ pattern matching is needed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -47,6 +49,24 @@ def crc_mod(column, buckets: int):
     return (F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % buckets).cast("int")
 
 
+#: Rows of an Arrow batch that are handled at once, so that Python holds few whole texts.
+PIECE_ROWS = 2_000
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of a task; after the last one, memory that is free goes back to the system.
+
+    Worker processes outlive their tasks, and two of them share an executor's memory.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)
+    batch = None
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
     """Map Arrow batches with a function that each task builds once.
 
@@ -56,11 +76,11 @@ def per_batch(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = f(batch)
-                if out is not None and out.num_rows:
-                    yield out
+        for piece in pieces(batches):
+            out = f(piece)
+            if out is not None and out.num_rows:
+                yield out
+            out = None
 
     return df.mapInArrow(run, schema)
 

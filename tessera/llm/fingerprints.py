@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import pieces, texts
 
 BUCKETS = 256
 #: Distances of the second and third byte of a triplet from its first.
@@ -182,7 +182,7 @@ def neighbour_likeness(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        for batch in batches:
+        for batch in pieces(batches):
             ranges, tails = batch.column("range").to_pylist(), batch.column("tail").to_pylist()
             ids, full = batch.column("doc_id").to_pylist(), texts(batch.column("text"))
             code, length = digests([t.encode() for t in full])

@@ -24,9 +24,10 @@ import zlib
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, scored, sigmoid
+from .common import labelled_sample, pieces, raw_texts, scored, sigmoid
 
 FIT_ROWS = 8_000
 FIT_BYTES = 48_000_000
@@ -181,13 +182,8 @@ def accepted(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pyarrow as pa
-
-        from .common import raw_texts
-
-        for batch in batches:
-            if batch.num_rows:
-                keep = held.value.score(raw_texts(batch.column("text"))) >= threshold
-                yield batch.filter(pa.array(keep))
+        for batch in pieces(batches):
+            keep = held.value.score(raw_texts(batch.column("text"))) >= threshold
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
