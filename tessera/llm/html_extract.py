@@ -249,12 +249,12 @@ def _optional(items: list) -> list:
 
 
 def _grouped(seq: Items, other: Items) -> Items:
-    """Runs that a repeated group of the other side reads, written as that group."""
-    for body in {i[1] for i in other if isinstance(i, tuple) and i[0] == "+"}:
+    """Runs that a group of the other side reads, written as that group."""
+    for kind, body in {i for i in other if isinstance(i, tuple)}:
         size, out, i = len(body), [], 0
         while i < len(seq):
             if tuple(seq[i : i + size]) == body:
-                out.append(("+", body))
+                out.append((kind, body))
                 i += size
             else:
                 out.append(seq[i])

@@ -164,7 +164,8 @@ class Classifier:
     def score(self, raw: list[bytes]) -> np.ndarray:
         if self.layers is None:
             return np.full(len(raw), self.share)
-        return sigmoid(self._logit((self.pooler.matrix(raw) - self.mean) / self.scale) / self.temperature)
+        # Rounded, as the last bits of a product depend on how many texts are scored together.
+        return np.round(sigmoid(self._logit((self.pooler.matrix(raw) - self.mean) / self.scale) / self.temperature), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> Classifier:

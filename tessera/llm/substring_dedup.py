@@ -152,12 +152,14 @@ def without_copies(docs: DataFrame) -> DataFrame:
     found = chunks(docs)
     marked = found.join(repeating(chunks(docs)), ["d1", "d2"])
     gathered = marked.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "first_doc")).alias("_parts"))
-    joined = docs.join(gathered, "doc_id", "left").select(*docs.columns, "_parts")
+    names = docs.columns
+    held = "_".join(["parts", *names])  # no column has this name
+    joined = docs.join(gathered.withColumnRenamed("_parts", held), "doc_id", "left").select(*names, held)
 
     def make():
         def one(batch):
             given, new = batch.column("text").to_pylist(), []
-            for doc, text, parts in zip(batch.column("doc_id").to_pylist(), given, batch.column("_parts").to_pylist(), strict=True):
+            for doc, text, parts in zip(batch.column("doc_id").to_pylist(), given, batch.column(held).to_pylist(), strict=True):
                 if text is None or not parts:
                     new.append(text)
                     continue
@@ -166,7 +168,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
                     out.append(raw[at:b])
                     at = max(at, e)
                 new.append(b"".join([*out, raw[at:]]).decode("utf-8", "ignore"))
-            cols = {n: batch.column(n) for n in docs.columns}
+            cols = {n: batch.column(n) for n in names}
             cols["text"] = pa.array(new, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([len(t or "") for t in new], pa.int64()).cast(cols["n_chars"].type)
