@@ -180,6 +180,22 @@ def column_sweep(columns: Stats, labels: np.ndarray, prior: Niw, beta: float, se
     return labels
 
 
+def chain(x: np.ndarray, row_ids, col_labels: np.ndarray, prior: Niw, alpha: float, beta: float, seed, iterations: int, sweeps: int = 1, compat: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Row labels, column labels and the numbers of clusters after each iteration, where one worker holds all rows."""
+    rows, cols = np.zeros(len(x), dtype=int), np.asarray(col_labels).copy()
+    d = x.shape[2]
+    counts = []
+    for step in range(iterations):
+        outside = Stats.zeros((int(cols.max()) + 1, int(rows.max()) + 1), d)
+        rows = row_sweep(x, row_ids, rows, cols, prior, alpha, outside, f"{seed}|{step}", sweeps)
+        hot = np.eye(int(rows.max()) + 1)[rows]
+        n = np.broadcast_to(hot.sum(axis=0), (x.shape[1], hot.shape[1])).copy()
+        per_column = Stats(n, np.einsum("rpd,rk->pkd", x, hot), np.einsum("rpd,rpe,rk->pkde", x, x, hot, optimize=True))
+        cols = column_sweep(per_column, cols, prior, beta, f"{seed}|{step}", compat)
+        counts.append((int(rows.max()) + 1, int(cols.max()) + 1))
+    return rows.astype("int64"), cols.astype("int64"), counts
+
+
 @dataclass
 class State:
     """What an iteration hands to the next: the small side of the model."""

@@ -26,6 +26,10 @@ from . import gibbs
 from .labels import require, worker_of
 
 
+#: A matrix of up to so many numbers may be fitted by one worker in one task, all iterations at once.
+ONE_TASK_CELLS = 20_000_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; one is chosen only where the session names none (tests)."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera-shared"
@@ -97,7 +101,7 @@ class BlockMixture:
         shipped = dealt.sparkSession.sparkContext.broadcast((state, prior))
         alpha, seed, sweeps, d = self.alpha, self.seed, self.local_sweeps, prior.d
 
-        def sweep(key, rows: pd.DataFrame) -> pd.DataFrame:
+        def sweep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             now, base = shipped.value
             rows = rows.sort_values("row_id")
             x = np.array([np.vstack(r) for r in rows["xs"]]).reshape(len(rows), -1, d)
@@ -160,6 +164,9 @@ class BlockMixture:
         path = f"{folder}/rows"
         self._dealt(cells, workers, n).repartition(workers, "worker_id").write.parquet(path)
         dealt = spark.read.parquet(path)
+        total = max(1, max_iter - 1) if self.compat else max_iter
+        if workers == 1 and row_labels is None and n * p * d <= ONE_TASK_CELLS:
+            return self._fit_in_one_task(dealt, columns, prior, total, folder, began)
         labels, iteration = None, 0
         state = gibbs.State(columns, 1, gibbs.Stats.zeros((int(columns.max()) + 1, 1), d))
         if row_labels is not None:
@@ -168,7 +175,6 @@ class BlockMixture:
             state = self._regrid(dealt, labels, columns, d)
             iteration = 1
         history: list[dict] = []
-        total = max(1, max_iter - 1) if self.compat else max_iter
         for step in range(total):
             local_path = f"{folder}/local-{step}"
             self._local_sweep(dealt, labels, state, prior, iteration).write.parquet(local_path)
@@ -204,6 +210,26 @@ class BlockMixture:
         final = spark.createDataFrame([(j, int(l)) for j, l in enumerate(state.col_labels)], "col_id int, l long")
         return Fitted(labels, final, state.n_row_clusters, int(state.col_labels.max()) + 1, time.perf_counter() - began, history)
 
+    def _fit_in_one_task(self, dealt: DataFrame, columns: np.ndarray, prior: Niw, total: int, folder: str, began: float) -> Fitted:
+        """All iterations in the task of the only worker: local clusters are the global ones and nothing is merged."""
+        spark = dealt.sparkSession
+        alpha, beta, seed, sweeps, compat, d = self.alpha, self.beta, self.seed, self.local_sweeps, self.compat, prior.d
+
+        def chain(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("row_id")
+            x = np.array([np.vstack(r) for r in rows["xs"]]).reshape(len(rows), -1, d)
+            found, cols, counts = gibbs.chain(x, rows["row_id"].tolist(), columns, prior, alpha, beta, seed, total, sweeps, compat)
+            at = pd.DataFrame({"axis": "row", "id": rows["row_id"].to_numpy(), "label": found})
+            return pd.concat([at, pd.DataFrame({"axis": "col", "id": np.arange(len(cols)), "label": cols}), pd.DataFrame({"axis": "step", "id": [a * 1_000_000 + b for a, b in counts], "label": np.arange(len(counts))})])
+
+        dealt.groupBy("worker_id").applyInPandas(chain, "axis string, id long, label long").write.parquet(f"{folder}/chain")
+        done = spark.read.parquet(f"{folder}/chain")
+        steps = sorted((r.label, r.id) for r in done.where("axis = 'step'").collect())
+        history = [{"iteration": int(i) + 1, "row_clusters": int(v // 1_000_000), "col_clusters": int(v % 1_000_000)} for i, v in steps]
+        rows = done.where("axis = 'row'").select(F.col("id").alias("row_id"), F.col("label").alias("k"))
+        cols = done.where("axis = 'col'").select(F.col("id").cast("int").alias("col_id"), F.col("label").alias("l"))
+        return Fitted(rows, cols, history[-1]["row_clusters"], history[-1]["col_clusters"], time.perf_counter() - began, history)
+
     @staticmethod
     def _over_columns(by_cluster: gibbs.Stats, col_labels: np.ndarray) -> gibbs.Stats:
         hot = np.eye(int(col_labels.max()) + 1)[col_labels]

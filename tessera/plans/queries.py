@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -674,10 +676,7 @@ def lbm_generate_vectors(spark, sf_dir):
 @query()
 def niw_sample(spark, sf_dir):
     """A mean and a variance drawn from every block's posterior."""
-    import numpy as np
-    import pandas as pd
-
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
         after = niw.Niw.make(MU, KAPPA, PSI, NU).update(row.n, np.array([row["mean"]]), np.array([[row.s]]))
         mean, sigma = after.sample(np.random.default_rng([SEED, int(key[0]), int(key[1])]))
@@ -708,3 +707,14 @@ def fit_scores(spark, sf_dir):
     cells = datagen.fixture_100(spark, SEED)
     truth = labels.blocks_by_arithmetic(cells.select("row_id", "k").distinct(), cells.select("col_id", "l").distinct(), 100)
     return score.scores(labels.blocks_by_arithmetic(done.row_labels, done.col_labels, 100), truth, ["row_id", "col_id"])
+
+
+@query()
+def fit_fixture(spark, sf_dir):
+    """Scores after 99 sweeps of the generated 100x100 matrix by one worker, as the published run."""
+    from ..operators.model import BlockMixture
+
+    cells = datagen.fixture_100(spark, SEED)
+    done = BlockMixture(alpha=5.0, beta=2.0, seed=1, workers=1).fit(cells.select("row_id", "col_id", "x"), max_iter=99)
+    truth = labels.blocks_by_arithmetic(cells.select("row_id", "k").distinct(), cells.select("col_id", "l").distinct(), 100)
+    return score.scores(labels.blocks_by_arithmetic(done.row_labels, done.col_labels, 100), truth, ["row_id", "col_id"])
