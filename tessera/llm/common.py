@@ -67,7 +67,22 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def per_batch(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str | None, clear: Callable[[], None] | None = None) -> None:
+    """Say which operator's memo this worker process may keep; the others' are cleared.
+
+    Processes serve one stage after another, and a memo that only an earlier
+    stage needed would take the later one's memory.
+    """
+    for other in [o for o in _HELD if o != owner]:
+        _HELD.pop(other)()
+    if owner is not None and clear is not None:
+        _HELD[owner] = clear
+
+
+def per_batch(df: DataFrame, make: Callable[[], Callable], schema, owner: str | None = None) -> DataFrame:
     """Map Arrow batches with a function that each task builds once.
 
     ``make()`` runs on the executor and returns ``f(batch) -> RecordBatch``, so
@@ -75,6 +90,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         f = make()
         for piece in pieces(batches):
             out = f(piece)

@@ -47,13 +47,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, per_batch, pieces, raw_texts, table
+from .common import claim, mix64, per_batch, pieces, raw_texts, table
 
 WORDS = 5
 #: Link where 100 * intersection >= 75 * union.
 PERCENT = 75
 EPSILON = 0.25
-SAMPLE_DOCS = 32_000
+SAMPLE_DOCS = 64_000
 FREQUENT = 3
 SALTS = 64
 BROADCAST_ROWS = 400_000
@@ -189,6 +189,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids = F.broadcast(docs.sparkSession.createDataFrame(drawn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"))
 
     def run(batches):
+        claim(None)
         for batch in pieces(batches):
             sets = [shingle_set(t) for t in raw_texts(batch.column("text"))]
             every = np.concatenate([np.zeros(0, np.uint64), *sets])

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerationCache, per_batch, texts
+from .common import TwoGenerationCache, claim, per_batch, texts
 
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
@@ -318,6 +318,7 @@ def _codec(model_path: str, held: dict = {}) -> Codec:  # noqa: B006 - one codec
     if model_path not in held:
         held.clear()
         held[model_path] = Codec(model_path)
+    claim("codec", held.clear)
     return held[model_path]
 
 
@@ -334,7 +335,7 @@ def _with(df: DataFrame, column: str, kind: str, f, source: str) -> DataFrame:
 
         return one
 
-    return per_batch(df, make, schema)
+    return per_batch(df, make, schema, owner="codec")
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", check: str | None = None, model_path: str | None = None) -> DataFrame:
@@ -362,7 +363,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", check: str | Non
 
         return one
 
-    return per_batch(df, make, schema)
+    return per_batch(df, make, schema, owner="codec")
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model_path: str | None = None) -> DataFrame:
@@ -396,4 +397,4 @@ def roundtrip_digests(df: DataFrame, model_path: str | None = None) -> DataFrame
         return one
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return per_batch(df.select("doc_id", "text"), make, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_corrected long")
+    return per_batch(df.select("doc_id", "text"), make, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_corrected long", owner="codec")
