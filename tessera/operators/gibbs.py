@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..functions.niw import Niw
+from ..functions.niw import LN_PI, Niw, logdet, mvlgamma
 from ..functions.rng import draw_index, uniform_value
 
 
@@ -76,17 +76,40 @@ def cell_stats(x: np.ndarray, labels: np.ndarray, n_labels: int) -> Stats:
     return Stats(n, np.einsum("rpd,pl->rld", x, hot), np.einsum("rpd,rpe,pl->rlde", x, x, hot, optimize=True))
 
 
-def row_log_weights(prior: Niw, grid: Stats, row: Stats, counts: np.ndarray, alpha: float) -> np.ndarray:
-    """Log weights of every row cluster and of a new one for a row; grid has axes (column cluster, row cluster)."""
-    spread = Stats(row.n[:, None], row.total[:, None], row.square[:, None])
-    held = posterior(prior, grid).log_marginal(*spread.moments()).sum(axis=0) + np.log(counts)
-    fresh = prior.log_marginal(*row.moments()).sum() + np.log(alpha)
-    return np.append(held, fresh)
+class Marginals:
+    """Log marginal likelihoods of statistics under a prior.
+
+    What depends on the count alone comes from a table, as counts are whole
+    numbers; the weight of adding cells to a cluster is the difference of two.
+    """
+
+    def __init__(self, prior: Niw, most: float):
+        self.prior = prior
+        self.table = self._by_count(np.arange(int(most) + 1)) if most <= TABLE_COUNTS else None
+        self.own = prior.kappa * prior.mu[:, None] * prior.mu[None, :] + prior.psi
+
+    def _by_count(self, n):
+        p, d = self.prior, self.prior.d
+        return -n * d / 2 * LN_PI + d / 2 * np.log(p.kappa / (p.kappa + n)) + mvlgamma((p.nu + n) / 2, d) - mvlgamma(p.nu / 2, d) + p.nu / 2 * logdet(p.psi)
+
+    def of(self, stats: Stats):
+        p, n = self.prior, stats.n
+        kappa = p.kappa + n
+        pulled = p.kappa * p.mu + stats.total
+        psi = self.own + stats.square - pulled[..., :, None] * pulled[..., None, :] / kappa[..., None, None]
+        return (self._by_count(n) if self.table is None else self.table[n.astype(int)]) - (p.nu + n) / 2 * logdet(psi)
+
+
+#: Counts up to this have their part of the marginal in a table.
+TABLE_COUNTS = 1_000_000
 
 
 def row_sweep(x: np.ndarray, row_ids, labels: np.ndarray, col_labels: np.ndarray, prior: Niw, alpha: float, outside: Stats, seed, sweeps: int = 1) -> np.ndarray:
     """New local labels of one worker's rows after ``sweeps`` passes in row order.
 
+    A row's weight for a cluster is the number of the worker's rows there times
+    the marginal likelihood of its cells given the cluster's, column cluster by
+    column cluster; for a new cluster alpha times that under the prior.
     ``outside`` has the statistics of the other workers' rows in the same
     clusters (zeros where there are none); counts are the worker's own.
     """
@@ -97,19 +120,28 @@ def row_sweep(x: np.ndarray, row_ids, labels: np.ndarray, col_labels: np.ndarray
     counts = np.bincount(labels, minlength=grid.n.shape[1]).astype(float)
     for r, k in enumerate(labels):
         grid.add((slice(None), k), rows[r])
+    marginal = Marginals(prior, grid.n.sum() + x.shape[0] * x.shape[1])
+    fresh = marginal.of(rows).sum(axis=1) + np.log(alpha)
+    held = marginal.of(grid)
     for sweep in range(sweeps):
         for r in range(len(labels)):
             k = labels[r]
             grid.add((slice(None), k), rows[r], -1)
             counts[k] -= 1
             if counts[k] == 0:
-                grid, counts = grid.without(k, 1), np.delete(counts, k)
+                grid, counts, held = grid.without(k, 1), np.delete(counts, k), np.delete(held, k, axis=1)
                 labels[labels > k] -= 1
-            weights = row_log_weights(prior, grid, rows[r], counts, alpha)
+            else:
+                held[:, k] = marginal.of(grid[:, k])
+            own = rows[r]
+            joint = marginal.of(Stats(grid.n + own.n[:, None], grid.total + own.total[:, None], grid.square + own.square[:, None]))
+            weights = np.append((joint - held).sum(axis=0) + np.log(counts), fresh[r])
             k = draw_index(weights, uniform_value(seed, "row", sweep, row_ids[r]))
             if k == len(counts):
                 grid, counts = grid.with_new(1), np.append(counts, 0.0)
+                held = np.concatenate([held, np.zeros((n_cols, 1))], axis=1)
             grid.add((slice(None), k), rows[r])
+            held[:, k] = marginal.of(grid[:, k])
             counts[k] += 1
             labels[r] = k
     return labels
@@ -144,13 +176,6 @@ def merge_fold(clusters: list[tuple], prior: Niw, alpha: float, seed, compat: bo
     return out
 
 
-def column_log_weights(prior: Niw, grid: Stats, column: Stats, counts: np.ndarray, beta: float) -> np.ndarray:
-    """Log weights of every column cluster and of a new one; grid has axes (column cluster, row cluster)."""
-    spread = Stats(column.n[None], column.total[None], column.square[None])
-    held = posterior(prior, grid).log_marginal(*spread.moments()).sum(axis=1) + np.log(counts)
-    return np.append(held, prior.log_marginal(*column.moments()).sum() + np.log(beta))
-
-
 def column_sweep(columns: Stats, labels: np.ndarray, prior: Niw, beta: float, seed, compat: bool = False) -> np.ndarray:
     """New column labels after one pass in column order; columns has axes (column, row cluster).
 
@@ -162,6 +187,8 @@ def column_sweep(columns: Stats, labels: np.ndarray, prior: Niw, beta: float, se
     for j, k in enumerate(labels):
         grid.add(k, columns[j])
     counts = np.bincount(labels, minlength=n).astype(float)
+    marginal = Marginals(prior, 2 * grid.n.sum())
+    fresh = marginal.of(columns).sum(axis=1) + np.log(beta)
     for j in range(len(labels)):
         k = labels[j]
         counts[k] -= 1
@@ -170,7 +197,9 @@ def column_sweep(columns: Stats, labels: np.ndarray, prior: Niw, beta: float, se
         if counts[k] == 0:
             grid, counts = grid.without(k, 0), np.delete(counts, k)
             labels[labels > k] -= 1
-        weights = column_log_weights(prior, grid, columns[j], counts, beta)
+        own = columns[j]
+        gain = marginal.of(Stats(grid.n + own.n, grid.total + own.total, grid.square + own.square)) - marginal.of(grid)
+        weights = np.append(gain.sum(axis=1) + np.log(counts), fresh[j])
         k = draw_index(weights, uniform_value(seed, "col", j))
         if k == len(counts):
             grid, counts = grid.with_new(0), np.append(counts, 0.0)

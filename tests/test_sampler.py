@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.niw import Niw
+from tessera.functions.niw import Niw, moments
 from tessera.operators import datagen, gibbs, labels, score
 from tessera.operators.gibbs import Stats
 from tessera.operators.model import BlockMixture
@@ -26,6 +26,17 @@ def test_stats_add_and_remove():
         assert a == pytest.approx(b)
 
 
+def test_weights_are_marginals_given_the_cluster():
+    rng = np.random.default_rng(7)
+    prior = Niw.make([0.2, -0.1], 1.5, np.array([[1.0, 0.2], [0.2, 2.0]]), 4)
+    held, new = rng.normal(size=(9, 2)), rng.normal(size=(4, 2))
+    of = lambda x: Stats(np.array([float(len(x))]), x.sum(0)[None], (x.T @ x)[None])
+    for most in (100, 2_000_000):
+        marginal = gibbs.Marginals(prior, most)
+        want = prior.update(*moments(held)).log_marginal(*moments(new))
+        assert (marginal.of(of(held) + of(new)) - marginal.of(of(held)))[0] == pytest.approx(float(want))
+
+
 def test_row_sweep_separates_rows():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(-5, 1, (10, 8, 1)), rng.normal(5, 1, (10, 8, 1))])
