@@ -62,6 +62,11 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, PIECE_ROWS):
             yield batch.slice(at, PIECE_ROWS)
     batch = None
+    settle()
+
+
+def settle() -> None:
+    """Give free memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, pieces, raw_texts, scored, sigmoid
+from .common import labelled_sample, pieces, raw_texts, scored, settle, sigmoid
 
 FIT_ROWS = 8_000
-FIT_BYTES = 48_000_000
+FIT_BYTES = 32_000_000
 DIMENSIONS = 48
 NONZERO = 6
 HIDDEN = 32
@@ -169,7 +169,9 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> Classifier:
-    return Classifier(*labelled_sample(docs, labels, column, BUCKETS, HELD_OUT, max_rows, max_bytes))
+    model = Classifier(*labelled_sample(docs, labels, column, BUCKETS, HELD_OUT, max_rows, max_bytes))
+    settle()
+    return model
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
