@@ -8,6 +8,11 @@ dictionary less that with the toxic one: a word that toxic text repeats costs a
 few bytes fewer with the toxic dictionary, ordinary words cost more.  Distances
 are kept in a bounded memo, as most words of a corpus come again and again.
 
+What a trainer keeps depends on the order of its samples, so a few pairs of
+dictionaries are trained and a window's distance is the sum over them.  The pair
+that tells the calibration texts apart best goes first; windows that it puts
+among the ordinary ones are not compressed with the others.
+
 Only windows that mark toxic text train the toxic dictionary: a stem (the first
 four or five bytes of a word) marks it if it stands after many different words
 in toxic texts and hardly in others, by a likelihood-ratio test.  Counting the
@@ -34,17 +39,23 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerationCache, labelled_sample, scored, sigmoid
+from .common import TwoGenerationCache, labelled_sample, scored, settle, sigmoid
 
 FIT_ROWS = 8_000
-FIT_BYTES = 48_000_000
+FIT_BYTES = 32_000_000
 BUCKETS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 WINDOW = 64
-TOXIC_DICTIONARY, ORDINARY_DICTIONARY = 4_096, 65_536
+ORDINARY_DICTIONARY = 65_536
+#: Size and segment length of each pair's toxic dictionary; ordinary ones share a segment length.
+TOXIC_DICTIONARIES = ((4_096, 32), (4_096, 32), (4_096, 16), (8_192, 64))
+ORDINARY_SEGMENT = 64
+#: Share of ordinary windows that the first pair rules out.
+RULED_OUT = 0.98
 ORDINARY_WINDOWS = 80_000
-#: Segment lengths that the trainer picks: the toxic windows are short and few, the ordinary ones many.
-TOXIC_SEGMENT, ORDINARY_SEGMENT = 32, 64
+FLOOR_WINDOWS = 20_000
 LEVEL = 19
+#: Least distance that a feature takes, and that of a window that a text lacks.
+LEAST = -24
 MARK_TEST, MARK_SHARE = 15.0, 0.9
 MEMO_WINDOWS = 300_000
 LEAD_IN = b" qzjxkvwpbyfgmuc" * 3
@@ -95,34 +106,52 @@ def dictionary(words: list[bytes], size: int, segment: int) -> zstandard.ZstdCom
 class Distance:
     """Window distances; the dictionaries travel as bytes and compressors are made where they are used."""
 
-    def __init__(self, toxic: zstandard.ZstdCompressionDict, ordinary: zstandard.ZstdCompressionDict):
-        self.parts = [(d.as_bytes(), d.dict_id() == 0) for d in (ordinary, toxic)]
+    def __init__(self, pairs: list[tuple[zstandard.ZstdCompressionDict, zstandard.ZstdCompressionDict]], floor: float = -math.inf):
+        self.parts = [[(d.as_bytes(), d.dict_id() == 0) for d in pair] for pair in pairs]
+        self.floor = floor
         self.ready = None
 
     def __getstate__(self):
-        return {"parts": self.parts, "ready": None}
+        return {"parts": self.parts, "floor": self.floor, "ready": None}
+
+    def ordered(self, order: list[int], floor: float) -> Distance:
+        out = Distance([], floor)
+        out.parts = [self.parts[i] for i in order]
+        return out
 
     def _prepare(self):
-        dicts = [zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT) for b, raw in self.parts]
         settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.ready = [zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress for d in dicts]
+
+        def compressor(part):
+            data, raw = part
+            held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT)
+            return zstandard.ZstdCompressor(dict_data=held, compression_params=settings).compress
+
+        self.ready = [(compressor(toxic), compressor(ordinary)) for toxic, ordinary in self.parts]
         self.memo = TwoGenerationCache(MEMO_WINDOWS)
 
-    def of(self, window: bytes) -> int:
+    def single(self, window: bytes, k: int) -> int:
+        """Distance by one pair of dictionaries."""
+        if self.ready is None:
+            self._prepare()
+        framed = LEAD_IN + b" " + window + b" "
+        toxic, ordinary = self.ready[k]
+        return len(ordinary(framed)) - len(toxic(framed))
+
+    def of(self, window: bytes) -> float:
         if self.ready is None:
             self._prepare()
         got = self.memo.get(window)
         if got is None:
-            framed = LEAD_IN + b" " + window + b" "
-            ordinary, toxic = self.ready
-            got = len(ordinary(framed)) - len(toxic(framed))
+            got = self.single(window, 0)
+            got = got * len(self.parts) if got < self.floor else got + sum(self.single(window, k) for k in range(1, len(self.parts)))
             self.memo.put(window, got)
         return got
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        """The two largest distances of different windows, and a constant."""
-        found = sorted((self.of(w) for w in set(windows(text))), reverse=True)[:2]
-        return (max(-8, found[0]) if found else -8, max(-8, found[1]) if len(found) > 1 else -8, 1.0)
+    def features(self, text: bytes) -> tuple[float, ...]:
+        """The three largest distances of different windows, and a constant."""
+        found = sorted((self.of(w) for w in set(windows(text))), reverse=True)[:3]
+        return (*(max(LEAST, d) for d in (*found, *[LEAST] * (3 - len(found)))), 1.0)
 
 
 class Classifier:
@@ -141,9 +170,20 @@ class Classifier:
         if trial is None:
             return
         calibrate = apart if apart.any() else ~apart
-        x = np.array([trial.features(r) for r, a in zip(raw, calibrate, strict=True) if a])
-        self.weights = self._logistic(x, y[calibrate])
-        self.distance = trial
+        held, known = [r for r, a in zip(raw, calibrate, strict=True) if a], y[calibrate]
+        plain = sorted({w for r, q in zip(held, known, strict=True) if q != 1 for w in windows(r)})
+        some = [plain[i] for i in np.random.default_rng(2).permutation(len(plain))[:FLOOR_WINDOWS]]
+        losses, floors = [], []
+        for k in range(len(trial.parts)):
+            alone = trial.ordered([k], -math.inf)
+            x = np.array([alone.features(r) for r in held])
+            p = sigmoid(x @ self._logistic(x, known))
+            losses.append(-np.mean(np.log(np.maximum(np.where(known == 1, p, 1 - p), 1e-9))))
+            floors.append(float(np.quantile([alone.of(w) for w in some], RULED_OUT)) if some else -math.inf)
+        order = sorted(range(len(losses)), key=losses.__getitem__)
+        self.distance = trial.ordered(order, floors[order[0]])
+        x = np.array([self.distance.features(r) for r in held])
+        self.weights = self._logistic(x, known)
 
     @staticmethod
     def _train(raw: list[bytes], y: np.ndarray) -> Distance | None:
@@ -156,12 +196,14 @@ class Classifier:
                     seen[w] = seen.get(w, 0) + 1
         if not seen:
             return None
-        draw = np.random.default_rng(1)
         marking = [w for w in sorted(seen) for _ in range(min(seen[w], 50))]
         common = sorted({w for r in ordinary for w in windows(r)})
-        draw.shuffle(marking)
-        draw.shuffle(common)
-        return Distance(dictionary(marking, TOXIC_DICTIONARY, TOXIC_SEGMENT), dictionary(common[:ORDINARY_WINDOWS], ORDINARY_DICTIONARY, ORDINARY_SEGMENT))
+        pairs = []
+        for k, (size, segment) in enumerate(TOXIC_DICTIONARIES):
+            draw = np.random.default_rng(k + 1)
+            one, other = [marking[i] for i in draw.permutation(len(marking))], [common[i] for i in draw.permutation(len(common))[:ORDINARY_WINDOWS]]
+            pairs.append((dictionary(one, size, segment), dictionary(other, ORDINARY_DICTIONARY, ORDINARY_SEGMENT)))
+        return Distance(pairs)
 
     @staticmethod
     def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -177,11 +219,13 @@ class Classifier:
     def score(self, raw: list[bytes]) -> np.ndarray:
         if self.distance is None:
             return np.full(len(raw), self.share)
-        return sigmoid(np.array([self.distance.features(r) for r in raw]).reshape(-1, 3) @ self.weights)
+        return np.round(sigmoid(np.array([self.distance.features(r) for r in raw]).reshape(-1, 4) @ self.weights), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> Classifier:
-    return Classifier(*labelled_sample(docs, labels, column, BUCKETS, HELD_OUT, max_rows, max_bytes))
+    model = Classifier(*labelled_sample(docs, labels, column, BUCKETS, HELD_OUT, max_rows, max_bytes))
+    settle()
+    return model
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
