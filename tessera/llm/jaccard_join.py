@@ -15,7 +15,8 @@ homes are the Voronoi regions by shared shingles.  Each point is compared with
 its home, which joins the copies of a text in one round.
 
 Regions whose points are not all connected by then are joined recursively.
-Pivots are drawn in them; every point of another component that shares a region
+Pivots are drawn in them, first the point that shares most with others, then
+points at random; every point of another component that shares a region
 with a pivot is compared with it, unless it is kept out of the window by its
 size, by the weight of the regions they share (linked sets share at least so
 many first shingles), by the triangle inequality on the distances to a common
@@ -57,7 +58,7 @@ SAMPLE_DOCS = 64_000
 FREQUENT = 3
 SALTS = 64
 BROADCAST_ROWS = 400_000
-FIRST_PIVOTS, PIVOT_GROWTH = 16, 16
+FIRST_PIVOTS, PIVOT_GROWTH = 1, 16
 #: Ranks of frequent shingles go up to this.
 MOST_RANK = 127
 #: Bits of a bitmap for every shingle, at least, and the least and most bits.
@@ -431,7 +432,10 @@ def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFram
         later = Window.partitionBy("point").orderBy(F.desc("size"), F.desc("region")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         reached = members.withColumn("reach", F.sum("weight").over(later))
         place = F.pmod(F.xxhash64("point", F.lit(step)), F.lit(pivots))
-        drawn = members.groupBy("region", place.alias("place")).agg(F.min(F.struct(F.xxhash64("point", F.lit(-step)).alias("o"), "point")).alias("p")).select("p.point").distinct()
+        # At first the point that shares most with others, which is near the middle of a group of copies; then points at random.
+        degree = members.groupBy("point").agg(F.sum(F.col("size") * F.col("weight")).alias("degree"))
+        order = -F.col("degree") if step == 0 else F.xxhash64("point", F.lit(-step))
+        drawn = members.join(degree, "point").groupBy("region", place.alias("place")).agg(F.min(F.struct(order.alias("o"), F.xxhash64("point").alias("then"), F.col("point"))).alias("p")).select("p.point").distinct()
         drawn = table(drawn)
         side = lambda k: [F.col("point").alias(k), F.col("n").alias(f"n_{k}"), F.col("last").alias(f"last_{k}"), F.col("c").alias(f"c_{k}"), F.col("reach").alias(f"reach_{k}")]
         theirs = reached.join(drawn, "point").select("region", *side("b"))
