@@ -12,7 +12,8 @@ Every slot of a wrapper has a path of open elements.  A slot is the page's own
 text unless its path runs through an element for navigation, notices, forms,
 adverts, scripts, styles or reader comments, or lies outside the article of a
 page that has one, or, on a page without an article, holds the same words on
-all of at least ``TEMPLATE_PAGES`` pages of the host.
+all of at least ``TEMPLATE_PAGES`` different pages of the host.  Pages whose
+slots hold the same texts are copies and count as one.
 
 Defined results: null and empty pages have the empty text; a null address is
 the host "" ; unclosed elements end with their parent, a truncated page ends all
@@ -29,6 +30,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -325,9 +327,9 @@ def _items(plain) -> Items:
     return tuple((i[0], _items(i[1])) if isinstance(i, list) else i for i in plain)
 
 
-def read_page(page: str) -> tuple[list[str], dict[str, int]]:
-    """A page's stream of tags and slots, and a checksum of the text of each slot path."""
-    walk, stream, slots = Walk(), [], {}
+def read_page(page: str) -> tuple[list[str], dict[str, int], int]:
+    """A page's stream of tags and slots, a checksum of the text of each slot path, and a digest of all these texts."""
+    walk, stream, slots, whole = Walk(), [], {}, xxhash.xxh3_64()
     for kind, name, rest in tokens(page):
         if kind == "text":
             if not rest.isspace():
@@ -335,13 +337,23 @@ def read_page(page: str) -> tuple[list[str], dict[str, int]]:
                 if stream[-1:] != ["#"]:
                     stream.append("#")
                 if not skipped_cached(path):
-                    slots[path] = zlib.crc32(rest.strip().encode("utf-8", "replace"), slots.get(path, 0))
+                    raw = rest.strip().encode("utf-8", "replace")
+                    slots[path] = zlib.crc32(raw, slots.get(path, 0))
+                    whole.update(f"{path}\0{len(raw)}\0".encode("utf-8", "replace") + raw)
         elif kind == "open":
             stream.append(walk.open(name, rest))
         else:
             walk.close(name)
             stream.append("/" + name)
-    return stream, slots
+    return stream, slots, whole.intdigest()
+
+
+def _seen(a: list | None, b: list) -> list:
+    """Least and greatest checksum of a path and the least digests of different pages with it, as many as a template needs."""
+    if a is None:
+        return b
+    pages = a[2] if b[2] == a[2] else sorted({*a[2], *b[2]})[:TEMPLATE_PAGES]
+    return [min(a[0], b[0]), max(a[1], b[1]), pages]
 
 
 def skipped_cached(path: str, held: dict = {}) -> bool:  # noqa: B006 - a memo per process
@@ -372,7 +384,7 @@ def infer(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                stream, slots = read_page(_text_of(page))
+                stream, slots, digest = read_page(_text_of(page))
                 kept = held.setdefault(host(url), [None, 0, {}, set()])
                 key = hash(tuple(stream))
                 if key not in kept[3]:
@@ -383,8 +395,7 @@ def infer(pages: DataFrame) -> DataFrame:
                 kept[1] += 1
                 for path, check in slots.items():
                     if not in_article(path):
-                        seen = kept[2].get(path)
-                        kept[2][path] = [check, check, 1] if seen is None else [min(seen[0], check), max(seen[1], check), seen[2] + 1]
+                        kept[2][path] = _seen(kept[2].get(path), [check, check, [digest]])
             if len(held) > HOSTS_HELD:
                 yield from flush()
         yield from flush()
@@ -396,9 +407,8 @@ def infer(pages: DataFrame) -> DataFrame:
         for items, found in zip(rows["items"], rows["slots"], strict=True):
             new = _items(json.loads(items))
             wrapper = new if wrapper is None else aligned(wrapper, new)
-            for path, (low, high, n) in json.loads(found).items():
-                seen = slots.get(path)
-                slots[path] = [low, high, n] if seen is None else [min(seen[0], low), max(seen[1], high), seen[2] + n]
+            for path, seen in json.loads(found).items():
+                slots[path] = _seen(slots.get(path), seen)
         return pd.DataFrame({"host": [key[0]], "items": [json.dumps(_plain(wrapper), ensure_ascii=False)], "n": [int(rows["n"].sum())], "slots": [json.dumps(slots, ensure_ascii=False)]})
 
     schema = "host string, items string, n long, slots string"
@@ -412,7 +422,7 @@ def infer(pages: DataFrame) -> DataFrame:
 
     @F.udf("array<string>")
     def template(slots):
-        return sorted(p for p, (low, high, n) in json.loads(slots).items() if low == high and n >= TEMPLATE_PAGES)
+        return sorted(p for p, (low, high, different) in json.loads(slots).items() if low == high and len(different) >= TEMPLATE_PAGES)
 
     return whole.select("host", regular("items").alias("wrapper"), F.col("n").alias("n_pages"), template("slots").alias("template_paths"))
 

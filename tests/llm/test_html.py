@@ -38,6 +38,15 @@ def test_page_without_article_drops_template_text(spark):
     assert h.extract(pages).count() == 8
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    copy = "<body><div class='post'><p>One story</p><p>in two parts</p></div></body>"
+    rows_ = [(i, f"http://h.example/x?{i}", copy) for i in range(4)]
+    rows_ += [(10 + i, "http://h.example/y", f"<body><div><p>Same on all</p></div><section><p>Story number {i}</p></section></body>") for i in range(3)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in rows(h.extract(pages))}
+    assert got == {**{i: "One story\n\nin two parts" for i in range(4)}, **{10 + i: f"Story number {i}" for i in range(3)}}
+
+
 def test_wrappers_fold_and_align():
     def stream(n, note):
         return ["body", "h1", "#", "/h1", *(["div.note", "#", "/div"] if note else []), *["p", "#", "/p"] * n, "/body"]
