@@ -100,7 +100,7 @@ def label(name: str, rest: str) -> str:
     if not rest:
         return name
     words = sorted({w for groups in _NAMED.findall(rest) for w in _WORD.findall("".join(groups).lower())})
-    return name + "".join(f".{w}" for w in words[:6])
+    return name + "".join(f".{w}" for w in words)
 
 
 class Walk:

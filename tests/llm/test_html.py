@@ -38,6 +38,12 @@ def test_page_without_article_drops_template_text(spark):
     assert h.extract(pages).count() == 8
 
 
+def test_role_words_count_among_many_words():
+    many = "box bg col flex grid item"
+    page = f"<body><article><p>Story</p><div class='{many} sidebar'>Links</div><p class='{many} text share'>Tell a friend</p><p class='{many} text'>End</p></article></body>"
+    assert h.main_text(page) == "Story\n\nEnd"
+
+
 def test_copies_of_a_page_keep_their_text(spark):
     copy = "<body><div class='post'><p>One story</p><p>in two parts</p></div></body>"
     rows_ = [(i, f"http://h.example/x?{i}", copy) for i in range(4)]
