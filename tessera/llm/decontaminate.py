@@ -6,11 +6,15 @@ is a capitalised word that doesn't begin a sentence.  Windows of ``WINDOW``
 template words (the whole of a shorter item) are hashed; windows of a document
 and of a benchmark item with equal hashes are joined.  Along one alignment of a
 document and an item every value of a placeholder in the item must stand against
-one value in the document, and the other way round: then the passage is the
-item, word by word or with other parameters; contradictory alignments are left out.
-
-An item leaks into a document if consistent alignments cover at least
-``COVERAGE`` of its windows.  Windows need ``LITERALS`` literal words, or half
+one value in the document: then the passage is the item, word by word or with
+other parameters.  If a value stands against itself and, elsewhere, against
+others, the passage is a copy changed in places, and only the windows with these
+places are left out; an alignment with a value that stands against different
+ones but never against itself is contradictory and left out.
+
+An item leaks into a document if such alignments cover at least ``COVERAGE`` of
+its windows, or if any alignment has ``VERBATIM`` neighbouring words of the item
+word by word.  Windows need ``LITERALS`` literal words, or half
 their words where they are shorter, so lists of names or numbers match nothing.
 
 The windows of the benchmark sift the documents' windows on the executors as
@@ -36,6 +40,7 @@ from .common import mix64, per_batch, texts
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
+VERBATIM = 20
 SIFT_WINDOWS = 2_000_000
 MEMO_WORDS = 400_000
 
@@ -187,17 +192,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, sift_windows: int = SIFT_WINDOW
     runs = (
         joined.where(F.size("item_slots") == F.size("doc_slots"))
         .groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
-        .agg(F.first("item_windows").alias("item_windows"), F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
+        .agg(F.first("item_windows").alias("item_windows"), F.sort_array(F.collect_set(F.struct("item_pos", "size", pair.alias("pairs")))).alias("windows"))
+        .withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))
     )
-    values = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    consistent = runs.where((values("i") == F.size("pairs")) & (values("d") == F.size("pairs")))
-    whole = consistent.groupBy("doc_id", "item_id").agg(
-        F.first("item_windows").alias("item_windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"),
-        F.max(F.exists("pairs", lambda p: p["i"] != p["d"])).alias("reworded"),
+    own = lambda p: p["i"] == p["d"]
+    other = lambda p: F.exists("pairs", lambda o: (o["i"] == p["i"]) & (o["d"] != p["d"]))
+    kept_own = lambda p: F.exists("pairs", lambda o: (o["i"] == p["i"]) & own(o))
+    runs = runs.withColumn("odd", F.filter("pairs", lambda p: ~own(p) & other(p)))
+    contradictory = F.exists("odd", lambda p: ~kept_own(p))
+    consistent = F.filter("windows", lambda w: ~contradictory & ~F.arrays_overlap(w["pairs"], F.col("odd")))
+    # Windows that overlap or touch make one verbatim stretch.
+    start = F.struct(F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("longest"))
+
+    def further(held, w):
+        begin = F.when(w["item_pos"] <= held["end"], held["begin"]).otherwise(w["item_pos"])
+        end = w["item_pos"] + w["size"]
+        return F.struct(begin.alias("begin"), end.alias("end"), F.greatest(held["longest"], end - begin).alias("longest"))
+
+    runs = runs.withColumns({"consistent": consistent, "same": F.filter("windows", lambda w: F.forall(w["pairs"], own))})
+    runs = runs.withColumn("verbatim", F.aggregate("same", start, further)["longest"])
+    runs = runs.withColumn("counted", F.when(F.col("verbatim") >= VERBATIM, F.array_union("consistent", "same")).otherwise(F.col("consistent")))
+    whole = (
+        runs.where(F.size("counted") > 0)
+        .groupBy("doc_id", "item_id")
+        .agg(
+            F.first("item_windows").alias("item_windows"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("counted.item_pos")))).cast("long").alias("n_windows"),
+            F.max(F.exists(F.flatten("counted.pairs"), lambda p: p["i"] != p["d"])).alias("reworded"),
+            F.max("verbatim").alias("verbatim"),
+        )
     )
     share = F.col("n_windows") / F.col("item_windows")
-    return whole.select("doc_id", "item_id", "n_windows", "item_windows", share.alias("coverage"), "reworded").where(F.col("coverage") >= COVERAGE)
+    leaked = whole.where((share >= COVERAGE) | (F.col("verbatim") >= VERBATIM))
+    return leaked.select("doc_id", "item_id", "n_windows", "item_windows", share.alias("coverage"), "reworded")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -216,6 +216,22 @@ def test_other_parameters_and_contradictions(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_changed_copies_merged_values_and_long_quotations(spark):
+    quoted = " ".join(f"term{i * 37 % 101}" for i in range(59))
+    bench = spark.createDataFrame([(1, ITEM), (2, quoted)], "item_id long, text string")
+    changed = ITEM.replace("in Boston station", "in Paris station")
+    merged = ITEM.replace("120", "6").replace("45", "6")
+    part = quoted.split()[10:42]
+    texts = [(1, "Intro words. " + changed), (2, "Intro words. " + merged), (3, "Before it " + " ".join(part) + " and after"), (4, "Before it " + " ".join(part[:15]) + " and after")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for sift in (decontaminate.SIFT_WINDOWS, 0):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench, sift).collect()}
+        assert set(got) == {(1, 1), (2, 1), (3, 2)}
+        assert not got[1, 1].reworded and got[1, 1].n_windows < got[1, 1].item_windows
+        assert got[2, 1].reworded and got[2, 1].coverage == 1
+        assert got[3, 2].n_windows == 25 and got[3, 2].item_windows == 52
+
+
 # ---------------------------------------------------------------- language model
 
 
