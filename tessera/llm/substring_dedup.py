@@ -12,6 +12,12 @@ neighbouring repeating chunks of at least ``PASSAGE`` bytes; single chunks that
 happen to be equal are left alone.  The first document (least doc_id) with a
 chunk keeps it, in all others it is a copy.
 
+Chunk borders may fall so that a shared passage holds few whole chunks.  Runs of
+``GRAM`` words are therefore chunks as well, which overlap the others: of every
+``SHARED - GRAM + 1`` neighbouring runs the one with the least hash.  Any
+``SHARED`` words (between ASCII white space) that two documents share hold such a
+run in both, and a repeating run of words is a passage of any size.
+
 Counting chunks combines on the map side; marking them joins two shuffled
 sides, where Spark splits a digest that a third of all documents share.
 
@@ -28,12 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, raw_texts
+from .common import mix64, per_batch, raw_texts
 
 MASK_BITS = 5
 SHORTEST, LONGEST = 24, 256
 PASSAGE = 96
+GRAM, SHARED = 25, 50
 GEAR = np.random.default_rng(1592653589).integers(0, 1 << 32, 256, dtype=np.uint32)
+_BYTES = np.random.default_rng(2718281828).integers(0, 1 << 63, 256, dtype=np.uint64)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, GRAM + 1)], dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -70,13 +80,42 @@ def cuts(raw: bytes) -> list[int]:
     return out
 
 
+def grams(raw: bytes) -> list[tuple[int, int]]:
+    """Begin and end of the chosen runs of ``GRAM`` words: one of any ``SHARED - GRAM + 1`` neighbours at least.
+
+    Of equal runs one is enough within ``SHARED`` words.
+    """
+    data = np.frombuffer(raw, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]])))
+    begins, ends = edges[::2], edges[1::2]
+    n, width = len(begins) - GRAM + 1, SHARED - GRAM + 1
+    if n < width:
+        return []
+    # A word's hash: its bytes' values times powers of an odd number by their place in it.
+    within = np.arange(len(data)) - np.repeat(np.append(0, begins), np.diff(np.concatenate([[0], begins, [len(data)]])))
+    power = np.multiply.accumulate(np.full(int(within.max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    value = np.where(_SPACE[data], np.uint64(0), _BYTES[data] * power[within])
+    words = mix64(np.add.reduceat(value, begins))
+    total = np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):
+        total += words[k : k + n] * _POWERS[k]
+    total = mix64(total)
+    least = np.lib.stride_tricks.sliding_window_view(total, width).argmin(axis=1) + np.arange(n - width + 1)
+    out, last = [], {}
+    for i in np.unique(least).tolist():
+        if i - last.get(h := int(total[i]), -SHARED) >= SHARED:
+            last[h] = i
+            out.append((int(begins[i]), int(ends[i + GRAM - 1])))
+    return out
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """digest (two longs), doc_id, begin and end of every chunk."""
+    """digest (two longs), doc_id, begin and end of every chunk, and whether it is a run of words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
         def one(batch):
-            ids, begins, ends, digests = [], [], [], []
+            ids, begins, ends, digests, runs = [], [], [], [], []
             hashed = xxhash.xxh3_128_digest
             for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), strict=True):
                 last = 0
@@ -86,13 +125,19 @@ def chunks(docs: DataFrame) -> DataFrame:
                     begins.append(last)
                     last = end
                 ends += found
-                ids += [doc] * len(found)
+                some = grams(raw)
+                for begin, end in some:
+                    digests.append(hashed(b"\0" + b" ".join(raw[begin:end].split())))
+                    begins.append(begin)
+                    ends.append(end)
+                ids += [doc] * (len(found) + len(some))
+                runs += [False] * len(found) + [True] * len(some)
             both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, batch.column("doc_id").type), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["d1", "d2", "doc_id", "begin", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, batch.column("doc_id").type), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(runs, pa.bool_())], names=["d1", "d2", "doc_id", "begin", "end", "gram"])
 
         return one
 
-    return per_batch(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), make, f"d1 long, d2 long, doc_id {kind}, begin int, end int")
+    return per_batch(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), make, f"d1 long, d2 long, doc_id {kind}, begin int, end int, gram boolean")
 
 
 def repeating(found: DataFrame) -> DataFrame:
@@ -109,7 +154,16 @@ def _runs(parts: list[dict]) -> list[tuple[int, int, list[dict]]]:
             out[-1][2].append(p)
         else:
             out.append([p["begin"], p["end"], [p]])
-    return [tuple(r) for r in out if r[1] - r[0] >= PASSAGE]
+    return [tuple(r) for r in out if r[1] - r[0] >= PASSAGE or any(p["gram"] for p in r[2])]
+
+
+def _length(parts: set[tuple[int, int]]) -> int:
+    """Bytes that parts cover, which may overlap."""
+    total = at = 0
+    for b, e in sorted(parts):
+        total += max(0, e - max(at, b))
+        at = max(at, e)
+    return total
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -121,7 +175,7 @@ def passages(docs: DataFrame) -> DataFrame:
     """
     found = chunks(docs)
     marked = found.join(repeating(chunks(docs)), ["d1", "d2"])
-    gathered = marked.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "first_doc")).alias("parts"))
+    gathered = marked.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "gram", "first_doc")).alias("parts"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_passages long, repeated_bytes long, copied_bytes long, passages array<struct<begin:int,end:int>>, first_docs array<{kind}>"
 
@@ -132,7 +186,7 @@ def passages(docs: DataFrame) -> DataFrame:
                 if runs := _runs(parts):
                     copied = {(p["begin"], p["end"]) for _, _, held in runs for p in held if p["first_doc"] != doc}
                     firsts = sorted({p["first_doc"] for _, _, held in runs for p in held})
-                    rows.append((doc, len(runs), sum(e - b for b, e, _ in runs), sum(e - b for b, e in copied), [{"begin": b, "end": e} for b, e, _ in runs], firsts))
+                    rows.append((doc, len(runs), sum(e - b for b, e, _ in runs), _length(copied), [{"begin": b, "end": e} for b, e, _ in runs], firsts))
             if not rows:
                 return None
             c = list(zip(*rows, strict=True))
@@ -151,7 +205,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """
     found = chunks(docs)
     marked = found.join(repeating(chunks(docs)), ["d1", "d2"])
-    gathered = marked.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "first_doc")).alias("_parts"))
+    gathered = marked.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "gram", "first_doc")).alias("_parts"))
     names = docs.columns
     held = "_".join(["parts", *names])  # no column has this name
     joined = docs.join(gathered.withColumnRenamed("_parts", held), "doc_id", "left").select(*names, held)

@@ -94,6 +94,21 @@ def test_passages_over_fifty_words_are_found(spark):
     assert found <= _shared_passages(plain, 10)
 
 
+def test_any_fifty_shared_words_are_found(spark):
+    draw = np.random.default_rng(5)
+    some = lambda n: " ".join("".join(map(chr, draw.integers(97, 123, draw.integers(1, 9)))) for _ in range(n))
+    texts = []
+    for k in range(300):
+        passage = some(50)
+        texts += [(2 * k, f"{some(30)} {passage} {some(30)}"), (2 * k + 1, f"{some(41)}\n{passage} {some(9)}")]
+    texts += [(1000, "a b " * 3000), (1001, some(200)), (1002, " " + some(49) + " ")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id for r in substring_dedup.passages(docs).collect()} == set(range(600))
+    for raw in (b"", b"   ", *(t.encode() for _, t in texts[-3:])):
+        got = substring_dedup.grams(raw)
+        assert all(len(raw[b:e].split()) == substring_dedup.GRAM for b, e in got) and len(got) < 400
+
+
 def test_copies_are_removed_once(spark):
     passage = " ".join(f"phrase{i * 31 % 97}" for i in range(80))
     texts = [(1, "first " + passage + " end"), (2, "second other words " + passage), (3, "nothing shared here at all"), (3, "nothing shared here at all")]
