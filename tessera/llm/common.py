@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import pickle
+import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -129,8 +132,13 @@ class TwoGenerationCache:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is chosen only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera-shared"
+    """The folder that all executors share, which the session names; a folder of this machine only where Spark runs in this process alone (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return tempfile.gettempdir() + "/tessera-shared"
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -159,32 +167,71 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, buckets: int, held_out: int, max_rows: int, max_bytes: int):
-    """Texts and labels to fit a classifier on: a bounded random sample of labelled rows.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, buckets: int, held_out: int, max_rows: int, max_bytes: int) -> DataFrame | None:
+    """place, doc_id, y and text of the rows that a classifier is fitted on: a bounded random sample of labelled rows.
 
     Rows of the held-out fold (crc32 of the id modulo ``buckets``) never enter.
     Ids are drawn in the order of a hash, at most ``max_rows`` of them and as
-    many as ``max_bytes`` of text allow, so what reaches the driver is bounded.
+    many as ``max_bytes`` of text allow; only ids and sizes reach the driver.
     Rows without id, text or label are left out; of several labels of one id the
-    smallest counts.
+    smallest counts, of several texts the greatest.  None if no row is left.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).cast("int").alias("y"))
     drawn = known.where(crc_mod(F.col("doc_id"), buckets) != held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("place", F.xxhash64("doc_id"))
     ids = {r.doc_id: (r.place, r.y) for r in drawn.collect()}
-    if not ids:
-        return [], np.zeros(0, dtype=int)
     spark = docs.sparkSession
-    picked = F.broadcast(spark.createDataFrame([(i, p) for i, (p, _) in ids.items()], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, place long"))
-    there = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(picked, "doc_id")
-    sizes = sorted((r.place, r.doc_id, r.size) for r in there.groupBy("doc_id", "place").agg(F.max(F.octet_length("text")).alias("size")).collect())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    some = lambda chosen: F.broadcast(spark.createDataFrame([(i, *ids[i]) for i in chosen], f"doc_id {kind}, place long, y int"))
+    there = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    sizes = sorted((ids[r.doc_id][0], r.doc_id, r.size) for r in there.join(some(ids), "doc_id").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).collect()) if ids else []
     within, total = [], 0
     for _, i, size in sizes:
         if total + size <= max_bytes:
             total += size
             within.append(i)
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in within], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"))
-    rows = sorted((ids[r.doc_id][0], r.doc_id, r.text) for r in docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).collect()) if within else []
-    return [t for _, _, t in rows], np.array([ids[i][1] for _, i, _ in rows], dtype=int)
+    if not within:
+        return None
+    return there.join(some(within), "doc_id").groupBy("place", "doc_id", "y").agg(F.max("text").alias("text"))
+
+
+class Model:
+    """A fitted model as bytes: small on the driver, read once by each worker process that uses it."""
+
+    def __init__(self, data: bytes):
+        self.data, self.held = data, None
+
+    def __getstate__(self):
+        return {"data": self.data, "held": None}
+
+    def get(self):
+        if self.held is None:
+            self.held = pickle.loads(self.data)
+        return self.held
+
+
+def fitted(sample: DataFrame | None, make: Callable) -> Model:
+    """``make(raw texts, labels)`` of a bounded sample, run in one task of an executor; only the model comes to the driver.
+
+    Rows are taken in the order of their places, so the model doesn't depend on
+    how the documents are dealt, and a lost executor costs one more run.
+    """
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(batch.column("place").to_pylist(), batch.column("doc_id").to_pylist(), raw_texts(batch.column("text")), batch.column("y").to_pylist(), strict=True)
+        rows.sort(key=lambda r: r[:2])
+        raw, y = [r[2] for r in rows], np.array([r[3] for r in rows], dtype=int)
+        rows.clear()
+        data = pickle.dumps(make(raw, y), protocol=pickle.HIGHEST_PROTOCOL) if raw else None
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["model"])
+
+    if sample is not None:
+        got = [bytes(r.model) for r in sample.repartition(1).mapInArrow(run, "model binary").where(F.col("model").isNotNull()).collect()]
+        if got:
+            return Model(got[0])
+    return Model(pickle.dumps(make([], np.zeros(0, dtype=int))))
 
 
 def sigmoid(x):

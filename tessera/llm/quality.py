@@ -10,7 +10,8 @@ the pooled vectors, and its logit is divided by a temperature fitted on texts
 that the network has not seen.
 
 The fitting texts are a bounded sample of labelled rows (``FIT_ROWS``,
-``FIT_BYTES``); every document is scored over its whole text.
+``FIT_BYTES``), read and fitted in one task of an executor; the driver holds
+the weights only.  Every document is scored over its whole text.
 
 Defined results: null and empty texts pool to zeros and get the score of that;
 with no labelled rows, or labels of one kind only, every score is the share of
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, pieces, raw_texts, scored, settle, sigmoid
+from .common import Model, fitted, labelled_sample, pieces, raw_texts, scored, sigmoid
 
 FIT_ROWS = 8_000
 FIT_BYTES = 32_000_000
@@ -41,9 +42,9 @@ _KIND = bytes(97 if c > 127 or chr(c).islower() else 65 if 65 <= c <= 90 else 57
 _RUN = re.compile(rb"(.)\1+", re.S)
 
 
-def index_vector(word: bytes) -> np.ndarray:
-    """A few random entries of +1 and -1, fixed by the word's checksum."""
-    draw = np.random.default_rng(zlib.crc32(word))
+def index_vector(mark: int) -> np.ndarray:
+    """A few random entries of +1 and -1, fixed by a word's checksum."""
+    draw = np.random.default_rng(mark)
     out = np.zeros(DIMENSIONS, dtype=np.float32)
     out[draw.choice(DIMENSIONS, NONZERO, replace=False)] = draw.choice([-1.0, 1.0], NONZERO)
     return out
@@ -51,7 +52,7 @@ def index_vector(word: bytes) -> np.ndarray:
 
 def shape(kinds: bytes) -> bytes:
     """A word of character kinds with every run of two or more written as two."""
-    return _RUN.sub(rb"\1\1", kinds[:256])[:24]
+    return _RUN.sub(rb"\1\1", kinds)
 
 
 class Pooler:
@@ -64,7 +65,7 @@ class Pooler:
                 seen[w] = seen.get(w, 0) + 1
         frequent = sorted((-n, w) for w, n in seen.items() if n > 1)[:MAX_WORDS]
         self.words = {w: k for k, (_, w) in enumerate(frequent)}
-        index = np.array([index_vector(w) for w in self.words]).reshape(-1, DIMENSIONS)
+        index = np.array([index_vector(zlib.crc32(w)) for w in self.words]).reshape(-1, DIMENSIONS)
         total = index * 4.0
         for t in texts:
             at = np.array([k for k in map(self.words.get, t.lower().split()) if k is not None], dtype=np.int64)
@@ -73,22 +74,23 @@ class Pooler:
                 np.add.at(total, at[:-gap], index[at[gap:]])
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         self.vectors = np.vstack([total / np.maximum(norm, 1e-9), np.zeros((1, DIMENSIONS))]).astype(np.float32)
-        self.shapes: dict[bytes, int] = {}
+        self.shapes: dict[int, int] = {}
         self.memo: dict[bytes, int] = {}
         self.shape_vectors = np.zeros((0, DIMENSIONS), dtype=np.float32)
 
     def _shape(self, kinds: bytes) -> int:
         got = self.memo.get(kinds)
         if got is None:
-            s = shape(kinds)
-            got = self.shapes.get(s)
+            mark = zlib.crc32(b"\0" + shape(kinds))
+            got = self.shapes.get(mark)
             if got is None:
-                if len(self.shapes) > 50_000:
+                if len(self.shapes) >= 50_000:
                     self.shapes.clear()
                     self.memo.clear()
-                    self.shape_vectors = self.shape_vectors[:0]
-                got = self.shapes[s] = len(self.shapes)
-                self.shape_vectors = np.vstack([self.shape_vectors[:got], index_vector(b"\0" + s)[None]])
+                got = self.shapes[mark] = len(self.shapes)
+                if got == len(self.shape_vectors):
+                    self.shape_vectors = np.vstack([self.shape_vectors, np.zeros((max(got, 256), DIMENSIONS), dtype=np.float32)])
+                self.shape_vectors[got] = index_vector(mark)
             if len(self.memo) > 200_000:
                 self.memo.clear()
             if len(kinds) < 64:
@@ -121,12 +123,11 @@ class Pooler:
 class Classifier:
     """A pooler and the network's weights; without weights a constant score."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, epochs: int = 60, rate: float = 0.01, seed: int = 5):
+    def __init__(self, raw: list[bytes], y: np.ndarray, epochs: int = 60, rate: float = 0.01, seed: int = 5):
         self.share = float(y.mean()) if len(y) else 0.5
         self.layers = None
         if len(set(y.tolist())) < 2:
             return
-        raw = [t.encode() for t in texts]
         self.pooler = Pooler(raw)
         x = self.pooler.matrix(raw)
         draw = np.random.default_rng(seed)
@@ -168,25 +169,24 @@ class Classifier:
         return np.round(sigmoid(self._logit((self.pooler.matrix(raw) - self.mean) / self.scale) / self.temperature), 9)
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> Classifier:
-    model = Classifier(*labelled_sample(docs, labels, column, BUCKETS, HELD_OUT, max_rows, max_bytes))
-    settle()
-    return model
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> Model:
+    """The classifier, fitted in one task on the bounded sample."""
+    return fitted(labelled_sample(docs, labels, column, BUCKETS, HELD_OUT, max_rows, max_bytes), Classifier)
 
 
-def score(docs: DataFrame, model: Classifier) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted (score of at least 0.7) of every document."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return scored(docs, lambda: held.value.score, BUCKETS, HELD_OUT, THRESHOLD)
+    return scored(docs, lambda: held.value.get().score, BUCKETS, HELD_OUT, THRESHOLD)
 
 
-def accepted(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in pieces(batches):
-            keep = held.value.score(raw_texts(batch.column("text"))) >= threshold
+            keep = held.value.get().score(raw_texts(batch.column("text"))) >= threshold
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -39,7 +39,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerationCache, labelled_sample, scored, settle, sigmoid
+from .common import Model, TwoGenerationCache, fitted, labelled_sample, scored, sigmoid
 
 FIT_ROWS = 8_000
 FIT_BYTES = 32_000_000
@@ -157,12 +157,11 @@ class Distance:
 class Classifier:
     """Dictionaries, and the calibrated logistic function of a document's distances."""
 
-    def __init__(self, texts: list[str], y: np.ndarray):
+    def __init__(self, raw: list[bytes], y: np.ndarray):
         self.share = float(y.mean()) if len(y) else 0.0
         self.distance = None
         if len(set(y.tolist())) < 2:
             return
-        raw = [t.encode() for t in texts]
         apart = np.arange(len(y)) % 4 == 0
         if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
             apart[:] = False
@@ -222,13 +221,12 @@ class Classifier:
         return np.round(sigmoid(np.array([self.distance.features(r) for r in raw]).reshape(-1, 4) @ self.weights), 9)
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> Classifier:
-    model = Classifier(*labelled_sample(docs, labels, column, BUCKETS, HELD_OUT, max_rows, max_bytes))
-    settle()
-    return model
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> Model:
+    """The classifier, fitted in one task on the bounded sample."""
+    return fitted(labelled_sample(docs, labels, column, BUCKETS, HELD_OUT, max_rows, max_bytes), Classifier)
 
 
-def score(docs: DataFrame, model: Classifier) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted (score of at least 0.5) of every document."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return scored(docs, lambda: held.value.score, BUCKETS, HELD_OUT, THRESHOLD)
+    return scored(docs, lambda: held.value.get().score, BUCKETS, HELD_OUT, THRESHOLD)

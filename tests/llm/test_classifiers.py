@@ -1,7 +1,10 @@
+import pickle
+
 import numpy as np
 import pytest
 
 from tessera.llm import quality, toxicity
+from tessera.llm.common import Model
 
 from .helpers import awkward, clashing, empty, fold
 
@@ -50,7 +53,7 @@ def test_labels_of_one_kind_or_none(spark, module, column, buckets, out, thresho
 
 def test_accepted_keeps_all_columns(spark):
     docs = clashing(awkward(spark))
-    model = quality.Classifier([], np.array([]))
+    model = Model(pickle.dumps(quality.Classifier([], np.array([]))))
     assert quality.accepted(docs, model, threshold=0.4).columns == docs.columns
     assert quality.accepted(docs, model, threshold=0.4).count() == 11
     assert quality.accepted(docs, model, threshold=0.6).count() == 0
