@@ -4,33 +4,36 @@ A document's set holds its distinct shingles of ``WORDS`` words (the whole
 sequence where there are fewer words; nothing without words).  Distance is one
 less the Jaccard index, a metric; two sets link within ``EPSILON`` = 1 - 0.75.
 
-Equal sets become one point.  Points far from everything are separated first:
-under one global order of shingles (sampled frequency, then hash) linked sets
-share one of their first n - ceil(0.75 n) + 1 shingles, so every such shingle
-spans a region, a point lies in the regions of its own first shingles, and
-regions without a second point go; regions of the same points count as one, of
-their common weight.  In every region the point of least priority is the pivot,
-and the pivot that most of a point's regions have is its home: the cells of the
-homes are the Voronoi regions by shared shingles.  Each point is compared with
-its home, which joins the copies of a text in one round.
-
-Regions whose points are not all connected by then are joined recursively.
-Pivots are drawn in them, first the point that shares most with others, then
-points at random; every point of another component that shares a region
-with a pivot is compared with it, unless it is kept out of the window by its
-size, by the weight of the regions they share (linked sets share at least so
-many first shingles), by the triangle inequality on the distances to a common
-home, or by a bitmap of the shingles, which bounds the intersection.  Pivots
-that have been compared leave all regions, regions that have become connected
-go, and the number of pivots grows from round to round.  No rule drops a linked
-pair, so every pair of linked points is compared or already connected, and
-components are exact.
-
-Frequent shingles are known from a bounded sample (``SAMPLE_DOCS``); it only
-orders shingles and spreads the rows of frequent ones, the result is the same
-for any order.  Components are found by alternating stars on distributed
-tables, after each task has contracted the links that it holds.  Shingles and
-sets are known by 64-bit hashes.
+Equal sets become one point.  Unrelated texts are all at distance 1, so
+documents as pivots can't part them; an inverted index does that first: under
+one global order of shingles (sampled frequency, then hash) linked sets share
+one of their first n - ceil(0.75 n) + 1 shingles, so every such shingle spans a
+region, a point lies in the regions of its own first shingles, and regions
+without a second point go; regions of the same points count as one, of their
+common weight.  In every region the point of least priority is a pivot, and the
+pivot that most of a point's regions have is its home.  The points of one home
+are a Voronoi cell, and each point's distance to its home is computed.
+
+Cells are joined first, recursively: pivots are drawn in a cell, at first the
+point that shares most with others, then points of the smallest components, and
+are compared with the cell's points of other components whose distance to the
+home lies within ``EPSILON`` of the pivot's own (triangle inequality).  Pivots
+that have met their cell leave it, cells that have become connected go, and the
+number of pivots grows from round to round.  The index then replicates points
+over the cells' boundaries: of every region whose points aren't all connected
+by then, points of different cells are joined in the same way.  In both, sizes,
+the weight of the regions that two points share (linked sets share at least so
+many first shingles) and a parity sketch of the shingles, whose differing bits
+bound the symmetric difference from below, keep pairs out that can't link.  No
+rule drops a linked pair, so every pair of linked points is compared or already
+connected, and components are exact.
+
+Frequent shingles are known from a bounded sample (about ``SAMPLE_DOCS``
+documents, at most ``MOST_FREQUENT`` shingles); it only orders shingles and
+spreads the rows of frequent ones, the result is the same for any order.
+Components are found by alternating stars on distributed tables, after each
+task has contracted the links that it holds.  Shingles and sets are known by
+64-bit hashes.
 
 Defined results: null and empty texts have no shingles, component_id their own
 doc_id, and link with nothing; rows of one doc_id with different texts are
@@ -56,13 +59,16 @@ PERCENT = 75
 EPSILON = 0.25
 SAMPLE_DOCS = 64_000
 FREQUENT = 3
-SALTS = 64
+MOST_FREQUENT = 200_000
+#: Least number of parts of a frequent shingle's region, and rows of first shingles that a task sorts.
+SALTS, TASK_ROWS = 64, 3_000_000
 BROADCAST_ROWS = 400_000
 FIRST_PIVOTS, PIVOT_GROWTH = 1, 16
 #: Ranks of frequent shingles go up to this.
 MOST_RANK = 127
-#: Bits of a bitmap for every shingle, at least, and the least and most bits.
-LEAST_BITS, MOST_BITS = 256, 65_536
+#: Bits of a sketch: four for every shingle, within these bounds; joins compare sketches folded to LEAST_BITS, as words of 64.
+LEAST_BITS, MOST_BITS = 512, 65_536
+FOLDED = [f"w{k}" for k in range(LEAST_BITS // 64)]
 
 _BYTE = np.random.default_rng(314159).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -131,29 +137,29 @@ def linked(inter, union):
     return 100 * inter >= PERCENT * union
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Bits of the low hash bits of the shingles; as many bits as twice the shingles, rounded up to a power of two."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length()))
-    held = np.zeros(bits, dtype=bool)
-    held[(shingles & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(held).tobytes()
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles by their low hash bits, packed in bytes."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(shingles) - 1).bit_length()))
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool))
 
 
-def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
-    """A bound on the intersection of two sets, from their bitmaps: a bit that only one has stands for an element that only it has."""
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    return min(n_a - int(_ONES[x & ~y].sum()), n_b - int(_ONES[y & ~x].sum()))
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits (``size`` bytes): parities of halves add up."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
+def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """A bound on the intersection of two sets: each differing bit of their sketches stands for an element that only one has."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    size = min(len(x), len(y))
+    apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+    return min(n_a, n_b, (n_a + n_b - apart) // 2)
 
 
 def document_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_shingles, the id of the set (null if it is empty), its first shingles with their ranks, where they end, and its bitmap."""
+    """doc_id, n_shingles, the id of the set (null if it is empty), its first shingles with their ranks, where they end, and its sketch, whole and folded."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -175,19 +181,19 @@ def document_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> D
         def one(batch):
             sets = [shingle_set(t) for t in raw_texts(batch.column("text"))]
             firsts = [first(s) if len(s) else (None, None) for s in sets]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([f for f, _ in firsts], pa.binary()), pa.array([e for _, e in firsts], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "point", "first", "last", "bits"])
+            bits = [sketch(s) for s in sets]
+            few = np.array([folded(x, LEAST_BITS // 8) for x in bits]).view("<i8").reshape(len(sets), len(FOLDED))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([f for f, _ in firsts], pa.binary()), pa.array([e for _, e in firsts], pa.int64()), pa.array([x.tobytes() if len(s) else None for x, s in zip(bits, sets, strict=True)], pa.binary()), *(pa.array(w) for w in few.T)], names=["doc_id", "n_shingles", "point", "first", "last", "bits", *FOLDED])
 
         return one
 
-    return per_batch(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, point long, first binary, last long, bits binary")
+    return per_batch(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, point long, first binary, last long, bits binary, {', '.join(f'{w} long' for w in FOLDED)}")
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that come in at least FREQUENT sampled documents, sorted, with their number."""
-    drawn = [(r.doc_id,) for r in docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    if not drawn:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    ids = F.broadcast(docs.sparkSession.createDataFrame(drawn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"))
+    """Shingles that come in at least FREQUENT sampled documents, sorted, with their number; of more than MOST_FREQUENT the most frequent."""
+    share = SAMPLE_DOCS / max(SAMPLE_DOCS, docs.count())
+    drawn = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("text")
 
     def run(batches):
         claim(None)
@@ -197,13 +203,20 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             shingles, n = np.unique(every, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["s", "n"])
 
-    found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
-    shingles, n = found.column("s").to_numpy().view(np.uint64), np.minimum(found.column("n").to_numpy(), MOST_RANK).astype(np.uint8)
+    found = table(drawn.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("s", F.least("n", F.lit(MOST_RANK)).cast("byte").alias("n")))
+    held, least = 0, MOST_RANK + 1
+    for n, many in sorted(((r.n, r["count"]) for r in found.groupBy("n").count().collect()), reverse=True):
+        held += many
+        if held > MOST_FREQUENT:
+            break
+        least = n
+    kept = found.where(F.col("n") >= least).toArrow()
+    shingles, n = kept.column("s").to_numpy().view(np.uint64), kept.column("n").to_numpy().astype(np.uint8)
     order = np.argsort(shingles)
     return shingles[order], n[order]
 
 
-def postings(sets: DataFrame) -> DataFrame:
+def postings(sets: DataFrame, salts: int = SALTS) -> DataFrame:
     """s, salt, point and size for the first shingles of every set; salt spreads frequent shingles (-1: not frequent)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +236,13 @@ def postings(sets: DataFrame) -> DataFrame:
                 s = np.concatenate([np.frombuffer(firsts[i], dtype=np.int64, count=k) for i, k in zip(some, keep, strict=True)])
                 rank = np.concatenate([np.frombuffer(firsts[i], dtype=np.uint8, offset=8 * k) for i, k in zip(some, keep, strict=True)])
                 point = np.repeat(np.array([points[i] for i in some], dtype=np.int64), keep)
-                salt = np.where(rank > 0, point % SALTS, -1).astype(np.int16)
+                salt = np.where(rank > 0, point % salts, -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(salt), pa.array(point), pa.array(np.repeat(np.array([sizes[i] for i in some], dtype=np.int32), keep))], names=["s", "salt", "point", "n"])
 
-    return sets.where(F.col("point").isNotNull()).select("point", "n_shingles", "first").mapInArrow(run, "s long, salt short, point long, n int")
+    return sets.where(F.col("point").isNotNull()).select("point", "n_shingles", "first").mapInArrow(run, "s long, salt int, point long, n int")
 
 
-def regions(found: DataFrame) -> DataFrame:
+def regions(found: DataFrame, parts: int) -> DataFrame:
     """region, whether it is spread, point, n, the pivot and its size, and the region's weight.
 
     One shuffle deals postings by shingle (and salt, for frequent ones); each
@@ -237,14 +250,13 @@ def regions(found: DataFrame) -> DataFrame:
     regions of the same points once, with their number as weight.  A frequent
     shingle stays a region of its own, as each task sees only a part of it.
     """
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-        if not parts:
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        if not held:
             return
-        s, salt, point, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-        parts = None
+        s, salt, point, size = (np.concatenate(c) for c in zip(*held, strict=True))
+        held = None
         # Only shingles that come again matter; few do.
         mixed = mix64(s.view(np.uint64) + (salt.astype(np.int64) + 1).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(mixed)
@@ -279,7 +291,7 @@ def regions(found: DataFrame) -> DataFrame:
         for at in range(0, len(cols[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in cols], names=["region", "spread", "point", "n", "pivot", "pivot_n", "weight"])
 
-    return found.repartition(n, "s", "salt").mapInArrow(run, "region long, spread boolean, point long, n int, pivot long, pivot_n int, weight long")
+    return found.repartition(parts, "s", "salt").mapInArrow(run, "region long, spread boolean, point long, n int, pivot long, pivot_n int, weight long")
 
 
 def _fits(a, b):
@@ -387,7 +399,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) that their bitmaps don't rule out."""
+    """Pairs (a, b) that their whole sketches don't rule out."""
     side = lambda k: points.select(F.col("point").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
@@ -405,61 +417,125 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return per_batch(both, make, "a long, b long")
 
 
-def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFrame:
-    """Links (a, b) between points that connect whatever any links connect."""
-    where = table(regions(postings(sets)))
-    # A frequent shingle has a pivot for each salt; the least of them is the pivot of the region.
-    hot = where.where("spread").select("region", "pivot", "pivot_n").distinct()
-    head = hot.groupBy("region").agg(F.min(F.struct(F.xxhash64("pivot").alias("o"), "pivot", "pivot_n")).alias("h")).select("region", F.col("h.pivot").alias("b"), F.col("h.pivot_n").alias("n_b"))
-    between = hot.join(head, "region").select(F.col("pivot").alias("a"), F.col("pivot_n").alias("n_a"), "b", "n_b").where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).select("a", "b")
-    votes = where.select(F.col("point").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"), F.col("pivot_n").alias("n_b"), "weight").where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
-    home = votes.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    asked = home.unionByName(between).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    known = compare(docs, points, table(_bounded(asked, points)))
-    near = known.select("a", "b", "distance")
-    near = table(home.join(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")), ["a", "b"]).select(F.col("a").alias("point"), F.col("b").alias("home"), "distance"))
-    members = where.groupBy("region", "point", "n").agg(F.sum("weight").alias("weight"))
-    label = table(components(known.where("link").select("a", "b")).withColumnRenamed("v", "point"))
-    ends = points.select("point", "last")
+def _beyond(n):
+    """How many shingles that two linked sets share can lie after the first ones of a set, whose first ones end first."""
+    return F.floor((n * PERCENT + 99) / 100) - 1
+
+
+def _needed():
+    """The least weight of regions that linked points a and b share."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    rest = F.when(F.col("last_a") < F.col("last_b"), _beyond(n_a)).when(F.col("last_a") > F.col("last_b"), _beyond(n_b)).otherwise(F.greatest(_beyond(n_a), _beyond(n_b)))
+    return F.greatest(F.ceil((n_a + n_b) * PERCENT / (100 + PERCENT)) - rest, F.lit(1))
+
+
+def _may_link(weight: str):
+    """What two points of different components must fulfil to link: sizes, shared weight (bounded by each one's) and sketches."""
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in FOLDED[1:]), F.bit_count(F.col(f"{FOLDED[0]}_a").bitwiseXOR(F.col(f"{FOLDED[0]}_b"))))
+    near = (F.col("n_a") + F.col("n_b")) * (100 - PERCENT) >= apart * (100 + PERCENT)
+    return (F.col("c_a") != F.col("c_b")) & _fits("n_a", "n_b") & (F.least(f"{weight}_a", f"{weight}_b") >= _needed()) & near
+
+
+def _side(df: DataFrame, k: str, keep: tuple = ()) -> DataFrame:
+    """The frame with its point named ``k`` and all columns but ``keep`` marked by it."""
+    return df.select(*[F.col(c) if c in keep else F.col(c).alias(k if c == "point" else f"{c}_{k}") for c in df.columns])
+
+
+def _pairs(left: DataFrame, right: DataFrame, on: str, where) -> DataFrame:
+    return _side(left, "a", (on,)).join(_side(right, "b", (on,)), on).where(where)
+
+
+def _joined(label: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels (point, c) brought up to date with new links."""
+    if new.isEmpty():
+        return label
+    return table(components(label.select(F.col("point").alias("a"), F.col("c").alias("b")).unionByName(new)).withColumnRenamed("v", "point"))
+
+
+def cell_rounds(docs: DataFrame, points: DataFrame, cells: DataFrame, label: DataFrame) -> DataFrame:
+    """Labels after all linked pairs of one cell are connected.
+
+    ``cells`` holds point, n, last, cell, distance, weight, degree and the folded
+    sketch of every point that shares a region with another.
+    """
     pivots, step = FIRST_PIVOTS, 0
+    while True:
+        named = cells.join(label, "point", "left").withColumn("c", F.coalesce("c", "point"))
+        open_ = named.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")).where("low <> high").select("cell", "least", "most")
+        # A point whose own weight is under what any size in its cell would need links with none there.
+        n, both = F.col("n"), lambda other: (F.col("n") + other) * PERCENT / (100 + PERCENT)
+        small, large = F.greatest("least", F.ceil(n * PERCENT / 100)), F.least("most", F.floor(n * 100 / PERCENT))
+        needed = F.least(F.ceil(both(small)) - _beyond(n), F.ceil(both(large) - large * PERCENT / 100 - 1e-6))
+        cells = table(named.join(open_, "cell").where(F.col("weight") >= needed).drop("least", "most"))
+        if cells.isEmpty():
+            return label
+        sizes = cells.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("size"))
+        # At first the point that shares most with others, which is near the middle of a group of copies; then points of small components.
+        order = -F.col("degree") if step == 0 else F.col("size")
+        place = F.pmod(F.xxhash64("point", F.lit(step)), F.lit(pivots))
+        drawn = table(cells.join(sizes, ["cell", "c"]).groupBy("cell", place.alias("place")).agg(F.min(F.struct(order.alias("o"), F.xxhash64("point", F.lit(-step)).alias("then"), F.col("point"))).alias("p")).select("p.point"))
+        within = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= EPSILON + 1e-9, F.lit(True))
+        met = _pairs(cells, cells.join(drawn, "point", "left_semi"), "cell", _may_link("weight") & within)
+        asked = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        label = _joined(label, compare(docs, points, table(_bounded(asked, points))).where("link").select("a", "b"))
+        cells = cells.drop("c").join(drawn, "point", "left_anti")
+        pivots *= PIVOT_GROWTH
+        step += 1
+
+
+def boundary_rounds(docs: DataFrame, points: DataFrame, cells: DataFrame, members: DataFrame, label: DataFrame) -> DataFrame:
+    """Labels after all linked pairs are connected that share a region and lie in different cells."""
+    pivots, step = FIRST_PIVOTS, 0
+    own = cells.select("point", "n", "last", "cell", *FOLDED)
     while True:
         labelled = members.join(label, "point", "left").withColumn("c", F.coalesce("c", "point"))
         held = labelled.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("region", "size")
-        members = table(labelled.join(held, "region").join(ends, "point").select("region", "size", "point", "n", "last", "c", "weight"))
+        members = table(labelled.join(held, "region").select("region", "size", "point", "c", "weight"))
         if members.isEmpty():
-            break
+            return label
         # The weight of a point's regions from this one on, larger regions being later: a pair that meets first here shares at most that.
         later = Window.partitionBy("point").orderBy(F.desc("size"), F.desc("region")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        reached = members.withColumn("reach", F.sum("weight").over(later))
+        reached = members.withColumn("reach", F.sum("weight").over(later)).join(own, "point")
         place = F.pmod(F.xxhash64("point", F.lit(step)), F.lit(pivots))
-        # At first the point that shares most with others, which is near the middle of a group of copies; then points at random.
         degree = members.groupBy("point").agg(F.sum(F.col("size") * F.col("weight")).alias("degree"))
         order = -F.col("degree") if step == 0 else F.xxhash64("point", F.lit(-step))
-        drawn = members.join(degree, "point").groupBy("region", place.alias("place")).agg(F.min(F.struct(order.alias("o"), F.xxhash64("point").alias("then"), F.col("point"))).alias("p")).select("p.point").distinct()
-        drawn = table(drawn)
-        side = lambda k: [F.col("point").alias(k), F.col("n").alias(f"n_{k}"), F.col("last").alias(f"last_{k}"), F.col("c").alias(f"c_{k}"), F.col("reach").alias(f"reach_{k}")]
-        theirs = reached.join(drawn, "point").select("region", *side("b"))
-        met = reached.select("region", "weight", *side("a")).join(theirs, "region").where(F.col("c_a") != F.col("c_b")).where(_fits("n_a", "n_b"))
-        # Linked sets share 75/175 of both sizes, of which at most ceil(3/4 n) - 1 lie after the first shingles of the set whose first ones end first.
-        after = lambda k: F.floor((F.col(f"n_{k}") * PERCENT + 99) / 100) - 1
-        rest = F.when(F.col("last_a") < F.col("last_b"), after("a")).when(F.col("last_a") > F.col("last_b"), after("b")).otherwise(F.greatest(after("a"), after("b")))
-        needed = F.greatest(F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT)) - rest, F.lit(1))
+        drawn = table(members.join(degree, "point").groupBy("region", place.alias("place")).agg(F.min(F.struct(order.alias("o"), F.xxhash64("point").alias("then"), F.col("point"))).alias("p")).select("p.point").distinct())
+        met = _pairs(reached.drop("size"), reached.drop("size", "weight").join(drawn, "point", "left_semi"), "region", (F.col("cell_a") != F.col("cell_b")) & _may_link("reach"))
         # A linked pair meets at its first region within both points' reach; what the rows left out could add to its weight is bounded too.
-        open_ = met.where(F.least("reach_a", "reach_b") >= needed)
-        pairs = open_.groupBy("a", "b").agg(F.max(needed).alias("needed"), F.sum("weight").alias("shared"), F.min(F.least("reach_a", "reach_b") - F.col("weight")).alias("left"))
+        pairs = met.groupBy("a", "b").agg(F.max(_needed()).alias("needed"), F.sum("weight_a").alias("shared"), F.min(F.least("reach_a", "reach_b") - F.col("weight_a")).alias("left"))
         pairs = pairs.where(F.col("shared") + F.least(F.col("left"), F.col("needed") - 1) >= F.col("needed"))
-        # Triangle inequality: two points of one home are at least as far apart as their distances to it differ.
-        home_of = lambda k: near.select(F.col("point").alias(k), F.col("home").alias(f"home_{k}"), F.col("distance").alias(f"d_{k}"))
-        far = (F.col("home_a") == F.col("home_b")) & (F.abs(F.col("d_a") - F.col("d_b")) > EPSILON + 1e-9)
-        pairs = pairs.join(home_of("a"), "a", "left").join(home_of("b"), "b", "left").where(~F.coalesce(far, F.lit(False)))
         asked = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = compare(docs, points, table(_bounded(asked, points))).where("link").select("a", "b")
-        if not new.isEmpty():
-            tied = label.select(F.col("point").alias("a"), F.col("c").alias("b"))
-            label = table(components(tied.unionByName(new)).withColumnRenamed("v", "point"))
-        members = members.join(drawn, "point", "left_anti").select("region", "point", "n", "weight")
+        label = _joined(label, compare(docs, points, table(_bounded(asked, points))).where("link").select("a", "b"))
+        members = members.join(drawn, "point", "left_anti").select("region", "point", "weight")
         pivots *= PIVOT_GROWTH
         step += 1
+
+
+def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFrame:
+    """Links (a, b) between points that connect whatever any links connect."""
+    rows = points.agg(F.sum(F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    where = table(regions(postings(sets, max(SALTS, parts)), parts))
+    # A frequent shingle has a pivot for each salt; the least of them is the pivot of the region.
+    hot = where.where("spread").select("region", "pivot", "pivot_n").distinct()
+    head = hot.groupBy("region").agg(F.min(F.struct(F.xxhash64("pivot").alias("o"), "pivot", "pivot_n")).alias("h")).select("region", F.col("h.pivot").alias("b"), F.col("h.pivot_n").alias("n_b"))
+    between = hot.join(head, "region").select(F.col("pivot").alias("a"), F.col("pivot_n").alias("n_a"), "b", "n_b").where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).select("a", "b")
+    votes = where.select(F.col("point").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"), F.col("pivot_n").alias("n_b"), "weight").where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
+    home = table(votes.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
+    asked = home.unionByName(between).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    known = compare(docs, points, table(_bounded(asked, points)))
+    near = known.select("a", "b", "distance")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    homes = home.join(near, ["a", "b"], "left").select(F.col("a").alias("point"), F.col("b").alias("home"), "distance")
+    members = table(where.groupBy("region", "point").agg(F.sum("weight").alias("weight")))
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
+    own = members.join(sizes, "region").groupBy("point").agg(F.sum("weight").alias("weight"), F.sum(F.col("size") * F.col("weight")).alias("degree"))
+    # A point without a home is its own, at distance 0; one whose sketch kept it from being compared has no distance.
+    cell, distance = F.coalesce("home", "point"), F.when(F.col("home").isNull(), 0.0).otherwise(F.col("distance"))
+    cells = table(points.drop("doc", "bits").join(own, "point").join(homes, "point", "left").withColumns({"cell": cell, "distance": distance}).drop("home"))
+    label = table(components(known.where("link").select("a", "b")).withColumnRenamed("v", "point"))
+    label = cell_rounds(docs, points, cells, label)
+    label = boundary_rounds(docs, points, cells, members, label)
     return label.select(F.col("point").alias("a"), F.col("c").alias("b"))
 
 
@@ -469,7 +545,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = table(document_sets(docs, frequent_shingles(docs)))
     named = sets.where(F.col("doc_id").isNotNull() & F.col("point").isNotNull())
     least = named.groupBy("point").agg(F.min("doc_id").alias("doc"))
-    points = table(least.join(named.select(F.col("doc_id").alias("doc"), "point", F.col("n_shingles").cast("int").alias("n"), "last", "bits"), ["doc", "point"]).dropDuplicates(["point"]))
+    points = table(least.join(named.select(F.col("doc_id").alias("doc"), "point", F.col("n_shingles").cast("int").alias("n"), "last", "bits", *FOLDED), ["doc", "point"]).dropDuplicates(["point"]))
     links = point_links(docs, named, points)
     # An id with several texts ties their sets together.
     tied = named.groupBy("doc_id").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a <> b").select("a", "b")

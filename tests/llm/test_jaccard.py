@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -67,6 +67,36 @@ def test_near_copies_chains_and_shared_passages(spark):
     _check(spark, texts)
 
 
+def test_five_thousand_near_copies(spark):
+    import numpy as np
+
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [draw.choice(vocabulary) for _ in range(120)]
+    texts = []
+    for _ in range(5000):
+        own = list(base)
+        for _ in range(draw.choice((0, 1, 1, 2, 2, 3, 4, 5, 6, 7))):
+            own[draw.randrange(len(own))] = draw.choice(vocabulary)
+        texts.append(" ".join(own))
+    sets = _sets(enumerate(texts))
+    seen = Counter(x for s in sets.values() for x in s)
+    column = {x: k for k, x in enumerate(x for x, n in seen.items() if n > 1)}
+    held = np.zeros((len(texts), len(column)), dtype=np.float32)
+    for i, s in sets.items():
+        held[i, [column[x] for x in s if x in column]] = 1
+    size = np.array([len(sets[i]) for i in range(len(texts))])
+    common = np.rint(held @ held.T)
+    link = 100 * common >= 75 * (size[:, None] + size - common)
+    least = np.arange(len(texts))
+    while (new := np.where(link, least, len(texts)).min(axis=1).clip(max=least)).tolist() != least.tolist():
+        least = new
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in j.classes(docs).collect()}
+    assert 5 < len(set(least.tolist())) < 4000
+    assert got == dict(enumerate(least.tolist()))
+
+
 def test_query_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sets = _sets((r.doc_id, r.text) for r in docs.collect())
@@ -104,7 +134,7 @@ def test_components(spark, edges):
     assert got == want
 
 
-def test_bitmaps_bound_the_intersection():
+def test_sketches_bound_the_intersection():
     draw = random.Random(2)
     import numpy as np
 
@@ -112,7 +142,9 @@ def test_bitmaps_bound_the_intersection():
         a = np.unique(np.array([draw.getrandbits(64) for _ in range(draw.randint(1, 900))], dtype=np.uint64))
         b = np.unique(np.concatenate([a[: draw.randint(0, len(a))], np.array([draw.getrandbits(64) for _ in range(draw.randint(1, 300))], dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
-        assert common <= j.most_common(j.bitmap(a), len(a), j.bitmap(b), len(b)) <= min(len(a), len(b))
+        x, y = j.sketch(a).tobytes(), j.sketch(b).tobytes()
+        assert common <= j.most_common(x, len(a), y, len(b)) <= min(len(a), len(b))
+        assert (j.folded(j.sketch(a), 64) == j.folded(j.folded(j.sketch(a), 128), 64)).all()
 
 
 def test_hash_agrees_for_equal_words():
