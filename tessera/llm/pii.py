@@ -35,7 +35,8 @@ Span = tuple[int, int, str]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# A match begins where a run of digits does, so a run is tried once and not from each of its digits.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -99,8 +100,10 @@ def _order(span: Span) -> tuple[int, int, int]:
 
 #: Words that may stand before personal data.
 CUES = frozenset("tel phone call fax mobile card visa ip host server mail email contact".split())
-#: A word that the field reads: it has a digit, an at sign or a bracketed at.
-_READ = re.compile(r"[^\x20\x09-\x0D]*(?:[0-9@]|[\[(]at[\])])[^\x20\x09-\x0D]*")
+#: The field reads the words with a digit, an at sign or a bracketed at.
+_MARK = re.compile(r"[0-9@]|[\[(]at[\])]")
+_SPACES = frozenset(" \t\n\x0b\x0c\r")
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 _EDGE = ".,;:!?%$#&*|\"'<>="
 _WORD_BEFORE = re.compile(r"([A-Za-z]+)[.:]?[\x20\x09-\x0D]+$")
 _RUNS = ((re.compile(r"[0-9]+"), lambda m: f"9{min(len(m[0]), 20)}"), (re.compile(r"[^\W\d_]+"), lambda m: "a"))
@@ -108,14 +111,14 @@ _RUNS = ((re.compile(r"[0-9]+"), lambda m: f"9{min(len(m[0]), 20)}"), (re.compil
 
 def shape(word: str) -> str:
     """Digit runs with their length, letter runs as one letter, everything else as it is."""
-    out = _RUNS[1][0].sub("a", word[:80])
+    out = _RUNS[1][0].sub("a", word)
     return _RUNS[0][0].sub(_RUNS[0][1], out)
 
 
 def features(word: str, cue: str) -> list[str]:
     digits = sum(c.isdigit() for c in word)
     size = "0" if not digits else next((str(n) for n in (2, 4, 6, 8, 11, 15, 19) if digits <= n), "more")
-    marks = "".join(sorted({c for c in word if not c.isalnum()}))[:8]
+    marks = "".join(sorted({c for c in word if not c.isalnum()}))
     out = [f"shape={shape(word)}", f"digits={size}", f"marks={marks}", f"first={shape(word[:1])}", f"letters={any(c.isalpha() for c in word)}", "bias"]
     if re.search(r"[\[(]at[\])]|@", word):
         out.append("at")
@@ -177,12 +180,11 @@ class Field:
         self.memo: dict = {}
 
     def scores(self, word: str, cue: str) -> np.ndarray:
-        """Tag scores of one word, kept by the word's shape and features."""
-        key = (shape(word), cue)
+        """Tag scores of one word, kept by those of its features that the field knows."""
+        key = tuple([self.index[f] for f in features(word, cue) if f in self.index])
         got = self.memo.get(key)
         if got is None:
-            at = [self.index[f] for f in features(word, cue) if f in self.index]
-            got = self.emit[at].sum(axis=0) if at else np.zeros(len(TAGS))
+            got = self.emit[list(key)].sum(axis=0) if key else np.zeros(len(TAGS))
             if len(self.memo) > 50_000:
                 self.memo.clear()
             self.memo[key] = got
@@ -221,7 +223,7 @@ class Field:
 
 
 def _plain(word: str) -> bool:
-    return _READ.fullmatch(word) is None
+    return _MARK.search(word) is None
 
 
 def train(table=None, steps: int = 150, rate: float = 0.1, decay: float = 0.01) -> Field:
@@ -277,25 +279,37 @@ def train(table=None, steps: int = 150, rate: float = 0.1, decay: float = 0.01)
     return Field(index, emit, pairs)
 
 
+def _read_words(text: str):
+    """Begin and end of every word with a mark, each found from its first mark, so that no character is looked at often."""
+    end = 0
+    while (m := _MARK.search(text, end)) is not None:
+        begin = m.start()
+        while begin > end and text[begin - 1] not in _SPACES:
+            begin -= 1
+        space = _SPACE.search(text, m.end())
+        end = space.start() if space else len(text)
+        yield begin, end
+
+
 def _read_runs(text: str) -> list[list[tuple[int, int, str]]]:
     """Runs of neighbouring words that the field reads: (begin, end, cue before)."""
     runs: list = []
     end_before = -1
-    for m in _READ.finditer(text):
-        word = m[0]
+    for start, stop in _read_words(text):
+        word = text[start:stop]
         left = len(word) - len(word.lstrip(_EDGE))
         core = word.strip(_EDGE)
-        begin = m.start() + left
-        gap = text[end_before : m.start()] if end_before >= 0 and m.start() - end_before < 8 else "x"
+        begin = start + left
+        gap = text[end_before:start] if end_before >= 0 and start - end_before < 8 else "x"
         cue = ""
         if gap.strip(" \t\n\x0b\x0c\r"):
-            before = _WORD_BEFORE.search(text, max(0, m.start() - 16), m.start())
+            before = _WORD_BEFORE.search(text, max(0, start - 16), start)
             cue = before[1].lower() if before and before[1].lower() in CUES else ""
             runs.append([])
         if not runs:
             runs.append([])
         runs[-1].append((begin, begin + len(core), cue))
-        end_before = m.end()
+        end_before = stop
     return runs
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -353,6 +354,22 @@ def test_tables_are_read_back(spark):
     assert kept.schema.simpleString() == df.schema.simpleString() and kept.count() == 10
 
 
+def test_long_words_take_linear_time():
+    field = pii.train(steps=5)
+    for text in ("a" * 1_000_000, "7" * 1_000_000, "1." * 500_000, "a@" * 300_000, "+1(" * 300_000, "x1" * 500_000):
+        began = time.perf_counter()
+        pii.find([text], field)
+        assert time.perf_counter() - began < 2, text[:4]
+
+
+def test_whole_words_decide():
+    field = pii.train()
+    head = "a." * 50
+    one, other = (field.scores(head + tail, "") for tail in ("b@c.example.org", "1/2"))
+    assert not np.array_equal(one, other)
+    assert np.array_equal(one, field.scores(head + "b@c.example.org", ""))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
