@@ -8,21 +8,35 @@ expression without unions.  Each task infers wrappers of its own pages; equal
 ones collapse, and the remaining few per host are aligned with each other, by
 host and salt first and by host then, so no task holds all pages of a host.
 
-Every slot of a wrapper has a path of open elements.  A slot is the page's own
-text unless its path runs through an element for navigation, notices, forms,
-adverts, scripts, styles or reader comments, or lies outside the article of a
-page that has one, or, on a page without an article, holds the same words on
-all of at least ``TEMPLATE_PAGES`` different pages of the host.  Pages whose
-slots hold the same texts are copies and count as one.
+Every page is then read by its host's wrapper as an automaton, which says for
+each text which slot of the wrapper it fills; a tag that the wrapper lacks is
+passed over and leaves the automaton where it is.  A slot, together with the
+elements that are open there, decides about its texts:
+
+* on pages with an article, the slots within it are the page's own text;
+* on other pages, a text that all pages of the host with this slot hold in it
+  is template, if at least ``TEMPLATE_PAGES`` of these pages are different, and
+  what varies is own text.  Pages whose slots hold the same texts count as one;
+* slots in elements for navigation, notices, forms, adverts, scripts, styles or
+  reader comments never are.  Element names decide that, and class, id and role
+  where they name nothing else: ``cookie-notice`` does, ``related-work`` doesn't.
+
+Slots within articles aren't compared between pages, as near copies of one
+article would empty each other.  A stretch whose alignment would pass
+``ALIGN_CELLS`` or ``WIDEST`` becomes a loose group that reads any sequence of
+its tags; no text is left out by that.
 
 Defined results: null and empty pages have the empty text; a null address is
 the host "" ; unclosed elements end with their parent, a truncated page ends all
-of them; repeated rows give equal rows; nothing is capped: a page of any length
-is read whole, in time linear in its length.
+of them; a tag without its end is markup up to the next ``<``, or the end of the
+page, and an attribute whose quotation mark isn't closed ends with its tag;
+repeated rows give equal rows; nothing is capped: a page of any length is read
+whole, in time linear in its length.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -34,12 +48,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import per_batch, table
 
 TEMPLATE_PAGES = 3
 SALTS = 64
 #: Wrapper tables up to this many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 16_000_000
+#: Steps of a wrapper's automaton that a task keeps, and automata.
+STEPS_HELD, READERS_HELD = 50_000, 500
 LONGEST_BLOCK = 16
 ALIGN_CELLS = 40_000
 WIDEST = 48
@@ -53,19 +69,23 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 #: Elements that a new start tag of the same group closes.
 SIBLINGS = {"p": "p", "li": "li", "dt": "dl", "dd": "dl", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 BARRIERS = frozenset("ul ol dl table article section div body html main td th blockquote nav header footer aside form".split())
-ASIDE_WORDS = frozenset("ad ads advert advertisement banner promo sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice alert popup modal share sharing social related recommended comment comments disqus newsletter subscribe signup login".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*+/?>|/[a-zA-Z][^<>]*>|[!?][^>]*>)", re.S)
+#: Words of class, id and role that say what an element is for wherever they stand in a name.
+ASIDE_WORDS = frozenset("advert advertisement sponsor sponsored nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies disqus newsletter subscribe signup login".split())
+#: Words that say so only in a name of such words and neutral ones, on an element all of whose names are so.
+WEAK_ASIDE_WORDS = frozenset("ad ads banner promo menu header consent notice alert popup modal share sharing social related recommended comment comments".split())
+NEUTRAL_WORDS = frozenset("site page main global top bottom left right center box bar list item items wrapper container section block area widget inner outer body content text links link buttons button icons posts post stories primary secondary row col grid flex bg card panel group small large mobile desktop hidden sticky fixed the and of by".split())
+
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<[a-zA-Z][^\s<>/\"']*+(?:[^<>\"']|\"[^\"]*\"(?=\s|/?>)|'[^']*'(?=\s|/?>))*+>"
+    r"|<[a-zA-Z/!?][^<>]*+>?",
+    re.S,
+)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMED = re.compile(r"\s(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"[a-z][a-z_-]*")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-_HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)")
-
-
-def host(url: str | None) -> str:
-    found = _HOST.match(url or "")
-    return found[1].lower() if found else ""
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -86,21 +106,27 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if tag[1] == "/":
             yield "close", name, ""
             continue
-        yield "open", name, tag[named.end() : -1]
-        if name in RAW and not tag.endswith("/>"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        whole = tag[-1] == ">"
+        yield "open", name, tag[named.end() : -1] if whole else tag[named.end() :]
+        if name in RAW and whole and not tag.endswith("/>"):
+            end = _raw_end(name).search(page, at)
             stop = end.start() if end else n
             if stop > at:
                 yield "text", "", page[at:stop]
             at = stop
 
 
+@functools.cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
+
+
 def label(name: str, rest: str) -> str:
-    """An element's name with the words of its class, id and role."""
+    """An element's name with the names of its class, id and role."""
     if not rest:
         return name
-    words = sorted({w for groups in _NAMED.findall(rest) for w in _WORD.findall("".join(groups).lower())})
-    return name + "".join(f".{w}" for w in words)
+    names = sorted({w for groups in _NAMED.findall(rest) for w in _NAMES.findall("".join(groups).lower())})
+    return name + "".join(f".{w}" for w in names)
 
 
 class Walk:
@@ -137,17 +163,29 @@ class Walk:
         del self.names[k:], self.labels[k:], self.paths[k + 1 :]
 
 
+def aside(names: list[str]) -> bool:
+    """Whether the names of class, id and role say that an element holds no text of the page's own."""
+    words = [frozenset(_WORD.findall(n)) for n in names]
+    if any(not ASIDE_WORDS.isdisjoint(w) for w in words):
+        return True
+    return any(not WEAK_ASIDE_WORDS.isdisjoint(w) for w in words) and all(w <= WEAK_ASIDE_WORDS | NEUTRAL_WORDS for w in words)
+
+
+@functools.lru_cache(100_000)
 def skipped(path: str) -> bool:
     """Whether a path runs through an element that never holds the page's own text."""
-    for k, step in enumerate(path.split("/")[1:]):
-        name, *words = step.split(".")
-        if name in SKIPPED and not (name == "header" and "/article" in "/".join(path.split("/")[: k + 1])):
+    within = False
+    for step in path.split("/")[1:]:
+        name, *names = step.split(".")
+        if name in SKIPPED and not (name == "header" and within):
             return True
-        if name not in ("html", "body", "article", "main") and not ASIDE_WORDS.isdisjoint(words):
+        within |= name == "article"
+        if name not in ("html", "body", "article", "main") and aside(names):
             return True
     return False
 
 
+@functools.lru_cache(100_000)
 def in_article(path: str) -> bool:
     return any(s.split(".")[0] in ("article", "main") for s in path.split("/")[1:])
 
@@ -327,75 +365,175 @@ def _items(plain) -> Items:
     return tuple((i[0], _items(i[1])) if isinstance(i, list) else i for i in plain)
 
 
-def read_page(page: str) -> tuple[list[str], dict[str, int], int]:
-    """A page's stream of tags and slots, a checksum of the text of each slot path, and a digest of all these texts."""
-    walk, stream, slots, whole = Walk(), [], {}, xxhash.xxh3_64()
+class Reader:
+    """A wrapper as an automaton over tags and slots, made deterministic step by step where pages need it.
+
+    Its positions are the tags and slots of the wrapper in order; a state is the
+    set of positions that the last symbol may have filled.
+    """
+
+    def __init__(self, items: Items):
+        self.symbols: list[str] = []
+        self.after: list[set[int]] = []
+        _, first, _ = self._sequence(items)
+        self.states: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.steps: dict[tuple[int, str], tuple[int, int]] = {}
+        self.start = frozenset(first)
+
+    def _sequence(self, items: Items) -> tuple[bool, set[int], set[int]]:
+        """Whether the items may read nothing, and the positions that may come first and last."""
+        empty, first, last = True, set(), set()
+        for item in items:
+            if isinstance(item, str):
+                at = len(self.symbols)
+                self.symbols.append(item)
+                self.after.append(set())
+                none, begins, ends = False, {at}, {at}
+            else:
+                none, begins, ends = self._sequence(item[1])
+                if item[0] == "+":
+                    for p in ends:
+                        self.after[p] |= begins
+                none = none or item[0] == "?"
+            for p in last:
+                self.after[p] |= begins
+            if empty:
+                first |= begins
+            last = last | ends if none else ends
+            empty = empty and none
+        return empty, first, last
+
+    def _state(self, positions: frozenset) -> int:
+        if positions not in self.states:
+            self.states[positions] = len(self.sets)
+            self.sets.append(positions)
+        return self.states[positions]
+
+    def read(self, state: int, symbol: str) -> tuple[int, int]:
+        """The next state (-1 before the first symbol) and the least position filled; -1 where the wrapper has no place."""
+        got = self.steps.get((state, symbol))
+        if got is None:
+            if len(self.steps) >= STEPS_HELD:
+                held = self.sets[state] if state >= 0 else None
+                self.states, self.sets, self.steps = {}, [], {}
+                state = -1 if held is None else self._state(held)
+            open_ = self.start if state < 0 else frozenset().union(*(self.after[p] for p in self.sets[state]))
+            filled = frozenset(p for p in open_ if self.symbols[p] == symbol)
+            got = (self._state(filled), min(filled)) if filled else (state, -1)
+            self.steps[state, symbol] = got
+        return got
+
+
+def reader(items: str | None, held: dict = {}) -> Reader:  # noqa: B006 - a memo per process
+    """The automaton of a wrapper as ``infer`` writes it."""
+    got = held.get(items)
+    if got is None:
+        if len(held) >= READERS_HELD:
+            held.clear()
+        got = held[items] = Reader(_items(json.loads(items)) if items else ())
+    return got
+
+
+def stream_of(page: str) -> list[str]:
+    """A page's tags and slots; neighbouring texts are one slot."""
+    walk, stream = Walk(), []
     for kind, name, rest in tokens(page):
         if kind == "text":
-            if not rest.isspace():
-                path = walk.paths[-1]
-                if stream[-1:] != ["#"]:
-                    stream.append("#")
-                if not skipped_cached(path):
-                    raw = rest.strip().encode("utf-8", "replace")
-                    slots[path] = zlib.crc32(raw, slots.get(path, 0))
-                    whole.update(f"{path}\0{len(raw)}\0".encode("utf-8", "replace") + raw)
+            if stream[-1:] != ["#"] and not rest.isspace():
+                stream.append("#")
         elif kind == "open":
             stream.append(walk.open(name, rest))
         else:
             walk.close(name)
             stream.append("/" + name)
-    return stream, slots, whole.intdigest()
+    return stream
 
 
-def _seen(a: list | None, b: list) -> list:
-    """Least and greatest checksum of a path and the least digests of different pages with it, as many as a template needs."""
-    if a is None:
-        return b
-    pages = a[2] if b[2] == a[2] else sorted({*a[2], *b[2]})[:TEMPLATE_PAGES]
-    return [min(a[0], b[0]), max(a[1], b[1]), pages]
+def slots_of(page: str, by: Reader) -> Iterator[tuple[str, str, str, str]]:
+    """(kind, name, path, text) of a page's tokens in order; kind is "slot N" for a text that fills slot N of the wrapper."""
+    walk, state, kind_now = Walk(), -1, None
+    for kind, name, rest in tokens(page):
+        if kind == "text":
+            if kind_now is None and not rest.isspace():
+                state, at = by.read(state, "#")
+                kind_now = f"slot {at}"
+            yield kind_now or "space", "", walk.paths[-1], rest
+        else:
+            if kind == "open":
+                shown = walk.open(name, rest)
+            else:
+                walk.close(name)
+                shown = "/" + name
+            state, _ = by.read(state, shown)
+            kind_now = None
+            yield kind, name, "", ""
 
 
-def skipped_cached(path: str, held: dict = {}) -> bool:  # noqa: B006 - a memo per process
-    got = held.get(path)
-    if got is None:
-        if len(held) > 100_000:
-            held.clear()
-        got = held[path] = skipped(path)
-    return got
+def _check(text: str) -> int:
+    return zlib.crc32(text.strip().encode("utf-8", "replace"))
+
+
+def slot_checks(page: str, by: Reader) -> tuple[dict[str, set[int]], int]:
+    """Checksums of the texts of each slot and path outside articles, and a digest of all texts."""
+    slots, whole = {}, xxhash.xxh3_64()
+    for kind, _, path, text in slots_of(page, by):
+        if kind.startswith("slot") and not skipped(path) and not text.isspace():
+            check, key = _check(text), f"{kind}{path}"
+            if not in_article(path):
+                slots.setdefault(key, set()).add(check)
+            whole.update(f"{key}\0{check}\0".encode("utf-8", "replace"))
+    return slots, whole.intdigest()
+
+
+def _seen(a: list | None, b: list) -> list:
+    """Checksums that all pages with a slot hold, and the least digests of different ones of these pages, as many as a template needs."""
+    if a is None:
+        return [sorted(b[0]), b[1]]
+    pages = a[1] if b[1] == a[1] else sorted({*a[1], *b[1]})[:TEMPLATE_PAGES]
+    return [[c for c in a[0] if c in b[0]], pages]
 
 
 def _text_of(value) -> str:
     return "" if value is None else value
 
 
+def by_host(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and the host of the address."""
+    at = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+    return pages.select("page_id", "url", "html", at.alias("host"))
+
+
+def _merged(first: DataFrame, merge, schema: str) -> DataFrame:
+    """Rows of tasks merged by host and salt, then by host."""
+    once = first.groupBy("host", (F.spark_partition_id() % SALTS).alias("salt")).applyInPandas(merge, schema)
+    return once.groupBy("host").applyInPandas(merge, schema)
+
+
 def infer(pages: DataFrame) -> DataFrame:
-    """host, wrapper (as a regular expression), n_pages and the host's template paths."""
+    """host, n_pages, the wrapper as a regular expression, and as ``items`` for :func:`reader`."""
 
     def local(batches):
         held: dict[str, list] = {}
 
         def flush():
-            rows = [(h, json.dumps(_plain(w), ensure_ascii=False), n, json.dumps(s, ensure_ascii=False)) for h, (w, n, s, _) in held.items()]
+            rows = [(h, n, json.dumps(_plain(w), ensure_ascii=False)) for h, (w, n, _) in held.items()]
             held.clear()
             if rows:
-                h, w, n, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(w), pa.array(n, pa.int64()), pa.array(s)], names=["host", "items", "n", "slots"])
+                h, n, w = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n, pa.int64()), pa.nulls(len(h), pa.string()), pa.array(w)], names=["host", "n_pages", "wrapper", "items"])
 
         for batch in batches:
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                stream, slots, digest = read_page(_text_of(page))
-                kept = held.setdefault(host(url), [None, 0, {}, set()])
+            for at, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                stream = stream_of(_text_of(page))
+                kept = held.setdefault(at, [None, 0, set()])
                 key = hash(tuple(stream))
-                if key not in kept[3]:
+                if key not in kept[2]:
                     shape = folded(stream)
                     kept[0] = shape if kept[0] is None else aligned(kept[0], shape)
-                    if len(kept[3]) < 10_000:
-                        kept[3].add(key)
+                    if len(kept[2]) < 10_000:
+                        kept[2].add(key)
                 kept[1] += 1
-                for path, check in slots.items():
-                    if not in_article(path):
-                        kept[2][path] = _seen(kept[2].get(path), [check, check, [digest]])
             if len(held) > HOSTS_HELD:
                 yield from flush()
         yield from flush()
@@ -403,33 +541,60 @@ def infer(pages: DataFrame) -> DataFrame:
     def merge(key, rows):
         import pandas as pd
 
-        wrapper, slots = None, {}
-        for items, found in zip(rows["items"], rows["slots"], strict=True):
+        whole = None
+        for items in sorted(set(rows["items"])):
             new = _items(json.loads(items))
-            wrapper = new if wrapper is None else aligned(wrapper, new)
-            for path, seen in json.loads(found).items():
-                slots[path] = _seen(slots.get(path), seen)
-        return pd.DataFrame({"host": [key[0]], "items": [json.dumps(_plain(wrapper), ensure_ascii=False)], "n": [int(rows["n"].sum())], "slots": [json.dumps(slots, ensure_ascii=False)]})
+            whole = new if whole is None else aligned(whole, new)
+        return pd.DataFrame({"host": [key[0]], "n_pages": [int(rows["n_pages"].sum())], "wrapper": [written(whole)], "items": [json.dumps(_plain(whole), ensure_ascii=False)]})
 
-    schema = "host string, items string, n long, slots string"
-    first = pages.select("url", "html").mapInArrow(local, schema)
-    once = first.groupBy("host", (F.spark_partition_id() % SALTS).alias("salt")).applyInPandas(merge, schema)
-    whole = once.groupBy("host").applyInPandas(merge, schema)
+    schema = "host string, n_pages long, wrapper string, items string"
+    return _merged(by_host(pages).select("host", "html").mapInArrow(local, schema), merge, schema)
+
+
+def template_slots(read: DataFrame) -> DataFrame:
+    """host and the template texts of its slots, from pages (host, html, items) without an article."""
+
+    def local(batches):
+        held: dict[str, dict] = {}
+
+        def flush():
+            rows = [(h, json.dumps(s, ensure_ascii=False)) for h, s in held.items()]
+            held.clear()
+            if rows:
+                h, s = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s)], names=["host", "slots"])
+
+        for batch in batches:
+            for at, page, items in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "items")), strict=True):
+                slots, digest = slot_checks(_text_of(page), reader(items))
+                kept = held.setdefault(at, {})
+                for key, checks in slots.items():
+                    kept[key] = _seen(kept.get(key), [checks, [digest]])
+            if len(held) > HOSTS_HELD:
+                yield from flush()
+        yield from flush()
+
+    def merge(key, rows):
+        import pandas as pd
 
-    @F.udf("string")
-    def regular(items):
-        return written(_items(json.loads(items)))
+        slots: dict = {}
+        for found in rows["slots"]:
+            for at, seen in json.loads(found).items():
+                slots[at] = _seen(slots.get(at), seen)
+        return pd.DataFrame({"host": [key[0]], "slots": [json.dumps(slots, ensure_ascii=False)]})
 
-    @F.udf("array<string>")
-    def template(slots):
-        return sorted(p for p, (low, high, different) in json.loads(slots).items() if low == high and len(different) >= TEMPLATE_PAGES)
+    def fixed(batches):
+        for batch in batches:
+            got = [sorted(f"{k}\0{c}" for k, (checks, pages) in json.loads(s).items() if len(pages) >= TEMPLATE_PAGES for c in checks) for s in batch.column("slots").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(got, pa.list_(pa.string()))], names=["host", "template"])
 
-    return whole.select("host", regular("items").alias("wrapper"), F.col("n").alias("n_pages"), template("slots").alias("template_paths"))
+    schema = "host string, slots string"
+    other = read.where(~F.coalesce("html", F.lit("")).rlike(r"(?i)<(article|main)[\s/>]"))
+    return _merged(other.select("host", "html", "items").mapInArrow(local, schema), merge, schema).mapInArrow(fixed, "host string, template array<string>")
 
 
-def main_text(page: str, template: frozenset = frozenset()) -> str:
+def main_text(page: str, by: Reader | None = None, template: frozenset = frozenset()) -> str:
     """The page's own text: its blocks, white space folded, joined by empty lines."""
-    walk = Walk()
     inner: list[str] = []
     outer: list[str] = []
     parts: list[str] = []
@@ -443,59 +608,44 @@ def main_text(page: str, template: frozenset = frozenset()) -> str:
                 where.append(block)
             parts = []
 
-    for kind, name, rest in tokens(page):
-        if kind == "text":
-            path = walk.paths[-1]
-            if skipped_cached(path):
-                continue
-            target = inner if in_article_cached(path) else outer
-            if target is not where:
-                flush()
-                where = target
-            if target is outer and path in template:
-                continue
-            parts.append(rest)
-        else:
+    for kind, name, path, text in slots_of(page, by or reader(None)):
+        if name:
             if name in BLOCKS:
                 flush()
             elif name == "br":
                 parts.append(" ")
-            if kind == "open":
-                walk.open(name, rest)
-            else:
-                walk.close(name)
+        elif not skipped(path):
+            target = inner if in_article(path) else outer
+            if target is not where:
+                flush()
+                where = target
+            if target is inner or not template or f"{kind}{path}\0{_check(text)}" not in template:
+                parts.append(text)
     flush()
     return "\n\n".join(inner or outer)
 
 
-def in_article_cached(path: str, held: dict = {}) -> bool:  # noqa: B006 - a memo per process
-    got = held.get(path)
-    if got is None:
-        if len(held) > 100_000:
-            held.clear()
-        got = held[path] = in_article(path)
-    return got
-
-
-def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    The table of wrappers is broadcast if it is small by measure; otherwise
-    pages are joined with it by host, where Spark splits skewed hosts.
+    The tables of wrappers and template slots are written once and broadcast if
+    they are small by measure; otherwise pages are joined with them by host,
+    where Spark splits skewed hosts.
     """
-    found = (infer(pages) if wrappers is None else wrappers).select("host", "template_paths").where(F.size("template_paths") > 0)
-    size = found.agg(F.sum(F.octet_length(F.to_json(F.struct("host", "template_paths"))))).first()[0] or 0
-    at = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
-    joined = pages.select("page_id", "url", "html").withColumn("host", at).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
+    wrappers = table(infer(pages).select("host", "items"))
+    sized = lambda df, c: F.broadcast(df) if (df.agg(F.sum(F.octet_length(F.to_json(F.struct("host", c))))).first()[0] or 0) <= BROADCAST_BYTES else df
+    read = by_host(pages).join(sized(wrappers, "items"), "host", "left")
+    fixed = table(template_slots(read).where(F.size("template") > 0))
+    joined = read.join(sized(fixed, "template"), "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def make():
         def one(batch):
             got = []
-            for page, paths in zip(batch.column("html").to_pylist(), batch.column("template_paths").to_pylist(), strict=True):
-                got.append(main_text(_text_of(page), frozenset(paths or ())))
+            for page, items, slots in zip(*(batch.column(c).to_pylist() for c in ("html", "items", "template")), strict=True):
+                got.append(main_text(_text_of(page), reader(items), frozenset(slots or ())))
             return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
         return one
 
-    return per_batch(joined.select("page_id", "url", "html", "template_paths"), make, f"page_id {kind}, url string, text string, n_chars long")
+    return per_batch(joined.select("page_id", "url", "html", "items", "template"), make, f"page_id {kind}, url string, text string, n_chars long")

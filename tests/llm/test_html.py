@@ -67,7 +67,7 @@ def test_wrappers_fold_and_align():
 def test_wrappers_per_host(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = rows(h.infer(pages))
-    hosts = {h.host(r.url) for r in pages.collect()}
+    hosts = {re.match(r"https?://([^/?#]*)", r.url)[1].lower() for r in pages.collect()}
     assert {r["host"] for r in got} == hosts
     assert sum(r["n_pages"] for r in got) == pages.count()
 
@@ -75,4 +75,71 @@ def test_wrappers_per_host(spark, sf_dir):
 def test_long_and_broken_pages():
     assert h.main_text("<p>" * 3000 + "x") == "x"
     assert h.main_text("<article><p>a" + " b" * 100_000).startswith("a b")
-    assert h.main_text("<div title='a>b'>in</div><p>cut <b") == "in\n\ncut <b"
+    assert h.main_text("<div title='a>b'>in</div><p>cut <b") == "in\n\ncut"
+    assert h.main_text("<" * 200_000 + "<a x='" * 100_000 + "<!--") == "<" * 200_000
+
+
+def test_no_markup_leaks_and_names_are_a_prior():
+    assert h.main_text('<article><p>Hello</p><div class="a') == "Hello"
+    assert h.main_text('<article><a href="x>link</a></article>') == "link"
+    assert h.main_text('<div class="article-alert"><p>main text</p></div>') == "main text"
+    assert h.main_text('<div class="related-work"><p>older results</p></div>') == "older results"
+    assert h.main_text('<article><section class="share price"><p>rose</p></section></article>') == "rose"
+    assert h.main_text('<body><p>x</p><img alt="a < b">y<div class="related-posts">more</div><div class="cookie-notice">c</div></body>') == "x\n\ny"
+    assert h.main_text('<div data-x="<p>hidden</p>">seen</div> 1 < 2 <3') == "seen\n\n1 < 2 <3"
+    assert h.main_text("<p>a</p ><script>if (a</b) x</script ><p>b") == "a\n\nb"
+
+
+def _by_hand(pages):
+    """Texts of pages without an article: paragraphs less those that all different pages of a host share (every paragraph has one path here)."""
+    hosts = {}
+    for i, url, page in pages:
+        hosts.setdefault(url.split("/")[2], {})[i] = re.findall(r"<p>(.*?)</p>", page)
+    out = {}
+    for held in hosts.values():
+        different = {tuple(v) for v in held.values()}
+        shared = set.intersection(*map(set, different)) if len(different) >= 3 else set()
+        out.update({i: "\n\n".join(p for p in v if p not in shared) for i, v in held.items()})
+    return out
+
+
+def test_slots_that_vary_are_text(spark):
+    import random
+
+    draw = random.Random(4)
+    pages = []
+    for k in range(60):
+        host = draw.choice(("a.example", "b.example", "c.example"))
+        own = [f"story {k} part {n}" for n in range(draw.randint(1, 5))]
+        body = ["Welcome to the site", *own, "All rights reserved"] if host != "c.example" else own
+        pages.append((k, f"http://{host}/{k}", "<html><body><div class='page'>" + "".join(f"<p>{p}</p>" for p in body) + "</div></body></html>"))
+    pages += [(100 + k, f"http://d.example/{k}", "<div><p>only two</p><p>pages here</p></div>") for k in range(2)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in h.extract(docs).collect()} == _by_hand(pages)
+
+
+def test_the_wrapper_tells_slots_apart(spark):
+    pages = [(k, f"http://h.example/{k}", f"<body><div><p>Fixed line</p></div><h1>T {k}</h1><div><p>{'Fixed line' if k == 1 else f'story {k}'}</p></div></body>") for k in range(5)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in h.extract(docs).collect()}
+    assert got == {k: f"T {k}\n\n" + ("Fixed line" if k == 1 else f"story {k}") for k in range(5)}
+
+
+def test_readers_fill_the_slots_of_their_wrapper():
+    items = ("body", ("?", ("h1", "#", "/h1")), ("+", ("p", "#", "/p")), "#", "/body")
+    by = h.Reader(items)
+    state, filled = -1, []
+    for symbol in ["body", "p", "#", "/p", "hr", "p", "#", "/p", "#", "/body"]:
+        state, at = by.read(state, symbol)
+        filled.append(at)
+    assert filled == [0, 4, 5, 6, -1, 4, 5, 6, 7, 8]
+    assert h.reader(None).read(-1, "p") == (-1, -1)
+
+
+def test_clashing_columns_and_nulls(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "http://h.example/1", "<article>A</article>"), (None, None, None), (2, "no address", "<p>B")], "page_id long, url string, html string")
+    more = pages.withColumns({c: F.lit("x") for c in ("host", "items", "template", "text", "n_chars", "wrapper", "slots")})
+    got = {(r.page_id, r.url, r.text, r.n_chars) for r in h.extract(more).collect()}
+    assert got == {(1, "http://h.example/1", "A", 1), (None, None, "", 0), (2, "no address", "B", 1)}
