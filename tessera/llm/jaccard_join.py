@@ -31,8 +31,8 @@ connected, and components are exact.
 Frequent shingles are known from a bounded sample (about ``SAMPLE_DOCS``
 documents, at most ``MOST_FREQUENT`` shingles); it only orders shingles and
 spreads the rows of frequent ones, the result is the same for any order.
-Components are found by alternating stars on distributed tables, after each
-task has contracted the links that it holds.  Shingles and sets are known by
+Components are found by contracting links in the tasks that hold them, and by
+alternating stars on distributed tables where many links are left.  Shingles and sets are known by
 64-bit hashes.
 
 Defined results: null and empty texts have no shingles, component_id their own
@@ -61,8 +61,10 @@ SAMPLE_DOCS = 64_000
 FREQUENT = 3
 MOST_FREQUENT = 200_000
 #: Least number of parts of a frequent shingle's region, and rows of first shingles that a task sorts.
-SALTS, TASK_ROWS = 64, 3_000_000
+SALTS, TASK_ROWS = 64, 1_000_000
 BROADCAST_ROWS = 400_000
+#: Links that one task joins at once.
+ONE_TASK_LINKS = 500_000
 FIRST_PIVOTS, PIVOT_GROWTH = 1, 16
 #: Ranks of frequent shingles go up to this.
 MOST_RANK = 127
@@ -300,15 +302,29 @@ def _fits(a, b):
 
 
 def compare(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, distance and whether they link, for pairs of points (a, b), from the whole texts.
+    """a, b, distance and whether they link, for pairs of points (a, b) that their sketches don't rule out, from the whole texts.
 
     Pairs meet the text of their first and then of their second point.  Up to
     ``BROADCAST_ROWS`` pairs are broadcast so that texts without a pair are not
     shuffled; more pairs are joined by shuffle.  Spark splits the rows of a pivot
     with many points.
     """
-    named = points.select("point", "doc")
-    pairs = table(pairs.join(named.withColumnsRenamed({"point": "a", "doc": "doc_a"}), "a").join(named.withColumnsRenamed({"point": "b", "doc": "doc_b"}), "b"))
+    side = lambda k: points.select(F.col("point").alias(k), F.col("doc").alias(f"doc_{k}"), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    kind = points.schema["doc"].dataType.simpleString()
+
+    def bound():
+        def one(batch):
+            cols = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
+            keep = []
+            for n_a, n_b, x, y in zip(*cols, strict=True):
+                common = most_common(x, n_a, y, n_b)
+                keep.append(linked(common, n_a + n_b - common))
+            return batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array([bool(k) for k in keep]))
+
+        return one
+
+    named = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b")
+    pairs = table(per_batch(named, bound, f"a long, b long, doc_a {kind}, doc_b {kind}"))
     small = pairs.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
@@ -342,46 +358,58 @@ def compare(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
     return table(per_batch(both, make, "a long, b long, distance double, link boolean").distinct())
 
 
+def least_of_each(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points of links and the least point of each one's component: minima over links and jumps, until nothing changes."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    least = np.arange(len(names))
+    while True:
+        new = least.copy()
+        low = np.minimum(least[x], least[y])
+        for end in (x, y):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, least[end], low)
+        new = new[new]
+        if (new == least).all():
+            return names, names[least]
+        least = new
+
+
 def _contracted(links: DataFrame) -> DataFrame:
     """The same components from fewer links: each task joins the links that it holds and gives every point its least one."""
 
     def run(batches):
-        parent: dict[int, int] = {}
-
-        def root(x):
-            top = x
-            while (up := parent.get(top, top)) != top:
-                top = up
-            while (up := parent.get(x, x)) != top:
-                parent[x] = top
-                x = up
-            return top
+        held: list = []
 
         def flush():
-            both = [(v, root(v)) for v in parent]
-            parent.clear()
-            both = [(v, r) for v, r in both if v != r]
-            if both:
-                u, v = zip(*both, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            v, c = least_of_each(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            own = v != c
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array(v[own]), pa.array(c[own])], names=["u", "v"])
 
         for batch in batches:
-            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                u, v = root(u), root(v)
-                if u != v:
-                    low, high = min(u, v), max(u, v)
-                    parent[high] = low
-                    parent.setdefault(low, low)
-            if len(parent) > 1_000_000:
-                yield from flush()
-        yield from flush()
+            if batch.num_rows:
+                held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+                if sum(len(x) for x, _ in held) > ONE_TASK_LINKS:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return links.select("u", "v").mapInArrow(run, "u long, v long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """v and c (the least point of its component) of every point with a link (a, b); alternating large and small stars."""
+def components(links: DataFrame, one_task: int | None = None) -> DataFrame:
+    """v and c (the least point of its component) of every point with a link (a, b).
+
+    Each task contracts the links that it holds.  Up to ``ONE_TASK_LINKS`` that
+    are left are contracted by one more task; more of them by alternating large
+    and small stars.
+    """
     edges = table(_contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")))
+    if edges.count() <= (ONE_TASK_LINKS if one_task is None else one_task):
+        edges = table(_contracted(edges.repartition(1)))
+        return edges.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(edges.select("v", F.col("v").alias("c")).distinct())
     state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = state(edges)
     while before[0]:
@@ -398,25 +426,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("c")).withColumnRenamed("u", "v").unionByName(edges.select(F.col("v"), F.col("v").alias("c"))).groupBy("v").agg(F.min("c").alias("c"))
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) that their whole sketches don't rule out."""
-    side = lambda k: points.select(F.col("point").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-
-    def make():
-        def one(batch):
-            cols = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
-            keep = []
-            for n_a, n_b, x, y in zip(*cols, strict=True):
-                common = most_common(x, n_a, y, n_b)
-                keep.append(linked(common, n_a + n_b - common))
-            return batch.select(["a", "b"]).filter(pa.array([bool(k) for k in keep]))
-
-        return one
-
-    return per_batch(both, make, "a long, b long")
-
-
 def _beyond(n):
     """How many shingles that two linked sets share can lie after the first ones of a set, whose first ones end first."""
     return F.floor((n * PERCENT + 99) / 100) - 1
@@ -477,7 +486,7 @@ def cell_rounds(docs: DataFrame, points: DataFrame, cells: DataFrame, label: Dat
         within = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= EPSILON + 1e-9, F.lit(True))
         met = _pairs(cells, cells.join(drawn, "point", "left_semi"), "cell", _may_link("weight") & within)
         asked = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        label = _joined(label, compare(docs, points, table(_bounded(asked, points))).where("link").select("a", "b"))
+        label = _joined(label, compare(docs, points, asked).where("link").select("a", "b"))
         cells = cells.drop("c").join(drawn, "point", "left_anti")
         pivots *= PIVOT_GROWTH
         step += 1
@@ -505,7 +514,7 @@ def boundary_rounds(docs: DataFrame, points: DataFrame, cells: DataFrame, member
         pairs = met.groupBy("a", "b").agg(F.max(_needed()).alias("needed"), F.sum("weight_a").alias("shared"), F.min(F.least("reach_a", "reach_b") - F.col("weight_a")).alias("left"))
         pairs = pairs.where(F.col("shared") + F.least(F.col("left"), F.col("needed") - 1) >= F.col("needed"))
         asked = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        label = _joined(label, compare(docs, points, table(_bounded(asked, points))).where("link").select("a", "b"))
+        label = _joined(label, compare(docs, points, asked).where("link").select("a", "b"))
         members = members.join(drawn, "point", "left_anti").select("region", "point", "weight")
         pivots *= PIVOT_GROWTH
         step += 1
@@ -523,7 +532,7 @@ def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFram
     votes = where.select(F.col("point").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"), F.col("pivot_n").alias("n_b"), "weight").where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
     home = table(votes.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
     asked = home.unionByName(between).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    known = compare(docs, points, table(_bounded(asked, points)))
+    known = compare(docs, points, asked)
     near = known.select("a", "b", "distance")
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     homes = home.join(near, ["a", "b"], "left").select(F.col("a").alias("point"), F.col("b").alias("home"), "distance")

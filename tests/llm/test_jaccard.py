@@ -127,6 +127,7 @@ def test_one_id_with_different_texts(spark):
 def test_components(spark, edges):
     links = spark.createDataFrame(edges, "a long, b long").repartition(3)
     got = {r.v: r.c for r in j.components(links).collect()}
+    assert got == {r.v: r.c for r in j.components(links, one_task=-1).collect()}
     want = _components({v: frozenset() for e in edges for v in e})
     for a, b in edges * len(edges):
         low = min(want[a], want[b])
