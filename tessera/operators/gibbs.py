@@ -8,6 +8,7 @@ kept as raw statistics, so removing a row subtracts what adding it added.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -85,19 +86,46 @@ class Marginals:
 
     def __init__(self, prior: Niw, most: float):
         self.prior = prior
-        self.table = self._by_count(np.arange(int(most) + 1)) if most <= TABLE_COUNTS else None
+        self.table = counted_part(prior, int(most)) if most <= TABLE_COUNTS else None
         self.own = prior.kappa * prior.mu[:, None] * prior.mu[None, :] + prior.psi
 
-    def _by_count(self, n):
-        p, d = self.prior, self.prior.d
-        return -n * d / 2 * LN_PI + d / 2 * np.log(p.kappa / (p.kappa + n)) + mvlgamma((p.nu + n) / 2, d) - mvlgamma(p.nu / 2, d) + p.nu / 2 * logdet(p.psi)
-
     def of(self, stats: Stats):
         p, n = self.prior, stats.n
         kappa = p.kappa + n
+        by_count = _by_count(p, n) if self.table is None else self.table[n.astype(int)]
+        if p.d == 1:
+            psi = self.own[0, 0] + stats.square[..., 0, 0] - (p.kappa * p.mu[0] + stats.total[..., 0]) ** 2 / kappa
+            if np.min(psi, initial=np.inf) <= 0:
+                raise ValueError("a scale is not positive definite")
+            return by_count - (p.nu + n) / 2 * np.log(psi)
         pulled = p.kappa * p.mu + stats.total
         psi = self.own + stats.square - pulled[..., :, None] * pulled[..., None, :] / kappa[..., None, None]
-        return (self._by_count(n) if self.table is None else self.table[n.astype(int)]) - (p.nu + n) / 2 * logdet(psi)
+        return by_count - (p.nu + n) / 2 * logdet(psi)
+
+
+def _by_count(p: Niw, n, gammas=None):
+    d = p.d
+    gammas = mvlgamma((p.nu + n) / 2, d) if gammas is None else gammas
+    return -n * d / 2 * LN_PI + d / 2 * np.log(p.kappa / (p.kappa + n)) + gammas - mvlgamma(p.nu / 2, d) + p.nu / 2 * logdet(p.psi)
+
+
+def counted_part(p: Niw, most: int, held: dict = {}) -> np.ndarray:  # noqa: B006 - a memo per process
+    """What of a marginal depends on the count alone, for counts up to ``most`` at least.
+
+    The gamma function of a half more each time follows from its recurrence.
+    """
+    size = 1 << max(10, most.bit_length())
+    key = (float(p.kappa), float(p.nu), p.d, np.asarray(p.psi).tobytes(), size)
+    if key not in held:
+        if len(held) >= 8:
+            held.clear()
+        n, gammas = np.arange(size), np.full(size, p.d * (p.d - 1) / 4 * LN_PI)
+        for j in range(p.d):
+            for odd in (0, 1):
+                z = (float(p.nu) + odd - j) / 2 + np.arange(size // 2)
+                gammas[odd::2] += math.lgamma(z[0]) + np.concatenate([[0.0], np.cumsum(np.log(z[:-1]))])
+        held[key] = _by_count(p, n, gammas)
+    return held[key]
 
 
 #: Counts up to this have their part of the marginal in a table.
@@ -152,7 +180,8 @@ def merge_fold(clusters: list[tuple], prior: Niw, alpha: float, seed, compat: bo
 
     Each summary joins a global cluster or opens one, by the marginal likelihood
     of its statistics given the cluster and the number of rows there.  ``compat``
-    passes posterior parameters on as if they were statistics.
+    passes posterior parameters on as if they were statistics, and weighs a
+    cluster by its degrees of freedom less the dimension instead of its rows.
     """
     held: list[Stats] = []
     rows: list[float] = []
@@ -163,7 +192,9 @@ def merge_fold(clusters: list[tuple], prior: Niw, alpha: float, seed, compat: bo
             entered = Stats.of_moments(after.nu, after.mu, after.psi)
         else:
             entered = stats
-        weights = [posterior(prior, h).log_marginal(*entered.moments()).sum() + np.log(n) for h, n in zip(held, rows, strict=True)]
+        given = [posterior(prior, h) for h in held]
+        sizes = [np.max(g.nu) - prior.d for g in given] if compat else rows
+        weights = [g.log_marginal(*entered.moments()).sum() + np.log(n) for g, n in zip(given, sizes, strict=True)]
         weights.append(prior.log_marginal(*entered.moments()).sum() + np.log(alpha))
         k = draw_index(np.array(weights), uniform_value(seed, "merge", worker, local))
         if k == len(held):
@@ -231,5 +262,5 @@ class State:
 
     col_labels: np.ndarray
     n_row_clusters: int
-    grid: Stats
+    grid: Stats | None
     history: list[dict] = field(default_factory=list)

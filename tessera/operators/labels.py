@@ -69,11 +69,32 @@ def blocks_by_arithmetic(row_labels: DataFrame, col_labels: DataFrame, n_cols: i
     return row_labels.crossJoin(col_labels).select("row_id", "col_id", (F.col("k") * n_cols + F.col("l")).alias("block_id"))
 
 
+def transposed(cells: DataFrame) -> DataFrame:
+    """The matrix with rows and columns exchanged."""
+    return cells.select(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id"), "x")
+
+
+def numbered(df: DataFrame, parts: list[str], order: list[str], out: str) -> DataFrame:
+    """Rows numbered from 0 in the order of ``parts`` and ``order``.
+
+    Rows of one value of ``parts`` are sorted together; where each part begins
+    follows from the parts' counts, so no task sorts all rows.
+    """
+    held = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    begin = held.withColumn("_begin", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order)) - 1
+    return df.withColumn("_place", place).join(begin, parts).withColumn(out, (F.col("_begin") + F.col("_place")).cast("long")).drop("_begin", "_place")
+
+
 def reordered(cells: DataFrame, row_labels: DataFrame, col_labels: DataFrame) -> DataFrame:
-    """Cells at their places after sorting rows and columns by label."""
-    rows = row_labels.withColumn("new_row", (F.row_number().over(Window.orderBy("k", "row_id")) - 1).cast("long"))
+    """Cells at their places after sorting rows and columns by label; rows of a label are sorted by ranges of their ids."""
+    parts = int(row_labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(row_labels.stat.approxQuantile("row_id", [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    cut = sum((F.when(F.col("row_id") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    rows = numbered(row_labels.withColumn("_range", cut), ["k", "_range"], ["row_id"], "new_row")
     cols = col_labels.withColumn("new_col", (F.row_number().over(Window.orderBy("l", "col_id")) - 1).cast("long"))
-    return cells.join(rows.select("row_id", "new_row"), "row_id").join(F.broadcast(cols.select("col_id", "new_col")), "col_id").select("new_row", "new_col", "x")
+    return cells.join(rows.select("row_id", "new_row"), "row_id").join(cols.select("col_id", "new_col"), "col_id").select("new_row", "new_col", "x")
 
 
 def require(condition: bool, message: str) -> None:

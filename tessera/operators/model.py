@@ -1,23 +1,27 @@
 """Co-clustering by distributed Gibbs sampling.
 
-One iteration: every worker sweeps its own rows in a grouped-map function;
-DataFrame aggregates turn the new local labels into statistics; the driver folds
-the local clusters into global ones and sweeps the columns, both on statistics
-whose size is clusters times columns, never rows.  Labels are written to the
-shared folder each iteration, which keeps lineage short and survives lost
-executors.  Cells are dealt to workers once and kept by worker.
+Rows are packed and dealt to workers once, and kept by worker (persisted, so
+that no sweep shuffles them; a lost executor's part is read again).  One
+iteration is one job: every worker sweeps its own rows, from the labels that it
+wrote last, and writes its new local labels beside its clusters' statistics to
+the shared folder.  The driver reads the statistics only, folds the local
+clusters into global ones and sweeps the columns.  What reaches the driver is a
+row for every worker's cluster, of columns x (d + d*d) numbers: its size depends
+on the clusters and the columns, never on the rows.  Labels that the next
+iteration has replaced are removed.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
 import time
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +30,20 @@ from . import gibbs
 from .labels import require, worker_of
 
 
-#: A matrix of up to so many numbers may be fitted by one worker in one task, all iterations at once.
-ONE_TASK_CELLS = 20_000_000
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which the session names; a folder of this machine only where Spark runs in this process alone (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return tempfile.gettempdir() + "/tessera-shared"
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one is chosen only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera-shared"
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove what a finished step has written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @dataclass
@@ -73,73 +84,98 @@ class BlockMixture:
         x = F.col("x") if isinstance(kind, T.ArrayType) else F.array("x")
         return cells.select(F.col("row_id").cast("long").alias("row_id"), F.col("col_id").cast("int").alias("col_id"), x.cast("array<double>").alias("x"))
 
-    def _dealt(self, cells: DataFrame, workers: int, n: int) -> DataFrame:
-        """Rows as packed vectors by worker; ids are ranked so that gaps between them don't matter."""
+    @staticmethod
+    def _packed(cells: DataFrame, path: str) -> DataFrame:
+        """row_id and its cells in column order as bytes, written once."""
         rows = cells.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_id", "x"))), lambda c: c["x"]).alias("xs"))
+
+        def pack(batches):
+            for batch in batches:
+                given = batch.column("xs")
+                flat = given.flatten().flatten().to_numpy(zero_copy_only=False)
+                each = len(flat) // max(1, len(given))
+                yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array([flat[i * each : (i + 1) * each].tobytes() for i in range(len(given))], pa.binary())], names=["row_id", "xs"])
+
+        rows.mapInArrow(pack, "row_id long, xs binary").write.parquet(path)
+        return cells.sparkSession.read.parquet(path)
+
+    @staticmethod
+    def _dealt(rows: DataFrame, workers: int, n: int) -> DataFrame:
+        """Rows by worker; ids are ranked so that gaps between them don't matter."""
         # Ranks by range: ids are cut into ranges, counted, and numbered within each.
         bounds = rows.stat.approxQuantile("row_id", [i / (4 * workers) for i in range(1, 4 * workers)], 0.01)
         part = F.lit(0)
         for b in sorted(set(bounds)):
             part = part + F.when(F.col("row_id") > b, 1).otherwise(0)
-        held = rows.withColumn("_part", part)
+        ids = rows.select("row_id", part.alias("_part"))
         before, offsets = 0, {}
-        for r in sorted(held.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        for r in sorted(ids.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
             offsets[r["_part"]] = before
             before += r["count"]
-        from pyspark.sql import Window
-
         place = F.row_number().over(Window.partitionBy("_part").orderBy("row_id")) - 1 + F.element_at(F.create_map(*(F.lit(v) for kv in offsets.items() for v in kv)), F.col("_part"))
-        ranked = held.withColumn("_place", place.cast("long"))
-        return ranked.select(worker_of(F.col("_place"), n, workers).alias("worker_id"), "row_id", "xs")
+        worker = worker_of(place.cast("long"), n, workers).alias("worker_id")
+        return rows.join(ids.select("row_id", worker), "row_id").select("worker_id", "row_id", "xs").repartition(workers, "worker_id")
 
     # -- one iteration ----------------------------------------------------------
 
-    def _local_sweep(self, dealt: DataFrame, labels: DataFrame | None, state: gibbs.State, prior: Niw, iteration: int) -> DataFrame:
-        """New local labels: worker_id, row_id, local_k."""
-        held = dealt if labels is None else dealt.join(labels, "row_id")
-        held = held if labels is not None else held.withColumn("k", F.lit(0).cast("long"))
-        shipped = dealt.sparkSession.sparkContext.broadcast((state, prior))
-        alpha, seed, sweeps, d = self.alpha, self.seed, self.local_sweeps, prior.d
-
-        def sweep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            now, base = shipped.value
-            rows = rows.sort_values("row_id")
-            x = np.array([np.vstack(r) for r in rows["xs"]]).reshape(len(rows), -1, d)
-            old = rows["k"].to_numpy()
+    def _sweep(self, dealt: DataFrame, last: DataFrame, state: gibbs.State, mapping: dict, prior: Niw, step: int, sweeps: int, path: str) -> tuple[list, gibbs.Stats, gibbs.Stats]:
+        """Write the new local labels (row_id, local_k) of every worker and its clusters' statistics; return the latter.
+
+        ``last`` has the labels before, which ``mapping`` (worker, local_k) makes
+        global.  The result is the clusters (worker, local_k, rows) in order, their
+        statistics by column, and those of their rows' means.
+        """
+        spark = dealt.sparkSession
+        shipped = spark.sparkContext.broadcast((state, prior, mapping))
+        alpha, seed, d = self.alpha, self.seed, prior.d
+
+        def run(mine: pa.Table, before: pa.Table) -> pa.Table:
+            now, base, of = shipped.value
+            worker = mine.column("worker_id")[0].as_py()
+            ids = mine.column("row_id").to_numpy()
+            order = np.argsort(ids)
+            ids = ids[order]
+            held = mine.column("xs").to_pylist()
+            x = np.frombuffer(b"".join([held[i] for i in order]), dtype=np.float64).reshape(len(ids), -1, d)
+            old = np.zeros(len(ids), dtype=np.int64)
+            if before.num_rows:
+                k, at = before.column("local_k").to_numpy(), before.column("row_id").to_numpy()
+                old[np.searchsorted(ids, at)] = [of[worker, int(i)] for i in k] if of else k
             present, local = np.unique(old, return_inverse=True)
             n_cols = int(now.col_labels.max()) + 1
             own = gibbs.cell_stats(x, now.col_labels, n_cols)
-            outside = gibbs.Stats(now.grid.n[:, present].copy(), now.grid.total[:, present].copy(), now.grid.square[:, present].copy())
-            if iteration == 0:
+            if now.grid is None:
                 outside = gibbs.Stats.zeros((n_cols, len(present)), d)
             else:
+                outside = gibbs.Stats(now.grid.n[:, present].copy(), now.grid.total[:, present].copy(), now.grid.square[:, present].copy())
                 for r, k in enumerate(local):
                     outside.add((slice(None), k), own[r], -1)
-            new = gibbs.row_sweep(x, rows["row_id"].tolist(), local, now.col_labels, base, alpha, outside, f"{seed}|{iteration}", sweeps)
-            return pd.DataFrame({"worker_id": int(key[0]), "row_id": rows["row_id"].to_numpy(), "local_k": new.astype("int64")})
-
-        return held.groupBy("worker_id").applyInPandas(sweep, "worker_id long, row_id long, local_k long")
-
-    @staticmethod
-    def _block_stats(rows: DataFrame, key: list[str], d: int) -> DataFrame:
-        """n, total and square per key and column, summed in the tasks before the shuffle."""
-        cells = rows.select(*key, F.posexplode("xs").alias("col_id", "x"))
-        sums = [F.sum(F.col("x")[i]).alias(f"t{i}") for i in range(d)]
-        squares = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i in range(d) for j in range(i, d)]
-        return cells.groupBy(*key, "col_id").agg(F.count(F.lit(1)).alias("n"), *sums, *squares)
-
-    @staticmethod
-    def _as_stats(pdf: pd.DataFrame, d: int) -> gibbs.Stats:
-        total = pdf[[f"t{i}" for i in range(d)]].to_numpy()
-        square = np.stack([pdf[f"q{min(i, j)}_{max(i, j)}"].to_numpy() for i in range(d) for j in range(d)], axis=1).reshape(-1, d, d)
-        return gibbs.Stats(pdf["n"].to_numpy(dtype=float), total, square)
-
-    def _row_mean_stats(self, rows: DataFrame, d: int) -> pd.DataFrame:
-        cells = rows.select("worker_id", "local_k", "row_id", F.posexplode("xs").alias("col_id", "x"))
-        means = cells.groupBy("worker_id", "local_k", "row_id").agg(F.array(*(F.avg(F.col("x")[i]) for i in range(d))).alias("m"))
-        sums = [F.sum(F.col("m")[i]).alias(f"t{i}") for i in range(d)]
-        squares = [F.sum(F.col("m")[i] * F.col("m")[j]).alias(f"q{i}_{j}") for i in range(d) for j in range(i, d)]
-        return means.groupBy("worker_id", "local_k").agg(F.count(F.lit(1)).alias("n"), *sums, *squares).toPandas()
+            new = gibbs.row_sweep(x, ids.tolist(), local, now.col_labels, base, alpha, outside, f"{seed}|{step}", sweeps) if sweeps else local
+            hot = np.eye(int(new.max()) + 1)[new]
+            mean = x.mean(axis=1)
+            parts = (np.einsum("rpd,rk->kpd", x, hot), np.einsum("rpd,rpe,rk->kpde", x, x, hot, optimize=True), np.einsum("rd,rk->kd", mean, hot), np.einsum("rd,re,rk->kde", mean, mean, hot, optimize=True))
+            clusters = hot.shape[1]
+            stats = [b"".join(np.ascontiguousarray(p[k]).tobytes() for p in parts) for k in range(clusters)]
+            names = present[new] if not sweeps else new
+            by_cluster = [int(present[k]) if not sweeps else k for k in range(clusters)]
+            return pa.table([
+                pa.array([worker] * (len(ids) + clusters), pa.int64()),
+                pa.array([*ids.tolist(), *[None] * clusters], pa.int64()),
+                pa.array([*names.tolist(), *by_cluster], pa.int64()),
+                pa.array([*[None] * len(ids), *hot.sum(axis=0).tolist()], pa.float64()),
+                pa.array([*[None] * len(ids), *stats], pa.binary()),
+            ], names=["worker_id", "row_id", "local_k", "n", "stats"])
+
+        made = dealt.groupBy("worker_id").cogroup(last.groupBy("worker_id")).applyInArrow(run, "worker_id long, row_id long, local_k long, n double, stats binary")
+        made.write.parquet(path)
+        found = sorted(spark.read.parquet(path).where("row_id IS NULL").collect(), key=lambda r: (r.worker_id, r.local_k))
+        p = len(state.col_labels)
+        flat = np.array([np.frombuffer(r.stats, dtype=np.float64) for r in found])
+        n = np.array([r.n for r in found])
+        cuts = np.cumsum([p * d, p * d * d, d])
+        total, square, mean, mean_square = np.split(flat, cuts, axis=1)
+        by_column = gibbs.Stats(np.repeat(n[:, None], p, axis=1), total.reshape(-1, p, d), square.reshape(-1, p, d, d))
+        return [(int(r.worker_id), int(r.local_k), float(r.n)) for r in found], by_column, gibbs.Stats(n, mean, mean_square.reshape(-1, d, d))
 
     # -- the loop ---------------------------------------------------------------
 
@@ -161,90 +197,98 @@ class BlockMixture:
             require(len(given) == p, "the initial column partition must label every column")
             columns = np.unique(given["l"].to_numpy(), return_inverse=True)[1]
         folder = f"{shared_folder(spark)}/tessera-{spark.sparkContext.applicationId}/fit-{uuid.uuid4().hex}"
-        path = f"{folder}/rows"
-        self._dealt(cells, workers, n).repartition(workers, "worker_id").write.parquet(path)
-        dealt = spark.read.parquet(path)
         total = max(1, max_iter - 1) if self.compat else max_iter
-        if workers == 1 and row_labels is None and n * p * d <= ONE_TASK_CELLS:
-            return self._fit_in_one_task(dealt, columns, prior, total, folder, began)
-        labels, iteration = None, 0
-        state = gibbs.State(columns, 1, gibbs.Stats.zeros((int(columns.max()) + 1, 1), d))
+        rows = self._packed(cells, f"{folder}/rows")
+        if workers == 1 and row_labels is None:
+            return self._fit_in_one_task(rows, columns, prior, total, folder, began)
+        dealt = self._dealt(rows, workers, n).persist()
+        try:
+            return self._iterated(dealt, row_labels, columns, prior, n, total, folder, began)
+        finally:
+            dealt.unpersist()
+            remove_folder(spark, f"{folder}/rows")
+
+    def _iterated(self, dealt: DataFrame, row_labels: DataFrame | None, columns: np.ndarray, prior: Niw, n: int, total: int, folder: str, began: float) -> Fitted:
+        spark, d = dealt.sparkSession, prior.d
+        schema = "worker_id long, row_id long, local_k long"
+        state, mapping, path = gibbs.State(columns, 1, None), {}, None
+        last = spark.createDataFrame([], schema)
         if row_labels is not None:
             require(row_labels.select("row_id").distinct().count() == n, "the initial row partition must label every row")
-            labels = row_labels.select(F.col("row_id").cast("long").alias("row_id"), F.col("k").cast("long").alias("k"))
-            state = self._regrid(dealt, labels, columns, d)
-            iteration = 1
+            given = row_labels.select(F.col("row_id").cast("long").alias("row_id"), F.col("k").cast("long").alias("local_k"))
+            dealt.select("worker_id", "row_id").join(given, "row_id").select("worker_id", "row_id", "local_k").write.parquet(f"{folder}/labels-given")
+            last, path = spark.read.schema(schema).parquet(f"{folder}/labels-given"), f"{folder}/given"
+            clusters, by_column, _ = self._sweep(dealt, last, state, mapping, prior, 0, 0, path)
+            n_k = max(k for _, k, _ in clusters) + 1
+            require(len({k for _, k, _ in clusters}) == n_k, "row labels must be numbered from 0 without gaps")
+            state = gibbs.State(columns, n_k, self._grid(by_column, [k for _, k, _ in clusters], n_k, columns, d)[0])
         history: list[dict] = []
         for step in range(total):
-            local_path = f"{folder}/local-{step}"
-            self._local_sweep(dealt, labels, state, prior, iteration).write.parquet(local_path)
-            local = spark.read.parquet(local_path)
-            joined = dealt.join(local, ["worker_id", "row_id"])
-            blocks = self._block_stats(joined, ["worker_id", "local_k"], d).toPandas().sort_values(["worker_id", "local_k", "col_id"])
-            keys = blocks[["worker_id", "local_k"]].drop_duplicates()
-            by_cluster = self._as_stats(blocks, d)
-            by_cluster = gibbs.Stats(*(a.reshape(len(keys), p, *a.shape[1:]) for a in (by_cluster.n, by_cluster.total, by_cluster.square)))
-            sizes = by_cluster.n[:, 0]
-            if self.merge_space == "row_mean":
-                means = self._row_mean_stats(joined, d).sort_values(["worker_id", "local_k"])
-                summary = self._as_stats(means, d)
-            else:
-                summary = self._over_columns(by_cluster, state.col_labels)
-            order = [(int(w), int(k), sizes[i], summary[i]) for i, (w, k) in enumerate(keys.itertuples(index=False))]
+            if path is not None:
+                last = spark.read.schema(schema).parquet(path).where("row_id IS NOT NULL")
+            before, path = path, f"{folder}/local-{step}"
+            clusters, by_column, means = self._sweep(dealt, last, state, mapping, prior, step, self.local_sweeps, path)
+            if before is not None:
+                remove_folder(spark, before)
+            summary = means if self.merge_space == "row_mean" else self._over_columns(by_column, state.col_labels)
+            order = [(w, k, size, summary[i]) for i, (w, k, size) in enumerate(clusters)]
             merged = gibbs.merge_fold(order, prior, self.alpha, f"{self.seed}|{step}", self.compat)
             n_k = max(merged) + 1
-            per_column = gibbs.Stats.zeros((p, n_k), d)
-            for i, k in enumerate(merged):
-                per_column.add((slice(None), k), by_cluster[i])
+            _, per_column = self._grid(by_column, merged, n_k, state.col_labels, d)
             columns = gibbs.column_sweep(per_column, state.col_labels, prior, self.beta, f"{self.seed}|{step}", self.compat)
-            grid = gibbs.Stats.zeros((int(columns.max()) + 1, n_k), d)
-            for j, l in enumerate(columns):  # noqa: E741
-                grid.add(int(l), per_column[j])
+            grid, _ = self._grid(by_column, merged, n_k, columns, d)
             state = gibbs.State(columns, n_k, grid)
-            mapping = spark.createDataFrame([(int(w), int(k), int(g)) for (w, k, _, _), g in zip(order, merged, strict=True)], "worker_id long, local_k long, k long")
-            label_path = f"{folder}/labels-{step}"
-            local.join(F.broadcast(mapping), ["worker_id", "local_k"]).select("row_id", "k").write.parquet(label_path)
-            labels = spark.read.parquet(label_path)
-            iteration += 1
+            mapping = {(w, k): g for (w, k, _), g in zip(clusters, merged, strict=True)}
             history.append({"iteration": step + 1, "row_clusters": n_k, "col_clusters": int(columns.max()) + 1})
+        named = spark.createDataFrame([(w, k, g) for (w, k), g in mapping.items()], "worker_id long, local_k long, k long")
+        spark.read.schema(schema).parquet(path).where("row_id IS NOT NULL").join(F.broadcast(named), ["worker_id", "local_k"]).select("row_id", "k").write.parquet(f"{folder}/labels")
+        remove_folder(spark, path)
         final = spark.createDataFrame([(j, int(l)) for j, l in enumerate(state.col_labels)], "col_id int, l long")
-        return Fitted(labels, final, state.n_row_clusters, int(state.col_labels.max()) + 1, time.perf_counter() - began, history)
+        return Fitted(spark.read.schema("row_id long, k long").parquet(f"{folder}/labels"), final, state.n_row_clusters, int(state.col_labels.max()) + 1, time.perf_counter() - began, history)
 
-    def _fit_in_one_task(self, dealt: DataFrame, columns: np.ndarray, prior: Niw, total: int, folder: str, began: float) -> Fitted:
-        """All iterations in the task of the only worker: local clusters are the global ones and nothing is merged."""
-        spark = dealt.sparkSession
+    @staticmethod
+    def _grid(by_column: gibbs.Stats, labels: list[int], n_k: int, columns: np.ndarray, d: int) -> tuple[gibbs.Stats, gibbs.Stats]:
+        """Statistics by column cluster and row cluster, and by column and row cluster, of local clusters with their global labels."""
+        hot = np.eye(n_k)[labels]
+        per_column = gibbs.Stats(by_column.n.T @ hot, np.einsum("cpd,ck->pkd", by_column.total, hot), np.einsum("cpde,ck->pkde", by_column.square, hot))
+        over = np.eye(int(columns.max()) + 1)[columns]
+        return gibbs.Stats(over.T @ per_column.n, np.einsum("pkd,pl->lkd", per_column.total, over), np.einsum("pkde,pl->lkde", per_column.square, over)), per_column
+
+    def _fit_in_one_task(self, rows: DataFrame, columns: np.ndarray, prior: Niw, total: int, folder: str, began: float) -> Fitted:
+        """All iterations in the task of the only worker: local clusters are the global ones and nothing is merged.
+
+        One worker holds the whole matrix, whatever its size: choose more where it doesn't fit a task.
+        """
+        spark = rows.sparkSession
         alpha, beta, seed, sweeps, compat, d = self.alpha, self.beta, self.seed, self.local_sweeps, self.compat, prior.d
 
-        def chain(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("row_id")
-            x = np.array([np.vstack(r) for r in rows["xs"]]).reshape(len(rows), -1, d)
-            found, cols, counts = gibbs.chain(x, rows["row_id"].tolist(), columns, prior, alpha, beta, seed, total, sweeps, compat)
-            at = pd.DataFrame({"axis": "row", "id": rows["row_id"].to_numpy(), "label": found})
-            return pd.concat([at, pd.DataFrame({"axis": "col", "id": np.arange(len(cols)), "label": cols}), pd.DataFrame({"axis": "step", "id": [a * 1_000_000 + b for a, b in counts], "label": np.arange(len(counts))})])
-
-        dealt.groupBy("worker_id").applyInPandas(chain, "axis string, id long, label long").write.parquet(f"{folder}/chain")
+        def chain(batches):
+            ids, held = [], []
+            for batch in batches:
+                ids += batch.column("row_id").to_pylist()
+                held += batch.column("xs").to_pylist()
+            order = np.argsort(ids)
+            ids = [ids[i] for i in order]
+            x = np.frombuffer(b"".join([held[i] for i in order]), dtype=np.float64).reshape(len(ids), -1, d)
+            held.clear()
+            found, cols, counts = gibbs.chain(x, ids, columns, prior, alpha, beta, seed, total, sweeps, compat)
+            for axis, at, label in (("row", ids, found), ("col", range(len(cols)), cols), ("step", [a * 1_000_000 + b for a, b in counts], range(len(counts)))):
+                yield pa.RecordBatch.from_arrays([pa.array([axis] * len(at)), pa.array(list(at), pa.int64()), pa.array(list(label), pa.int64())], names=["axis", "id", "label"])
+
+        rows.repartition(1).mapInArrow(chain, "axis string, id long, label long").write.parquet(f"{folder}/chain")
+        remove_folder(spark, f"{folder}/rows")
         done = spark.read.parquet(f"{folder}/chain")
         steps = sorted((r.label, r.id) for r in done.where("axis = 'step'").collect())
         history = [{"iteration": int(i) + 1, "row_clusters": int(v // 1_000_000), "col_clusters": int(v % 1_000_000)} for i, v in steps]
-        rows = done.where("axis = 'row'").select(F.col("id").alias("row_id"), F.col("label").alias("k"))
+        found = done.where("axis = 'row'").select(F.col("id").alias("row_id"), F.col("label").alias("k"))
         cols = done.where("axis = 'col'").select(F.col("id").cast("int").alias("col_id"), F.col("label").alias("l"))
-        return Fitted(rows, cols, history[-1]["row_clusters"], history[-1]["col_clusters"], time.perf_counter() - began, history)
+        return Fitted(found, cols, history[-1]["row_clusters"], history[-1]["col_clusters"], time.perf_counter() - began, history)
 
     @staticmethod
     def _over_columns(by_cluster: gibbs.Stats, col_labels: np.ndarray) -> gibbs.Stats:
         hot = np.eye(int(col_labels.max()) + 1)[col_labels]
         return gibbs.Stats(by_cluster.n @ hot, np.einsum("cpd,pl->cld", by_cluster.total, hot), np.einsum("cpde,pl->clde", by_cluster.square, hot))
 
-    def _regrid(self, dealt: DataFrame, labels: DataFrame, columns: np.ndarray, d: int) -> gibbs.State:
-        """State of given labels, which are numbered from 0."""
-        pdf = self._block_stats(dealt.join(labels, "row_id"), ["k"], d).toPandas().sort_values(["k", "col_id"])
-        n_k = int(pdf["k"].max()) + 1
-        require(pdf["k"].nunique() == n_k, "row labels must be numbered from 0 without gaps")
-        stats = self._as_stats(pdf, d)
-        stats = gibbs.Stats(*(a.reshape(n_k, len(columns), *a.shape[1:]) for a in (stats.n, stats.total, stats.square)))
-        grid = self._over_columns(stats, columns)
-        return gibbs.State(columns, n_k, gibbs.Stats(*(np.swapaxes(a, 0, 1).copy() for a in (grid.n, grid.total, grid.square))))
-
     def _prior(self, cells: DataFrame, d: int) -> Niw:
         if isinstance(self.prior, Niw):
             require(self.prior.d == d, "prior and data differ in their dimension")
@@ -253,10 +297,3 @@ class BlockMixture:
 
         row = cells.agg(*vector_moments("x", d)).first()
         return Niw.from_moments(row.n, np.array(row.mean), np.array(row.s), self.prior)
-
-
-def timer() -> Iterator[float]:
-    """Seconds since the generator began, at every step."""
-    began = time.perf_counter()
-    while True:
-        yield time.perf_counter() - began

@@ -39,8 +39,34 @@ def n_clusters(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.countDistinct(label).alias("n_clusters"))
 
 
+def block_contingency(row_labels: DataFrame, col_labels: DataFrame, true_rows: DataFrame, true_cols: DataFrame) -> DataFrame:
+    """Contingency of two block partitions of a matrix, from row labels (row_id, k) and column labels (col_id, l).
+
+    A cell's blocks follow from its row's and its column's labels, so the table of
+    the blocks is the product of the rows' and the columns' tables: no cell is made.
+    """
+    rows = contingency(row_labels.select("row_id", F.col("k").alias("e")).join(true_rows.select("row_id", F.col("k").alias("t")), "row_id"), "e", "t")
+    cols = contingency(col_labels.select("col_id", F.col("l").alias("e")).join(true_cols.select("col_id", F.col("l").alias("t")), "col_id"), "e", "t")
+    pairs = rows.select(F.col("a").alias("k"), F.col("b").alias("true_k"), F.col("n").alias("r")).crossJoin(cols.select(F.col("a").alias("l"), F.col("b").alias("true_l"), F.col("n").alias("c")))
+    return pairs.select(F.struct("k", "l").alias("a"), F.struct("true_k", "true_l").alias("b"), (F.col("r") * F.col("c")).alias("n"))
+
+
+def _all(table: DataFrame) -> DataFrame:
+    return adjusted_rand(table).crossJoin(normalized_mutual_information(table)).crossJoin(table.agg(F.countDistinct("a").alias("n_clusters")))
+
+
+def block_scores(row_labels: DataFrame, col_labels: DataFrame, true_rows: DataFrame, true_cols: DataFrame) -> DataFrame:
+    """ari, nmi and n_clusters of the blocks of estimated against true labels."""
+    return _all(block_contingency(row_labels, col_labels, true_rows, true_cols))
+
+
+def n_blocks(row_labels: DataFrame, col_labels: DataFrame) -> DataFrame:
+    """Number of blocks: of row clusters times column clusters."""
+    rows, cols = row_labels.agg(F.countDistinct("k").alias("r")), col_labels.agg(F.countDistinct("l").alias("c"))
+    return rows.crossJoin(cols).select((F.col("r") * F.col("c")).alias("n_clusters"))
+
+
 def scores(estimated: DataFrame, true: DataFrame, keys: list[str]) -> DataFrame:
-    """ari, nmi and n_clusters of estimated against true blocks, both as (keys, block_id)."""
+    """ari, nmi and n_clusters of an estimated against a true partition, both as (keys, block_id)."""
     both = estimated.withColumnRenamed("block_id", "e").join(true.withColumnRenamed("block_id", "t"), keys)
-    table = contingency(both, "e", "t")
-    return adjusted_rand(table).crossJoin(normalized_mutual_information(table)).crossJoin(table.agg(F.countDistinct("a").alias("n_clusters")))
+    return _all(contingency(both, "e", "t"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Rows of E are dealt to this many workers; its column j belongs to column cluster j % COLUMN_CLUSTERS.
 WORKERS = 7
 COLUMN_CLUSTERS = 4
+#: Components of an embedding, the columns of E.
+DIMENSIONS = 64
 SEED = 17
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import means, pair_moments
+
 
 def read_matrix(spark: SparkSession, path: str, dim: int = 1) -> DataFrame:
     """row_id, col_id, x from a comma-separated matrix with a header line.
@@ -65,9 +68,19 @@ def write_results(spark: SparkSession, path: str, summary: dict) -> None:
 
 
 def write_prior(cells: DataFrame, path: str) -> None:
-    """Mean and inverse covariance of all scalar cells as JSON."""
-    n = F.count("x")
-    cells.agg(F.avg("x").alias("mean"), ((n - 1) / (F.var_pop("x") * n)).alias("precision")).coalesce(1).write.mode("overwrite").json(path)
+    """Mean (a list) and inverse covariance (a list of rows) of all cells as JSON; cells are numbers or vectors of one dimension."""
+    x = F.col("x") if cells.schema["x"].dataType.typeName() == "array" else F.array("x")
+    vectors = cells.select(x.cast("array<double>").alias("x")).where(F.col("x")[0].isNotNull())
+    d = vectors.agg(F.max(F.size("x"))).first()[0]
+    if d is None:
+        raise ValueError("the matrix has no cells")
+    mean = means(vectors, "x", d)
+    scatter, n = np.zeros((d, d)), 0
+    for r in pair_moments(vectors, "x", d).collect():
+        scatter[r.i, r.j], n = r.s, r.n
+    precision = np.linalg.inv(scatter / (n - 1))
+    text = json.dumps({"mean": mean, "precision": precision.tolist()})
+    cells.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def show_scores(ari: float, nmi: float, n_clusters: int, runtime: float) -> str:

@@ -1,6 +1,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -43,7 +44,14 @@ def test_info_and_results(spark, tmp_path):
     io.write_labels(info["rows"], info["columns"], str(tmp_path / "l"))
     assert spark.read.parquet(str(tmp_path / "l" / "row_labels")).count() == 2
     io.write_prior(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double"), str(tmp_path / "p"))
-    assert spark.read.json(str(tmp_path / "p")).first().precision == pytest.approx(1 / (14 / 6))
+    found = spark.read.json(str(tmp_path / "p")).first()
+    assert found["mean"] == pytest.approx([7 / 3]) and found.precision[0] == pytest.approx([1 / (14 / 6)])
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(60, 3)) @ draw.normal(size=(3, 3)) + 5
+    io.write_prior(spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(3), str(tmp_path / "v"))
+    found = spark.read.json(str(tmp_path / "v")).first()
+    assert found["mean"] == pytest.approx(x.mean(axis=0).tolist())
+    assert np.array(found.precision) == pytest.approx(np.linalg.inv(np.cov(x.T)))
     assert "ARI: 1.0" in io.show_scores(1.0, 1.0, 9, 0.5)
 
 
