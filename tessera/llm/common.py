@@ -23,7 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between Spark and Python; executors hold a few of them off their heaps.
+BATCH_BYTES = 8_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of the session pass BATCH_BYTES, as rows of whole texts can be large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = re.fullmatch(r"(\d+)b?", spark.conf.get(name, ""))
+    if given is None or int(given[1]) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -62,15 +62,16 @@ FREQUENT = 3
 MOST_FREQUENT = 200_000
 #: Least number of parts of a frequent shingle's region, and rows of first shingles that a task sorts.
 SALTS, TASK_ROWS = 64, 1_000_000
-BROADCAST_ROWS = 400_000
+#: Rows of narrow and of wide tables that are broadcast, by count.
+BROADCAST_ROWS, WIDE_ROWS = 400_000, 40_000
 #: Links that one task joins at once.
 ONE_TASK_LINKS = 500_000
-FIRST_PIVOTS, PIVOT_GROWTH = 1, 16
+FIRST_PIVOTS, PIVOT_GROWTH = 1, 64
 #: Ranks of frequent shingles go up to this.
 MOST_RANK = 127
-#: Bits of a sketch: four for every shingle, within these bounds; joins compare sketches folded to LEAST_BITS, as words of 64.
-LEAST_BITS, MOST_BITS = 512, 65_536
-FOLDED = [f"w{k}" for k in range(LEAST_BITS // 64)]
+#: Bits of a sketch, kept as words of 64.
+BITS = 1024
+SKETCH = [f"w{k}" for k in range(BITS // 64)]
 
 _BYTE = np.random.default_rng(314159).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -140,28 +141,18 @@ def linked(inter, union):
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of shingles by their low hash bits, packed in bytes."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(shingles) - 1).bit_length()))
-    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool))
+    """Parities of the numbers of shingles by their low hash bits, as words."""
+    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view("<i8")
 
 
-def folded(x: np.ndarray, size: int) -> np.ndarray:
-    """The sketch of the same set with fewer bits (``size`` bytes): parities of halves add up."""
-    while len(x) > size:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
-
-
-def most_common(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+def most_common(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> int:
     """A bound on the intersection of two sets: each differing bit of their sketches stands for an element that only one has."""
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    size = min(len(x), len(y))
-    apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
-    return min(n_a, n_b, (n_a + n_b - apart) // 2)
+    return min(n_a, n_b, (n_a + n_b - int(np.bitwise_count((a ^ b).view(np.uint64)).sum())) // 2)
 
 
 def document_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_shingles, the id of the set (null if it is empty), its first shingles with their ranks, where they end, and its sketch, whole and folded."""
+    """doc_id, n_shingles, the id of the set (null if it is empty), its first shingles with their ranks, where they end, and its sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -183,13 +174,12 @@ def document_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> D
         def one(batch):
             sets = [shingle_set(t) for t in raw_texts(batch.column("text"))]
             firsts = [first(s) if len(s) else (None, None) for s in sets]
-            bits = [sketch(s) for s in sets]
-            few = np.array([folded(x, LEAST_BITS // 8) for x in bits]).view("<i8").reshape(len(sets), len(FOLDED))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([f for f, _ in firsts], pa.binary()), pa.array([e for _, e in firsts], pa.int64()), pa.array([x.tobytes() if len(s) else None for x, s in zip(bits, sets, strict=True)], pa.binary()), *(pa.array(w) for w in few.T)], names=["doc_id", "n_shingles", "point", "first", "last", "bits", *FOLDED])
+            words = np.array([sketch(s) for s in sets]).reshape(len(sets), len(SKETCH))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([f for f, _ in firsts], pa.binary()), pa.array([e for _, e in firsts], pa.int64()), *(pa.array(w) for w in words.T)], names=["doc_id", "n_shingles", "point", "first", "last", *SKETCH])
 
         return one
 
-    return per_batch(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, point long, first binary, last long, bits binary, {', '.join(f'{w} long' for w in FOLDED)}")
+    return per_batch(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, point long, first binary, last long, {', '.join(f'{w} long' for w in SKETCH)}")
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -301,36 +291,22 @@ def _fits(a, b):
     return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
 
 
-def compare(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, distance and whether they link, for pairs of points (a, b) that their sketches don't rule out, from the whole texts.
-
-    Pairs meet the text of their first and then of their second point.  Up to
-    ``BROADCAST_ROWS`` pairs are broadcast so that texts without a pair are not
-    shuffled; more pairs are joined by shuffle.  Spark splits the rows of a pivot
-    with many points.
-    """
-    side = lambda k: points.select(F.col("point").alias(k), F.col("doc").alias(f"doc_{k}"), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-    kind = points.schema["doc"].dataType.simpleString()
+def _small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, marked for broadcasting if it has few rows by count; otherwise Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
-    def bound():
-        def one(batch):
-            cols = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
-            keep = []
-            for n_a, n_b, x, y in zip(*cols, strict=True):
-                common = most_common(x, n_a, y, n_b)
-                keep.append(linked(common, n_a + n_b - common))
-            return batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array([bool(k) for k in keep]))
 
-        return one
+def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, distance and whether they link, from the whole texts of pairs (a, b, doc_a, doc_b).
 
-    named = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b")
-    pairs = table(per_batch(named, bound, f"a long, b long, doc_a {kind}, doc_b {kind}"))
-    small = pairs.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda x: x)
+    Pairs meet the text of their first and then of their second point.  Few
+    pairs are broadcast so that texts without a pair are not shuffled; many are
+    joined by shuffle.  Spark splits the rows of a pivot with many points.
+    """
+    pairs = _small(table(pairs.select("a", "b", "doc_a", "doc_b").distinct()))
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    first = texts.withColumnsRenamed({"doc_id": "doc_a", "text": "text_a"}).join(hint(pairs), "doc_a")
-    wanted = pairs.select(F.col("doc_b").alias("doc_id")).distinct()
-    second = texts.join(hint(wanted), "doc_id", "left_semi").withColumnsRenamed({"doc_id": "doc_b", "text": "text_b"})
+    first = texts.withColumnsRenamed({"doc_id": "doc_a", "text": "text_a"}).join(pairs, "doc_a")
+    second = texts.join(pairs.select(F.col("doc_b").alias("doc_id")), "doc_id", "left_semi").withColumnsRenamed({"doc_id": "doc_b", "text": "text_b"})
     both = first.select("a", "b", "doc_b", "text_a").join(second.hint("merge"), "doc_b").select("a", "b", "text_a", "text_b")
 
     def make():
@@ -355,7 +331,7 @@ def compare(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
 
         return one
 
-    return table(per_batch(both, make, "a long, b long, distance double, link boolean").distinct())
+    return table(per_batch(both, make, "a long, b long, distance double, link boolean"))
 
 
 def least_of_each(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,8 +351,11 @@ def least_of_each(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         least = new
 
 
-def _contracted(links: DataFrame) -> DataFrame:
-    """The same components from fewer links: each task joins the links that it holds and gives every point its least one."""
+def _contracted(links: DataFrame, whole: bool = False) -> DataFrame:
+    """The same components from fewer links: each task joins the links that it holds and gives every point its least one.
+
+    With ``whole`` the least points come too, with themselves.
+    """
 
     def run(batches):
         held: list = []
@@ -384,7 +363,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         def flush():
             v, c = least_of_each(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
-            own = v != c
+            own = (v != c) | whole
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array(v[own]), pa.array(c[own])], names=["u", "v"])
 
@@ -408,8 +387,7 @@ def components(links: DataFrame, one_task: int | None = None) -> DataFrame:
     """
     edges = table(_contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")))
     if edges.count() <= (ONE_TASK_LINKS if one_task is None else one_task):
-        edges = table(_contracted(edges.repartition(1)))
-        return edges.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(edges.select("v", F.col("v").alias("c")).distinct())
+        return _contracted(edges.repartition(1), whole=True).select(F.col("u").alias("v"), F.col("v").alias("c"))
     state = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = state(edges)
     while before[0]:
@@ -439,10 +417,10 @@ def _needed():
 
 
 def _may_link(weight: str):
-    """What two points of different components must fulfil to link: sizes, shared weight (bounded by each one's) and sketches."""
-    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in FOLDED[1:]), F.bit_count(F.col(f"{FOLDED[0]}_a").bitwiseXOR(F.col(f"{FOLDED[0]}_b"))))
+    """What two points must fulfil to link: sizes, shared weight (bounded by each one's) and sketches."""
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in SKETCH[1:]), F.bit_count(F.col(f"{SKETCH[0]}_a").bitwiseXOR(F.col(f"{SKETCH[0]}_b"))))
     near = (F.col("n_a") + F.col("n_b")) * (100 - PERCENT) >= apart * (100 + PERCENT)
-    return (F.col("c_a") != F.col("c_b")) & _fits("n_a", "n_b") & (F.least(f"{weight}_a", f"{weight}_b") >= _needed()) & near
+    return _fits("n_a", "n_b") & (F.least(f"{weight}_a", f"{weight}_b") >= _needed()) & near
 
 
 def _side(df: DataFrame, k: str, keep: tuple = ()) -> DataFrame:
@@ -454,68 +432,81 @@ def _pairs(left: DataFrame, right: DataFrame, on: str, where) -> DataFrame:
     return _side(left, "a", (on,)).join(_side(right, "b", (on,)), on).where(where)
 
 
-def _joined(label: DataFrame, new: DataFrame) -> DataFrame:
-    """Labels (point, c) brought up to date with new links."""
-    if new.isEmpty():
-        return label
+def _joined(label: DataFrame, known: DataFrame) -> DataFrame:
+    """Labels (point, c) brought up to date with the links among compared pairs."""
+    new = known.where("link").select("a", "b")
     return table(components(label.select(F.col("point").alias("a"), F.col("c").alias("b")).unionByName(new)).withColumnRenamed("v", "point"))
 
 
-def cell_rounds(docs: DataFrame, points: DataFrame, cells: DataFrame, label: DataFrame) -> DataFrame:
+def _labelled(df: DataFrame, label: DataFrame) -> DataFrame:
+    return df.join(_small(label), "point", "left").withColumn("c", F.coalesce("c", "point"))
+
+
+def _drawn(df: DataFrame, group: str, order, step: int, pivots: int) -> DataFrame:
+    """A point for each of ``pivots`` places of every group that has one: the first in an order, ties by a hash."""
+    place = F.pmod(F.xxhash64("point", F.lit(step)), F.lit(pivots))
+    first = F.min(F.struct(order.alias("o"), F.xxhash64("point", F.lit(-step)).alias("then"), F.col("point")))
+    return table(df.groupBy(group, place.alias("place")).agg(first.alias("p")).select("p.point"))
+
+
+def cell_rounds(docs: DataFrame, cells: DataFrame, label: DataFrame) -> DataFrame:
     """Labels after all linked pairs of one cell are connected.
 
-    ``cells`` holds point, n, last, cell, distance, weight, degree and the folded
+    ``cells`` holds point, doc, n, last, cell, distance, weight, degree and the
     sketch of every point that shares a region with another.
     """
     pivots, step = FIRST_PIVOTS, 0
     while True:
-        named = cells.join(label, "point", "left").withColumn("c", F.coalesce("c", "point"))
-        open_ = named.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")).where("low <> high").select("cell", "least", "most")
+        named = _labelled(cells, label)
+        open_ = table(named.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")).where("low <> high").select("cell", "least", "most"))
         # A point whose own weight is under what any size in its cell would need links with none there.
         n, both = F.col("n"), lambda other: (F.col("n") + other) * PERCENT / (100 + PERCENT)
         small, large = F.greatest("least", F.ceil(n * PERCENT / 100)), F.least("most", F.floor(n * 100 / PERCENT))
         needed = F.least(F.ceil(both(small)) - _beyond(n), F.ceil(both(large) - large * PERCENT / 100 - 1e-6))
-        cells = table(named.join(open_, "cell").where(F.col("weight") >= needed).drop("least", "most"))
+        cells = table(named.join(_small(open_), "cell").where(F.col("weight") >= needed).drop("least", "most"))
         if cells.isEmpty():
             return label
-        sizes = cells.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("size"))
-        # At first the point that shares most with others, which is near the middle of a group of copies; then points of small components.
-        order = -F.col("degree") if step == 0 else F.col("size")
-        place = F.pmod(F.xxhash64("point", F.lit(step)), F.lit(pivots))
-        drawn = table(cells.join(sizes, ["cell", "c"]).groupBy("cell", place.alias("place")).agg(F.min(F.struct(order.alias("o"), F.xxhash64("point", F.lit(-step)).alias("then"), F.col("point"))).alias("p")).select("p.point"))
+        # At first the point that shares most with others, which is near the middle of a group of copies; then those that share least.
+        drawn = _drawn(cells, "cell", -F.col("degree") if step == 0 else F.col("weight"), step, pivots)
+        some = _small(drawn)
         within = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= EPSILON + 1e-9, F.lit(True))
-        met = _pairs(cells, cells.join(drawn, "point", "left_semi"), "cell", _may_link("weight") & within)
-        asked = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        label = _joined(label, compare(docs, points, asked).where("link").select("a", "b"))
-        cells = cells.drop("c").join(drawn, "point", "left_anti")
+        asked = _pairs(cells, _small(table(cells.join(some, "point", "left_semi")), WIDE_ROWS), "cell", (F.col("c_a") != F.col("c_b")) & _may_link("weight") & within)
+        label = _joined(label, compare(docs, _ordered(asked)))
+        cells = cells.drop("c").join(some, "point", "left_anti")
         pivots *= PIVOT_GROWTH
         step += 1
 
 
-def boundary_rounds(docs: DataFrame, points: DataFrame, cells: DataFrame, members: DataFrame, label: DataFrame) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs with the greater point first."""
+    up = F.col("a") > F.col("b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(up, F.col("doc_a")).otherwise(F.col("doc_b")).alias("doc_a"), F.when(up, F.col("doc_b")).otherwise(F.col("doc_a")).alias("doc_b"))
+
+
+def boundary_rounds(docs: DataFrame, cells: DataFrame, members: DataFrame, label: DataFrame) -> DataFrame:
     """Labels after all linked pairs are connected that share a region and lie in different cells."""
     pivots, step = FIRST_PIVOTS, 0
-    own = cells.select("point", "n", "last", "cell", *FOLDED)
+    own = cells.select("point", "doc", "n", "last", "cell", *SKETCH)
     while True:
-        labelled = members.join(label, "point", "left").withColumn("c", F.coalesce("c", "point"))
-        held = labelled.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("region", "size")
-        members = table(labelled.join(held, "region").select("region", "size", "point", "c", "weight"))
+        labelled = _labelled(members, label)
+        held = table(labelled.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("region", "size"))
+        # The weight of a point's regions from this one on, larger regions being later: a pair that meets first here shares at most that.
+        every = Window.partitionBy("point")
+        later = every.orderBy(F.desc("size"), F.desc("region")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        members = labelled.join(_small(held), "region")
+        members = table(members.select("region", "point", "c", "weight", F.sum("weight").over(later).alias("reach"), F.sum(F.col("size") * F.col("weight")).over(every).alias("degree")))
         if members.isEmpty():
             return label
-        # The weight of a point's regions from this one on, larger regions being later: a pair that meets first here shares at most that.
-        later = Window.partitionBy("point").orderBy(F.desc("size"), F.desc("region")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        reached = members.withColumn("reach", F.sum("weight").over(later)).join(own, "point")
-        place = F.pmod(F.xxhash64("point", F.lit(step)), F.lit(pivots))
-        degree = members.groupBy("point").agg(F.sum(F.col("size") * F.col("weight")).alias("degree"))
-        order = -F.col("degree") if step == 0 else F.xxhash64("point", F.lit(-step))
-        drawn = table(members.join(degree, "point").groupBy("region", place.alias("place")).agg(F.min(F.struct(order.alias("o"), F.xxhash64("point").alias("then"), F.col("point"))).alias("p")).select("p.point").distinct())
-        met = _pairs(reached.drop("size"), reached.drop("size", "weight").join(drawn, "point", "left_semi"), "region", (F.col("cell_a") != F.col("cell_b")) & _may_link("reach"))
+        drawn = table(_drawn(members, "region", -F.col("degree") if step == 0 else F.xxhash64("point", F.lit(-step)), step, pivots).distinct())
+        some = _small(drawn)
+        reached = members.drop("degree").join(own, "point")
+        theirs = _small(table(members.drop("degree", "weight").join(some, "point", "left_semi").join(own, "point")), WIDE_ROWS)
+        met = _pairs(reached, theirs, "region", (F.col("cell_a") != F.col("cell_b")) & (F.col("c_a") != F.col("c_b")) & _may_link("reach"))
         # A linked pair meets at its first region within both points' reach; what the rows left out could add to its weight is bounded too.
-        pairs = met.groupBy("a", "b").agg(F.max(_needed()).alias("needed"), F.sum("weight_a").alias("shared"), F.min(F.least("reach_a", "reach_b") - F.col("weight_a")).alias("left"))
+        pairs = met.groupBy("a", "b", "doc_a", "doc_b").agg(F.max(_needed()).alias("needed"), F.sum("weight_a").alias("shared"), F.min(F.least("reach_a", "reach_b") - F.col("weight_a")).alias("left"))
         pairs = pairs.where(F.col("shared") + F.least(F.col("left"), F.col("needed") - 1) >= F.col("needed"))
-        asked = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        label = _joined(label, compare(docs, points, asked).where("link").select("a", "b"))
-        members = members.join(drawn, "point", "left_anti").select("region", "point", "weight")
+        label = _joined(label, compare(docs, _ordered(pairs)))
+        members = members.join(some, "point", "left_anti").select("region", "point", "weight")
         pivots *= PIVOT_GROWTH
         step += 1
 
@@ -525,26 +516,27 @@ def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFram
     rows = points.agg(F.sum(F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     where = table(regions(postings(sets, max(SALTS, parts)), parts))
+    members = table(where.groupBy("region", "point").agg(F.sum("weight").alias("weight")))
+    sizes = _small(table(members.groupBy("region").agg(F.count(F.lit(1)).alias("size"))))
+    own = members.join(sizes, "region").groupBy("point").agg(F.sum("weight").alias("weight"), F.sum(F.col("size") * F.col("weight")).alias("degree"))
+    known = table(points.join(own, "point"))
     # A frequent shingle has a pivot for each salt; the least of them is the pivot of the region.
-    hot = where.where("spread").select("region", "pivot", "pivot_n").distinct()
+    hot = table(where.where("spread").select("region", "pivot", "pivot_n").distinct())
     head = hot.groupBy("region").agg(F.min(F.struct(F.xxhash64("pivot").alias("o"), "pivot", "pivot_n")).alias("h")).select("region", F.col("h.pivot").alias("b"), F.col("h.pivot_n").alias("n_b"))
     between = hot.join(head, "region").select(F.col("pivot").alias("a"), F.col("pivot_n").alias("n_a"), "b", "n_b").where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).select("a", "b")
     votes = where.select(F.col("point").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"), F.col("pivot_n").alias("n_b"), "weight").where(F.col("a") != F.col("b")).where(_fits("n_a", "n_b")).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
     home = table(votes.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
-    asked = home.unionByName(between).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    known = compare(docs, points, asked)
-    near = known.select("a", "b", "distance")
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    homes = home.join(near, ["a", "b"], "left").select(F.col("a").alias("point"), F.col("b").alias("home"), "distance")
-    members = table(where.groupBy("region", "point").agg(F.sum("weight").alias("weight")))
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"))
-    own = members.join(sizes, "region").groupBy("point").agg(F.sum("weight").alias("weight"), F.sum(F.col("size") * F.col("weight")).alias("degree"))
-    # A point without a home is its own, at distance 0; one whose sketch kept it from being compared has no distance.
+    side = lambda k: _side(known.drop("degree"), k)
+    asked = home.unionByName(between).distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link("weight"))
+    near = compare(docs, _ordered(asked))
+    label = table(components(near.where("link").select("a", "b")).withColumnRenamed("v", "point"))
+    both = near.select("a", "b", "distance").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    homes = home.join(both, ["a", "b"], "left").select(F.col("a").alias("point"), F.col("b").alias("home"), "distance")
+    # A point without a home is its own, at distance 0; one that can't link with its home isn't compared and has no distance.
     cell, distance = F.coalesce("home", "point"), F.when(F.col("home").isNull(), 0.0).otherwise(F.col("distance"))
-    cells = table(points.drop("doc", "bits").join(own, "point").join(homes, "point", "left").withColumns({"cell": cell, "distance": distance}).drop("home"))
-    label = table(components(known.where("link").select("a", "b")).withColumnRenamed("v", "point"))
-    label = cell_rounds(docs, points, cells, label)
-    label = boundary_rounds(docs, points, cells, members, label)
+    cells = table(known.join(homes, "point", "left").withColumns({"cell": cell, "distance": distance}).drop("home"))
+    label = cell_rounds(docs, cells, label)
+    label = boundary_rounds(docs, cells, members, label)
     return label.select(F.col("point").alias("a"), F.col("c").alias("b"))
 
 
@@ -554,7 +546,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = table(document_sets(docs, frequent_shingles(docs)))
     named = sets.where(F.col("doc_id").isNotNull() & F.col("point").isNotNull())
     least = named.groupBy("point").agg(F.min("doc_id").alias("doc"))
-    points = table(least.join(named.select(F.col("doc_id").alias("doc"), "point", F.col("n_shingles").cast("int").alias("n"), "last", "bits", *FOLDED), ["doc", "point"]).dropDuplicates(["point"]))
+    points = table(least.join(named.select(F.col("doc_id").alias("doc"), "point", F.col("n_shingles").cast("int").alias("n"), "last", *SKETCH), ["doc", "point"]).dropDuplicates(["point"]))
     links = point_links(docs, named, points)
     # An id with several texts ties their sets together.
     tied = named.groupBy("doc_id").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a <> b").select("a", "b")

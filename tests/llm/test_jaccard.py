@@ -143,9 +143,7 @@ def test_sketches_bound_the_intersection():
         a = np.unique(np.array([draw.getrandbits(64) for _ in range(draw.randint(1, 900))], dtype=np.uint64))
         b = np.unique(np.concatenate([a[: draw.randint(0, len(a))], np.array([draw.getrandbits(64) for _ in range(draw.randint(1, 300))], dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
-        x, y = j.sketch(a).tobytes(), j.sketch(b).tobytes()
-        assert common <= j.most_common(x, len(a), y, len(b)) <= min(len(a), len(b))
-        assert (j.folded(j.sketch(a), 64) == j.folded(j.folded(j.sketch(a), 128), 64)).all()
+        assert common <= j.most_common(j.sketch(a), len(a), j.sketch(b), len(b)) <= min(len(a), len(b))
 
 
 def test_hash_agrees_for_equal_words():
