@@ -30,9 +30,9 @@ BATCH_BYTES = 8_000_000
 def bounded_batches(spark: SparkSession) -> None:
     """Let no Arrow batch of the session pass BATCH_BYTES, as rows of whole texts can be large."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    given = re.fullmatch(r"(\d+)b?", spark.conf.get(name, ""))
+    given = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
     if given is None or int(given[1]) > BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
