@@ -5,13 +5,11 @@ windows of ordinary text.  A window is one word between spaces, after a fixed
 lead-in that both dictionaries hold, so the compressor never falls back to a
 raw block.  A window's distance is its compressed length with the ordinary
 dictionary less that with the toxic one: a word that toxic text repeats costs a
-few bytes fewer with the toxic dictionary, ordinary words cost more.  Distances
-are kept in a bounded memo, as most words of a corpus come again and again.
-
-What a trainer keeps depends on the order of its samples, so a few pairs of
-dictionaries are trained and a window's distance is the sum over them.  The pair
-that tells the calibration texts apart best goes first; windows that it puts
-among the ordinary ones are not compressed with the others.
+few bytes fewer with the toxic dictionary, ordinary words cost more.  Windows of
+several words don't do: what their ordinary words differ by in the two
+dictionaries hides the few bytes of the word that matters (the README has the
+figures).  Distances are kept in a bounded memo, as most words of a corpus come
+again and again.
 
 Only windows that mark toxic text train the toxic dictionary: a stem (the first
 four or five bytes of a word) marks it if it stands after many different words
@@ -19,10 +17,13 @@ in toxic texts and hardly in others, by a likelihood-ratio test.  Counting the
 different words before it, not occurrences, keeps copies of one text from
 making its words look like marks.
 
-A document's score is a logistic function of its largest distances, calibrated
-on fitting texts whose windows the dictionaries have not seen.  The fitting
-texts are a bounded sample of labelled rows (``FIT_ROWS``, ``FIT_BYTES``);
-every document is scored over its whole text.
+Thresholds are distances that a given share of the ordinary windows of texts
+apart from those in the dictionaries stays under.  A document's score is a
+logistic function of how many of its different windows reach each threshold and
+of the largest distance, calibrated on the same texts; every window counts.  The
+fitting texts are a bounded sample of labelled rows (``FIT_ROWS``,
+``FIT_BYTES``), read and fitted in one task of an executor; every document is
+scored over its whole text.
 
 Defined results: null and empty texts have no windows and get the score of
 that; with labels of one kind only, or no marks, every score is the share of
@@ -46,15 +47,14 @@ FIT_BYTES = 32_000_000
 BUCKETS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 WINDOW = 64
 ORDINARY_DICTIONARY = 65_536
-#: Size and segment length of each pair's toxic dictionary; ordinary ones share a segment length.
-TOXIC_DICTIONARIES = ((4_096, 32), (4_096, 32), (4_096, 16), (8_192, 64))
+#: Size and segment length of the toxic dictionary; segment length of the ordinary one.
+TOXIC_DICTIONARY, TOXIC_SEGMENT = 4_096, 32
 ORDINARY_SEGMENT = 64
-#: Share of ordinary windows that the first pair rules out.
-RULED_OUT = 0.98
 ORDINARY_WINDOWS = 80_000
-FLOOR_WINDOWS = 20_000
 LEVEL = 19
-#: Least distance that a feature takes, and that of a window that a text lacks.
+#: Shares of ordinary windows that stay under the thresholds.
+UNDER = (0.99, 0.999, 0.9999)
+#: Distance of a text without windows, and the least that counts as largest.
 LEAST = -24
 MARK_TEST, MARK_SHARE = 15.0, 0.9
 MEMO_WINDOWS = 300_000
@@ -106,18 +106,12 @@ def dictionary(words: list[bytes], size: int, segment: int) -> zstandard.ZstdCom
 class Distance:
     """Window distances; the dictionaries travel as bytes and compressors are made where they are used."""
 
-    def __init__(self, pairs: list[tuple[zstandard.ZstdCompressionDict, zstandard.ZstdCompressionDict]], floor: float = -math.inf):
-        self.parts = [[(d.as_bytes(), d.dict_id() == 0) for d in pair] for pair in pairs]
-        self.floor = floor
+    def __init__(self, toxic: zstandard.ZstdCompressionDict, ordinary: zstandard.ZstdCompressionDict):
+        self.parts = [(d.as_bytes(), d.dict_id() == 0) for d in (toxic, ordinary)]
         self.ready = None
 
     def __getstate__(self):
-        return {"parts": self.parts, "floor": self.floor, "ready": None}
-
-    def ordered(self, order: list[int], floor: float) -> Distance:
-        out = Distance([], floor)
-        out.parts = [self.parts[i] for i in order]
-        return out
+        return {"parts": self.parts, "ready": None}
 
     def _prepare(self):
         settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
@@ -127,35 +121,27 @@ class Distance:
             held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT)
             return zstandard.ZstdCompressor(dict_data=held, compression_params=settings).compress
 
-        self.ready = [(compressor(toxic), compressor(ordinary)) for toxic, ordinary in self.parts]
+        self.ready = [compressor(p) for p in self.parts]
         self.memo = TwoGenerationCache(MEMO_WINDOWS)
 
-    def single(self, window: bytes, k: int) -> int:
-        """Distance by one pair of dictionaries."""
-        if self.ready is None:
-            self._prepare()
-        framed = LEAD_IN + b" " + window + b" "
-        toxic, ordinary = self.ready[k]
-        return len(ordinary(framed)) - len(toxic(framed))
-
-    def of(self, window: bytes) -> float:
+    def of(self, window: bytes) -> int:
         if self.ready is None:
             self._prepare()
         got = self.memo.get(window)
         if got is None:
-            got = self.single(window, 0)
-            got = got * len(self.parts) if got < self.floor else got + sum(self.single(window, k) for k in range(1, len(self.parts)))
+            framed = LEAD_IN + b" " + window + b" "
+            toxic, ordinary = self.ready
+            got = len(ordinary(framed)) - len(toxic(framed))
             self.memo.put(window, got)
         return got
 
-    def features(self, text: bytes) -> tuple[float, ...]:
-        """The three largest distances of different windows, and a constant."""
-        found = sorted((self.of(w) for w in set(windows(text))), reverse=True)[:3]
-        return (*(max(LEAST, d) for d in (*found, *[LEAST] * (3 - len(found)))), 1.0)
+    def all(self, text: bytes) -> np.ndarray:
+        """Distances of a text's different windows."""
+        return np.array([self.of(w) for w in set(windows(text))] or [LEAST])
 
 
 class Classifier:
-    """Dictionaries, and the calibrated logistic function of a document's distances."""
+    """Dictionaries, thresholds, and the calibrated logistic function of a document's distances."""
 
     def __init__(self, raw: list[bytes], y: np.ndarray):
         self.share = float(y.mean()) if len(y) else 0.0
@@ -165,24 +151,20 @@ class Classifier:
         apart = np.arange(len(y)) % 4 == 0
         if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
             apart[:] = False
-        trial = self._train([r for r, a in zip(raw, apart, strict=True) if not a], y[~apart])
-        if trial is None:
+        distance = self._train([r for r, a in zip(raw, apart, strict=True) if not a], y[~apart])
+        if distance is None:
             return
         calibrate = apart if apart.any() else ~apart
         held, known = [r for r, a in zip(raw, calibrate, strict=True) if a], y[calibrate]
         plain = sorted({w for r, q in zip(held, known, strict=True) if q != 1 for w in windows(r)})
-        some = [plain[i] for i in np.random.default_rng(2).permutation(len(plain))[:FLOOR_WINDOWS]]
-        losses, floors = [], []
-        for k in range(len(trial.parts)):
-            alone = trial.ordered([k], -math.inf)
-            x = np.array([alone.features(r) for r in held])
-            p = sigmoid(x @ self._logistic(x, known))
-            losses.append(-np.mean(np.log(np.maximum(np.where(known == 1, p, 1 - p), 1e-9))))
-            floors.append(float(np.quantile([alone.of(w) for w in some], RULED_OUT)) if some else -math.inf)
-        order = sorted(range(len(losses)), key=losses.__getitem__)
-        self.distance = trial.ordered(order, floors[order[0]])
-        x = np.array([self.distance.features(r) for r in held])
-        self.weights = self._logistic(x, known)
+        self.thresholds = np.floor(np.quantile([distance.of(w) for w in plain], UNDER)) + 1 if plain else np.ones(len(UNDER))
+        self.distance = distance
+        self.weights = self._logistic(np.array([self.features(r) for r in held]), known)
+
+    def features(self, text: bytes) -> np.ndarray:
+        """Logarithms of how many windows reach each threshold, the largest distance, and a constant."""
+        found = self.distance.all(text)
+        return np.append(np.log1p((found[:, None] >= self.thresholds).sum(axis=0)), (max(LEAST, found.max()), 1.0))
 
     @staticmethod
     def _train(raw: list[bytes], y: np.ndarray) -> Distance | None:
@@ -197,12 +179,9 @@ class Classifier:
             return None
         marking = [w for w in sorted(seen) for _ in range(min(seen[w], 50))]
         common = sorted({w for r in ordinary for w in windows(r)})
-        pairs = []
-        for k, (size, segment) in enumerate(TOXIC_DICTIONARIES):
-            draw = np.random.default_rng(k + 1)
-            one, other = [marking[i] for i in draw.permutation(len(marking))], [common[i] for i in draw.permutation(len(common))[:ORDINARY_WINDOWS]]
-            pairs.append((dictionary(one, size, segment), dictionary(other, ORDINARY_DICTIONARY, ORDINARY_SEGMENT)))
-        return Distance(pairs)
+        draw = np.random.default_rng(1)
+        one, other = [marking[i] for i in draw.permutation(len(marking))], [common[i] for i in draw.permutation(len(common))[:ORDINARY_WINDOWS]]
+        return Distance(dictionary(one, TOXIC_DICTIONARY, TOXIC_SEGMENT), dictionary(other, ORDINARY_DICTIONARY, ORDINARY_SEGMENT))
 
     @staticmethod
     def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -218,7 +197,7 @@ class Classifier:
     def score(self, raw: list[bytes]) -> np.ndarray:
         if self.distance is None:
             return np.full(len(raw), self.share)
-        return np.round(sigmoid(np.array([self.distance.features(r) for r in raw]).reshape(-1, 4) @ self.weights), 9)
+        return np.round(sigmoid(np.array([self.features(r) for r in raw]).reshape(-1, len(self.weights)) @ self.weights), 9)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> Model:
