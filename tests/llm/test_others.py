@@ -295,8 +295,9 @@ def _model():
     text = [b"the cat sat on the mat and the dog sat on the log".split() for _ in range(30)]
     flat, sizes = sub.encode([w for t in text for w in t])
     model = language_model.Model([sub.encode(t)[0].tolist() for t in text], sub.begins, sub.end, rounds=30)
-    two, one, ids = language_model.follows(flat, sizes, sub.end)
-    model.set_counts(two, one, ids, np.ones(len(ids)), np.ones(len(ids)), {b"the": 0.2, b"cat": 0.05, b"": 0.05})
+    counts = np.bincount(flat, minlength=sub.size).astype(float)
+    counts[sub.end] = 30
+    model.prepare(counts)
     return sub, model
 
 
@@ -319,6 +320,65 @@ def test_next_ids_sum_to_one_and_nothing_looks_ahead():
     assert a[:-1] == pytest.approx(b[:-1])
 
 
+def _plain_probability(model, sub, text, own, share):
+    """log10 probability of a text, place by place and word by word."""
+    t, p, step = model.tables, model.p, language_model.STEP
+    words = [*words_of(text), None]
+    spelled = [[sub.end] if w is None else sub.encode([w])[0].tolist() for w in words]
+    ids = [i for w in spelled for i in w]
+    inputs = [model.begin, *(int(model.input_of[i]) for i in ids[:-1])]
+    whole, begin = [], []
+    for at, i in enumerate(ids):
+        total, top = np.zeros(language_model.WIDTH), 0.0
+        for j in range(max(0, (at // step - 1) * step), at + 1):
+            weight = math.exp(float(t["q"][inputs[at]] @ t["k"][inputs[j]]) + float(p["d"][at - j]))
+            total, top = total + weight * t["v"][inputs[j]][:-1], top + weight
+        logit = np.tanh(t["r"][inputs[at]] + total / top @ p["a"]) @ p["o"] + p["b"]
+        prob = np.exp(logit - logit.max())
+        prob /= prob.sum()
+        whole.append(float(prob[model.class_of[i]] * model.shares[i]))
+        begin.append(float(sum(prob[c] for c in set(model.class_of[model.begins].tolist()))))
+    out = network = 0.0
+    at = 0
+    for w, parts in zip(words, spelled, strict=True):
+        value = math.log10(whole[at] / begin[at]) + sum(math.log10(x) for x in whole[at + 1 : at + len(parts)])
+        at += len(parts)
+        if w is not None:
+            value += math.log10(begin[at])
+        network += value
+        out += math.log10(share * 10**value + (1 - share) * own.get(w, 0.0))
+    return out, network
+
+
+def words_of(text):
+    return text.lower().split()
+
+
+def test_scores_are_the_plain_computation():
+    sub, model = _model()
+    texts = [b"", b"the cat sat", b"The DOG xylophone9 on the mat " * 12, "naïve cat!".encode(), b"cat"]
+    own = {b"the": 0.2, b"cat": 0.05, None: 0.05}
+    held = language_model.Words(sub)
+    places = held.places([words_of(t) for t in texts])
+    held.encode()
+    shares = np.array([own.get(w or None, 0.0) for w in held.index])
+    mixed, network = model.log10(places, held, shares)
+    for text, m, k in zip(texts, mixed, network, strict=True):
+        assert (m, k) == pytest.approx(_plain_probability(model, sub, text, own, language_model.NETWORK_SHARE), rel=1e-4, abs=1e-3)
+
+
+def test_learning_goes_on_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "ROUNDS", 5)
+    monkeypatch.setattr(language_model, "EVERY", 1)
+    path = language_model.default_vocabulary()
+    docs = spark.createDataFrame([(i, "the cat sat on the mat and the dog sat on the log " * 30) for i in range(40)], "doc_id long, text string").repartition(3)
+    begun = language_model.fitted(language_model.fit_sample(docs, max_rows=5), lambda raw, _: language_model.Model([language_model._subwords(path).encode(words_of(t))[0] for t in raw], language_model._subwords(path).begins, language_model._subwords(path).end, rounds=5))
+    after = language_model.learnt(docs, begun.data, path)
+    before = begun.get().weights()
+    assert after.shape == before.shape and not np.allclose(after, before) and np.isfinite(after).all()
+    assert language_model.learnt(docs.limit(0), begun.data, path) is None
+
+
 def test_windows_score_each_token_once_with_its_context():
     sub, model = _model()
     flat = sub.encode([b"the", b"dog", b"sat", b"on", b"a", b"mat"] * 9)[0].astype(np.int64)
