@@ -154,23 +154,38 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+_MADE: list[str] = []
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     Later jobs read the files, so nothing before them is run again, and the
-    loss of an executor loses nothing.  :func:`drop_tables` removes them.
+    loss of an executor loses nothing.  :func:`scratch` removes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Remove what :func:`table` has written in this application; frames that read it must be done."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder; frames that read it must be done."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Remove, at the end, the tables that :func:`table` has written within; results must be written elsewhere by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            remove(spark, path)
+        del _MADE[before:]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

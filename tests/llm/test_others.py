@@ -460,12 +460,50 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
 
+def _folder(spark, tmp_path, labels=(), items=()):
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
 def test_pipeline_of_awkward_documents(spark, tmp_path):
     import corpus_pipeline
 
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for docs in (awkward(spark), empty(spark)):
-        for name, stage in corpus_pipeline.STAGES[1:]:
-            docs = table(stage(spark, docs, str(tmp_path)))
-            assert docs.count() >= 0, name
+    stages = dict(corpus_pipeline.STAGES)
+    sf = _folder(spark, tmp_path, [(i, 1, 0) for i in range(1, 10)], [(1, "lorem ipsum dolor " * 5), (2, None), (3, "a text without a number that goes on for a while")])
+    ids = lambda df: sorted(r.doc_id or 0 for r in df.collect())
+    docs = clashing(awkward(spark)).drop("ids")
+    out = table(stages["quality"](spark, docs, sf))
+    assert ids(out) == ids(docs) and out.columns == docs.columns
+    out = table(stages["near_duplicates"](spark, out, sf))
+    assert ids(out) == [0, 1, 2, 3, 4, 5, 7, 8, 9] and out.columns == docs.columns
+    out = table(stages["decontaminate"](spark, out, sf))
+    assert ids(out) == [0, 1, 2, 3, 4, 5, 7, 9] and out.columns == docs.columns
+    out = table(stages["personal_data"](spark, out, sf))
+    assert {r.doc_id: r.text for r in out.collect()} == {r.doc_id: r.text for r in docs.collect() if r.doc_id not in (6, 8)}
+    out = {r.doc_id: r for r in stages["tokens"](spark, out, sf).collect()}
+    assert sorted(i or 0 for i in out) == [0, 1, 2, 3, 4, 5, 7, 9] and out[1].n_tokens == out[2].n_tokens == 0
+    assert all(len(r.ids) == r.n_tokens for r in out.values())
+
+
+def test_pipeline_without_labels_or_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = _folder(spark, tmp_path)
+    assert corpus_pipeline.STAGES[0][1](spark, awkward(spark), sf).count() == 0
+    docs = empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = table(stage(spark, docs, sf))
+        assert docs.count() == 0
+
+
+def test_tables_go_at_the_end_of_a_scratch(spark):
+    import glob
+
+    from tessera.llm.common import scratch, shared_dir
+
+    with scratch(spark):
+        table(spark.range(3))
+        made = set(glob.glob(f"{shared_dir(spark)}/tessera-*/*"))
+    gone = made - set(glob.glob(f"{shared_dir(spark)}/tessera-*/*"))
+    assert len(gone) == 1
