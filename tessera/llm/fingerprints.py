@@ -13,7 +13,8 @@ likeness = 1 - difference / largest difference lies between 0 and 1.
 
 Defined results: null and empty texts have the digest of no triplets (all codes
 0, length 0) and texts shorter than every triplet the codes 0 with their length; equal
-texts have equal digests; texts are read whole.
+texts have equal digests; texts are read whole; doc_id is read as a 64-bit
+integer where documents are ordered by it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BUCKETS = 256
 SPANS = ((2, 5), (3, 7), (5, 11))
 LENGTH_BASE = 1.1
 LENGTH_CAP = 24
+#: Sampled rows for each range that documents are cut into.
+CUT_ROWS = 40
 _MOST = BUCKETS * 6 + LENGTH_CAP
 
 
@@ -135,43 +138,68 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def ranges_of(k: np.ndarray, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many cuts (rows of two numbers, in order) are at most (k, h), row by row."""
+    keys, hashes = np.concatenate([cuts[:, 0], k]), np.concatenate([cuts[:, 1], h])
+    mine = np.arange(len(keys)) >= len(cuts)
+    order = np.lexsort((mine, hashes, keys))
+    below = np.cumsum(~mine[order])
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = below
+    return out[len(cuts) :]
+
+
+def _partition_keys(spark, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning deals there."""
+    out: dict[int, int] = {}
+    size = 64 * n
+    while len(out) < n:
+        rows = spark.range(size).select(F.col("id").cast("int").alias("i")).groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("p")).agg(F.min("i").alias("i")).collect()
+        out, size = {r.p: r.i for r in rows}, 2 * size
+    return [out[p] for p in range(n)]
+
+
 def with_next(df: DataFrame) -> DataFrame:
     """Documents dealt so that each is followed by its next one in descending order of doc_id.
 
-    Ids are cut into ranges at approximate quantiles (four ranges a shuffle
-    partition), each range is sorted by itself, and the first document of every
-    range is also dealt to the range before it, as its ``tail``.  Whole texts
-    are shuffled once; only the cuts and one id a range reach the driver.
-    After the last document comes the first.  Null ids come after all others;
-    rows of one id are ordered by their text.
+    Rows are cut into ranges by doc_id and a hash of the text, at quantiles of a
+    sample (four ranges a shuffle partition, neighbouring ones in one partition),
+    each range is sorted by itself, and the first document of every range is also
+    dealt to the range before it, as its ``tail``.  Whole texts are shuffled once;
+    only the sample's numbers (about ``CUT_ROWS`` a range) and one row a range
+    reach the driver.  After the last document comes the first.  Null ids come
+    after all others; rows of one id, as many as there may be, are ordered by the
+    hash and then the text, and split as others are; only equal rows stay together.
 
     Returns range, tail, doc_id, text, sorted within partitions.
     """
     spark = df.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    ids = df.select(key.alias("k"))
-    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.unique(np.array(ids.select(F.col("k").cast("double")).approxQuantile("k", [i / wanted for i in range(1, wanted)], 0.25 / wanted), dtype=np.float64))
-
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(dtype=np.float64), side="right"))
-
-    dealt = F.pandas_udf(range_of, "long")
-    firsts = sorted((r.range, r.k) for r in ids.withColumn("range", dealt("k")).groupBy("range").agg(F.max("k").alias("k")).collect())
-    first = {r: k for r, k in firsts}
-    names = [r for r, _ in firsts]
+    placed = df.select(key.alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "doc_id", "text")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    share = min(1.0, 4 * n * CUT_ROWS / max(1, df.count()))
+    some = placed.select("k", "h").where(F.pmod(F.xxhash64("h", "k"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().collect()
+    drawn = np.array(sorted((r.k, r.h) for r in some), dtype=np.int64).reshape(-1, 2)
+    cuts = np.unique(drawn[[len(drawn) * i // (4 * n) for i in range(1, 4 * n)]], axis=0) if len(drawn) else drawn
+
+    dealt = F.pandas_udf(lambda k, h: pd.Series(ranges_of(k.to_numpy(), h.to_numpy(), cuts)), "long")
+    ranged = placed.withColumn("range", dealt("k", "h"))
+    first = {r.range: (r.m.k, r.m.h) for r in ranged.groupBy("range").agg(F.max(F.struct("k", "h")).alias("m")).collect()}
+    names = sorted(first)
     above = {r: names[(i + 1) % len(names)] for i, r in enumerate(names)}
+    keys = _partition_keys(spark, n)
+    part = {r: keys[i * n // len(names)] for i, r in enumerate(names)}
 
-    def tail_of(k: pd.Series) -> pd.Series:
-        of = range_of(k)
-        return pd.Series([above[r] if first[r] == x else -1 for r, x in zip(of, k, strict=True)], dtype="int64")
+    def tail_of(k: pd.Series, h: pd.Series, of: pd.Series) -> pd.Series:
+        return pd.Series([above[r] if first[r] == (x, y) else -1 for x, y, r in zip(k, h, of, strict=True)], dtype="int64")
 
-    placed = df.select(key.alias("k"), "doc_id", "text").withColumns({"range": dealt("k"), "above": F.pandas_udf(tail_of, "long")("k")})
     own = F.struct(F.col("range"), F.lit(False).alias("tail"))
     also = F.struct(F.col("above").alias("range"), F.lit(True).alias("tail"))
-    twice = placed.withColumn("at", F.explode(F.when(F.col("above") < 0, F.array(own)).otherwise(F.array(own, also))))
-    n = max(1, wanted // 4)
-    return twice.select("at.range", "at.tail", "k", "doc_id", "text").repartition(n, "range").sortWithinPartitions("range", "tail", F.desc("k"), F.col("text")).select("range", "tail", "doc_id", "text")
+    beside = ranged.withColumn("above", F.pandas_udf(tail_of, "long")("k", "h", "range"))
+    twice = beside.withColumn("at", F.explode(F.when(F.col("above") < 0, F.array(own)).otherwise(F.array(own, also))))
+    where = F.pandas_udf(lambda r: r.map(part).astype("int32"), "int")
+    dealt_out = twice.select(where("at.range").alias("part"), "at.range", "at.tail", "k", "h", "doc_id", "text").repartition(n, "part")
+    return dealt_out.sortWithinPartitions("range", "tail", F.desc("k"), F.desc("h"), "text").select("range", "tail", "doc_id", "text")
 
 
 def neighbour_likeness(df: DataFrame) -> DataFrame:
