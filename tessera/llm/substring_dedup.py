@@ -18,8 +18,9 @@ Chunk borders may fall so that a shared passage holds few whole chunks.  Runs of
 ``SHARED`` words (between ASCII white space) that two documents share hold such a
 run in both, and a repeating run of words is a passage of any size.
 
-Counting chunks combines on the map side; marking them joins two shuffled
-sides, where Spark splits a digest that a third of all documents share.
+Chunks are made once and written.  Counting them combines on the map side;
+marking them joins two shuffled sides, where Spark splits a digest that a third
+of all documents share.
 
 Defined results: null and empty texts have no chunks; rows of one doc_id count
 as one document, whose repeats within itself are not passages, and rows without
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, per_batch, raw_texts
+from .common import mix64, per_batch, raw_texts, table
 
 MASK_BITS = 5
 SHORTEST, LONGEST = 24, 256
@@ -145,6 +146,16 @@ def repeating(found: DataFrame) -> DataFrame:
     return found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where(F.col("first_doc") != F.col("last_doc")).select("d1", "d2", "first_doc")
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """The chunks whose digest occurs in different documents.
+
+    Chunks are made once and written; the join reads both sides as they are
+    shuffled, so Spark can split a digest that a third of all chunks have.
+    """
+    found = table(chunks(docs))
+    return found.join(table(repeating(found)), ["d1", "d2"])
+
+
 def _runs(parts: list[dict]) -> list[tuple[int, int, list[dict]]]:
     parts = sorted(parts, key=lambda p: (p["begin"], p["end"]))
     out: list = []
@@ -173,8 +184,7 @@ def passages(docs: DataFrame) -> DataFrame:
     ``copied_bytes`` the bytes of them that an earlier document holds, and
     ``first_docs`` the first documents of their chunks.
     """
-    found = chunks(docs)
-    marked = found.join(repeating(chunks(docs)), ["d1", "d2"])
+    marked = repeated(docs)
     gathered = marked.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "gram", "first_doc")).alias("parts"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_passages long, repeated_bytes long, copied_bytes long, passages array<struct<begin:int,end:int>>, first_docs array<{kind}>"
@@ -203,8 +213,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     A text whose cut would split a character loses that character too.
     """
-    found = chunks(docs)
-    marked = found.join(repeating(chunks(docs)), ["d1", "d2"])
+    marked = repeated(docs)
     gathered = marked.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "gram", "first_doc")).alias("_parts"))
     names = docs.columns
     held = "_".join(["parts", *names])  # no column has this name
