@@ -17,12 +17,16 @@ its windows, or if any alignment has ``VERBATIM`` neighbouring words of the item
 word by word.  Windows need ``LITERALS`` literal words, or half
 their words where they are shorter, so lists of names or numbers match nothing.
 
-The windows of the benchmark sift the documents' windows on the executors as
-long as they fit ``SIFT_WINDOWS``; a larger benchmark skips the sift and all
-windows go through the same join by shuffle.
+The windows of the benchmark are made once and written.  Their hashes sift the
+documents' windows on the executors as long as they fit ``SIFT_BYTES``; a larger
+benchmark skips the sift and all windows go through the same join by shuffle.
+The windows with their values are broadcast as long as they fit
+``BROADCAST_BYTES``; larger ones are joined by shuffle.
 
 Defined results: null and empty texts and items leak nothing; equal pairs come
-once; rows of one doc_id count as one document; whole texts are read.
+once; rows of one doc_id count as one document, those without doc_id as one
+without a name, which :func:`clean` keeps; items of one item_id, or without one,
+count as one item; whole texts are read.
 """
 
 from __future__ import annotations
@@ -35,13 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, per_batch, texts
+from .common import mix64, per_batch, table, texts
 
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
 VERBATIM = 20
-SIFT_WINDOWS = 2_000_000
+SIFT_BYTES, BROADCAST_BYTES = 16_000_000, 16_000_000
 MEMO_WORDS = 400_000
 
 # Words for numbers and units.
@@ -179,15 +183,15 @@ def document_windows(docs: DataFrame, sizes: list[int], sift: np.ndarray | None)
     return per_batch(docs.select("doc_id", "text"), make, f"hash long, doc_id {kind}, doc_pos long, doc_slots array<string>")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, sift_windows: int = SIFT_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, sift_bytes: int = SIFT_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pairs of a document and an item that leaks into it: doc_id, item_id, n_windows, item_windows, coverage, reworded."""
-    bench = benchmark_windows(benchmark)
-    n = bench.count()
-    sizes = sorted(r.size for r in bench.select("size").distinct().collect())
-    small = n <= sift_windows
-    sift = np.array([r.hash for r in bench.select("hash").distinct().collect()], dtype=np.int64) if small else None
-    windows = document_windows(docs, sizes, sift)
-    joined = windows.join(F.broadcast(bench) if small else bench, "hash")
+    bench = table(benchmark_windows(benchmark))
+    hashes = bench.select("hash").distinct()
+    held = F.lit(40) + F.aggregate("item_slots", F.lit(0), lambda a, v: a + F.octet_length(v) + 16)
+    measured = bench.agg(F.countDistinct("hash").alias("n"), F.coalesce(F.sum(held), F.lit(0)).alias("bytes"), F.collect_set("size").alias("sizes")).first()
+    sift = hashes.toArrow().column("hash").to_numpy() if 8 * measured.n <= sift_bytes else None
+    windows = document_windows(docs, sorted(measured.sizes), sift)
+    joined = windows.join(F.broadcast(bench) if measured.bytes <= broadcast_bytes else bench, "hash")
     pair = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda s: F.struct(s["item_slots"].alias("i"), s["doc_slots"].alias("d")))
     runs = (
         joined.where(F.size("item_slots") == F.size("doc_slots"))

@@ -38,6 +38,25 @@ def test_neighbours_in_descending_order(spark, sf_dir):
     assert np.mean([r.near_edited > r.near_next or r.near_next == 1 for r in got.values()]) > 0.9
 
 
+def test_rows_of_one_id_and_ranges(spark):
+    draw = np.random.default_rng(3)
+    k, h = draw.integers(0, 5, 400), draw.integers(0, 5, 400)
+    cuts = np.unique(np.stack([draw.integers(0, 5, 9), draw.integers(0, 5, 9)], axis=1), axis=0)
+    assert fingerprints.ranges_of(k, h, cuts).tolist() == [sum(tuple(c) <= (a, b) for c in cuts.tolist()) for a, b in zip(k, h, strict=True)]
+    texts = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * (1 + i % 5)) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    got = fingerprints.with_next(docs)
+    sizes = [r["count"] for r in got.where("NOT tail").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 300 and max(sizes) < 150
+    seen = fingerprints.neighbour_likeness(docs).collect()
+    assert len(seen) == 300
+    followed = defaultdict(list)
+    for r in got.collect():  # within a range, each row's successor in the order
+        followed[r.range].append(r)
+    chain = [(a.doc_id, a.text, b.text) for part in followed.values() for a, b in zip(part, part[1:], strict=False) if not a.tail]
+    assert sorted(t for _, t, _ in chain) == sorted(t for _, t in texts) and sorted(t for *_, t in chain) == sorted(t for _, t in texts)
+
+
 def test_fingerprints_of_awkward_rows(spark):
     got = rows(fingerprints.neighbour_likeness(clashing(awkward(spark))))
     assert len(got) == 11
@@ -212,7 +231,7 @@ def test_leaks_are_the_items_in_the_documents(spark):
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in r.text.lower()}
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
     assert got == want
-    by_join = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, sift_windows=0).collect()}
+    by_join = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench, sift_bytes=-1, broadcast_bytes=-1).collect()}
     assert by_join == want
 
 
@@ -240,8 +259,8 @@ def test_changed_copies_merged_values_and_long_quotations(spark):
     part = quoted.split()[10:42]
     texts = [(1, "Intro words. " + changed), (2, "Intro words. " + merged), (3, "Before it " + " ".join(part) + " and after"), (4, "Before it " + " ".join(part[:15]) + " and after")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    for sift in (decontaminate.SIFT_WINDOWS, 0):
-        got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench, sift).collect()}
+    for sift in (decontaminate.SIFT_BYTES, -1):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench, sift, sift).collect()}
         assert set(got) == {(1, 1), (2, 1), (3, 2)}
         assert not got[1, 1].reworded and got[1, 1].n_windows < got[1, 1].item_windows
         assert got[2, 1].reworded and got[2, 1].coverage == 1
