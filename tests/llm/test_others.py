@@ -38,6 +38,36 @@ def test_neighbours_in_descending_order(spark, sf_dir):
     assert np.mean([r.near_edited > r.near_next or r.near_next == 1 for r in got.values()]) > 0.9
 
 
+def _plain_digest(raw):
+    """Length code and bucket codes of a text, byte by byte."""
+    counts = [0] * 256
+    for (second, third), (a, b, c) in zip(fingerprints.SPANS, fingerprints.TABLES.tolist(), strict=True):
+        for i in range(len(raw) - third):
+            counts[((a[raw[i]] + b[raw[i + second]]) & 255) ^ c[raw[i + third]]] += 1
+    quartiles = [sorted(counts)[64 * q - 1] for q in (1, 2, 3)]
+    code = [sum(n > q for q in quartiles) for n in counts]
+    packed = bytes(sum(code[4 * i + k] << (2 * k) for k in range(4)) for i in range(64))
+    length = 0 if not raw else min(255, 1 + int(math.log(len(raw)) / math.log(1.1)))
+    return f"{length:02x}{packed.hex()}", code, length
+
+
+def _plain_likeness(a, b):
+    apart = {0: 0, 1: 1, 2: 2, 3: 6}
+    total = sum(apart[abs(x - y)] for x, y in zip(a[1], b[1], strict=True)) + min(24, abs(a[2] - b[2]))
+    return 1 - total / (256 * 6 + 24)
+
+
+def test_digests_are_the_plain_computation():
+    draw = np.random.default_rng(12)
+    texts = [b"", b"a", b"short text", "naïve 漢字".encode() * 9, *(bytes(draw.integers(32, 60 + 9 * k, 50 * k, dtype=np.uint8)) for k in range(1, 9))]
+    plain = [_plain_digest(t) for t in texts]
+    got = fingerprints.digests(texts)
+    assert fingerprints.written(*got) == [p[0] for p in plain]
+    for i in range(len(texts)):
+        one = (got[0][[i] * len(texts)], got[1][[i] * len(texts)])
+        assert fingerprints.likeness(one, got).tolist() == pytest.approx([_plain_likeness(plain[i], p) for p in plain])
+
+
 def test_rows_of_one_id_and_ranges(spark):
     draw = np.random.default_rng(3)
     k, h = draw.integers(0, 5, 400), draw.integers(0, 5, 400)

@@ -41,6 +41,7 @@ def test_query_rows(spark, sf_dir, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+        assert r.n_corrected == 0
 
 
 def test_awkward_rows(spark, library):
