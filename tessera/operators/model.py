@@ -179,8 +179,11 @@ class BlockMixture:
 
     # -- the loop ---------------------------------------------------------------
 
-    def fit(self, cells: DataFrame, max_iter: int = 10, row_labels: DataFrame | None = None, col_labels: DataFrame | None = None) -> Fitted:
-        """Fit from cells (row_id, col_id, x), with x a double or an array of doubles; the matrix must be dense."""
+    def fit(self, cells: DataFrame, max_iter: int = 10, row_labels: DataFrame | None = None, col_labels: DataFrame | None = None, tell=None) -> Fitted:
+        """Fit from cells (row_id, col_id, x), with x a double or an array of doubles; the matrix must be dense.
+
+        ``tell(began, step)`` hears of every iteration of several workers, as ``sources.io.show_time`` does.
+        """
         began = time.perf_counter()
         spark = cells.sparkSession
         cells = self._vectors(cells)
@@ -203,12 +206,12 @@ class BlockMixture:
             return self._fit_in_one_task(rows, columns, prior, total, folder, began)
         dealt = self._dealt(rows, workers, n).persist()
         try:
-            return self._iterated(dealt, row_labels, columns, prior, n, total, folder, began)
+            return self._iterated(dealt, row_labels, columns, prior, n, total, folder, began, tell)
         finally:
             dealt.unpersist()
             remove_folder(spark, f"{folder}/rows")
 
-    def _iterated(self, dealt: DataFrame, row_labels: DataFrame | None, columns: np.ndarray, prior: Niw, n: int, total: int, folder: str, began: float) -> Fitted:
+    def _iterated(self, dealt: DataFrame, row_labels: DataFrame | None, columns: np.ndarray, prior: Niw, n: int, total: int, folder: str, began: float, tell=None) -> Fitted:
         spark, d = dealt.sparkSession, prior.d
         schema = "worker_id long, row_id long, local_k long"
         state, mapping, path = gibbs.State(columns, 1, None), {}, None
@@ -223,6 +226,7 @@ class BlockMixture:
             require(len({k for _, k, _ in clusters}) == n_k, "row labels must be numbered from 0 without gaps")
             state = gibbs.State(columns, n_k, self._grid(by_column, [k for _, k, _ in clusters], n_k, columns, d)[0])
         history: list[dict] = []
+        clock = time.perf_counter()
         for step in range(total):
             if path is not None:
                 last = spark.read.schema(schema).parquet(path).where("row_id IS NOT NULL")
@@ -240,6 +244,8 @@ class BlockMixture:
             state = gibbs.State(columns, n_k, grid)
             mapping = {(w, k): g for (w, k, _), g in zip(clusters, merged, strict=True)}
             history.append({"iteration": step + 1, "row_clusters": n_k, "col_clusters": int(columns.max()) + 1})
+            if tell is not None:
+                clock = tell(clock, f"iteration {step + 1}")
         named = spark.createDataFrame([(w, k, g) for (w, k), g in mapping.items()], "worker_id long, local_k long, k long")
         spark.read.schema(schema).parquet(path).where("row_id IS NOT NULL").join(F.broadcast(named), ["worker_id", "local_k"]).select("row_id", "k").write.parquet(f"{folder}/labels")
         remove_folder(spark, path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -62,13 +63,22 @@ def write_labels(row_labels: DataFrame, col_labels: DataFrame, path: str) -> Non
     col_labels.write.mode("overwrite").parquet(f"{path}/col_labels")
 
 
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small value as one line of JSON."""
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_results(spark: SparkSession, path: str, summary: dict) -> None:
     """Scores and runtime as one JSON record."""
-    spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    write_json(spark, path, summary)
 
 
-def write_prior(cells: DataFrame, path: str) -> None:
-    """Mean (a list) and inverse covariance (a list of rows) of all cells as JSON; cells are numbers or vectors of one dimension."""
+def write_prior(cells: DataFrame, path: str, name: str | None = None) -> None:
+    """Mean (a list) and inverse covariance (a list of rows) of all cells as JSON; cells are numbers or vectors of one dimension.
+
+    One record at ``path``; with the name of a data set, two: ``global_mean_NAME.json``
+    and ``global_precision_NAME.json`` below ``path``, the name up to its first dot.
+    """
     x = F.col("x") if cells.schema["x"].dataType.typeName() == "array" else F.array("x")
     vectors = cells.select(x.cast("array<double>").alias("x")).where(F.col("x")[0].isNotNull())
     d = vectors.agg(F.max(F.size("x"))).first()[0]
@@ -78,9 +88,20 @@ def write_prior(cells: DataFrame, path: str) -> None:
     scatter, n = np.zeros((d, d)), 0
     for r in pair_moments(vectors, "x", d).collect():
         scatter[r.i, r.j], n = r.s, r.n
-    precision = np.linalg.inv(scatter / (n - 1))
-    text = json.dumps({"mean": mean, "precision": precision.tolist()})
-    cells.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    precision = np.linalg.inv(scatter / (n - 1)).tolist()
+    if name is None:
+        write_json(cells.sparkSession, path, {"mean": mean, "precision": precision})
+        return
+    stem = name.split(".")[0]
+    write_json(cells.sparkSession, f"{path}/global_mean_{stem}.json", mean)
+    write_json(cells.sparkSession, f"{path}/global_precision_{stem}.json", precision)
+
+
+def show_time(began: float, step: str) -> float:
+    """Print the seconds since ``began`` (``time.perf_counter``) under the step's name; return the time now."""
+    now = time.perf_counter()
+    print(f"{step}: {now - began:.3f} s")
+    return now
 
 
 def show_scores(ari: float, nmi: float, n_clusters: int, runtime: float) -> str:

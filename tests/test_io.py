@@ -52,6 +52,9 @@ def test_info_and_results(spark, tmp_path):
     found = spark.read.json(str(tmp_path / "v")).first()
     assert found["mean"] == pytest.approx(x.mean(axis=0).tolist())
     assert np.array(found.precision) == pytest.approx(np.linalg.inv(np.cov(x.T)))
+    io.write_prior(spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double"), str(tmp_path / "named"), "set.v1.csv")
+    text = "".join(r.value for r in spark.read.text(str(tmp_path / "named" / "global_precision_set.json")).collect())
+    assert json.loads(text) == [[pytest.approx(1 / (14 / 6))]]
     assert "ARI: 1.0" in io.show_scores(1.0, 1.0, 9, 0.5)
 
 

@@ -89,6 +89,14 @@ def test_fit_of_vectors_from_given_labels(spark):
     assert _scores(spark, done, cells, 10).ari > 0.9
 
 
+def test_iterations_are_told(spark, capsys):
+    from tessera.sources.io import show_time
+
+    cells = datagen.block_matrix(spark, (6, 6), (3, 3), [[0, 5], [5, 0]], [[1, 1], [1, 1]], seed=1)
+    BlockMixture(seed=1, workers=2).fit(cells.select("row_id", "col_id", "x"), max_iter=2, tell=show_time)
+    assert [line.split(":")[0] for line in capsys.readouterr().out.splitlines() if line.startswith("iteration")] == ["iteration 1", "iteration 2"]
+
+
 def test_same_seed_same_labels(spark):
     cells = datagen.block_matrix(spark, (9, 9), (4, 4), [[-3.0, 0.0], [3.0, 6.0]], [[0.5, 0.5], [0.5, 0.5]], seed=5)
     runs = [sorted(map(tuple, BlockMixture(seed=9, workers=2).fit(c, max_iter=2).row_labels.collect())) for c in (cells, cells.repartition(7))]
