@@ -433,9 +433,20 @@ def _pairs(left: DataFrame, right: DataFrame, on: str, where) -> DataFrame:
 
 
 def _joined(label: DataFrame, known: DataFrame) -> DataFrame:
-    """Labels (point, c) brought up to date with the links among compared pairs."""
-    new = known.where("link").select("a", "b")
-    return table(components(label.select(F.col("point").alias("a"), F.col("c").alias("b")).unionByName(new)).withColumnRenamed("v", "point"))
+    """Labels (point, c) brought up to date with the links among compared pairs.
+
+    Only the labels of the links' ends are joined into components; the points of
+    a label that changes follow by one join.
+    """
+    new = table(known.where("link").select("a", "b"))
+    if new.isEmpty():
+        return label
+    ends = table(_labelled(new.select(F.col("a").alias("point")).unionByName(new.select(F.col("b").alias("point"))).distinct(), label))
+    of = lambda k: _small(ends).select(F.col("point").alias(k), F.col("c").alias(f"c_{k}"))
+    links = new.join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    moved = table(components(links).select(F.col("v").alias("c"), F.col("c").alias("to")))
+    fresh = ends.join(label, "point", "left_anti").select("point", "c")
+    return table(label.unionByName(fresh).join(_small(moved), "c", "left").select("point", F.coalesce("to", "c").alias("c")))
 
 
 def _labelled(df: DataFrame, label: DataFrame) -> DataFrame:
