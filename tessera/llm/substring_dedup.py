@@ -18,9 +18,8 @@ Chunk borders may fall so that a shared passage holds few whole chunks.  Runs of
 ``SHARED`` words (between ASCII white space) that two documents share hold such a
 run in both, and a repeating run of words is a passage of any size.
 
-Chunks are made once and written.  Counting them combines on the map side;
-marking them joins two shuffled sides, where Spark splits a digest that a third
-of all documents share.
+Counting chunks combines on the map side; marking them joins two shuffled
+sides, where Spark splits a digest that a third of all documents share.
 
 Defined results: null and empty texts have no chunks; rows of one doc_id count
 as one document, whose repeats within itself are not passages, and rows without
@@ -149,11 +148,12 @@ def repeating(found: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """The chunks whose digest occurs in different documents.
 
-    Chunks are made once and written; the join reads both sides as they are
-    shuffled, so Spark can split a digest that a third of all chunks have.
+    The repeating digests are written; the join reads both sides as they are
+    shuffled, so Spark can split a digest that a third of all chunks have.  The
+    chunks are made a second time for it: that costs less than to write all of
+    them and read them twice.
     """
-    found = table(chunks(docs))
-    return found.join(table(repeating(found)), ["d1", "d2"])
+    return chunks(docs).join(table(repeating(chunks(docs))), ["d1", "d2"])
 
 
 def _runs(parts: list[dict]) -> list[tuple[int, int, list[dict]]]:
