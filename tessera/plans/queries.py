@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import niw, rng, special
 from ..functions.niw import Scalar
 from ..operators import datagen, labels, posterior, score, stats
-from .matrices import B_SQL, COLUMN_CLUSTERS, DIMENSIONS, E_SQL, S_SQL, SEED, U_SQL, WORKERS, b_cells, e_cells, e_rows, s_cells, table, u_cells
+from .matrices import B_SQL, COLUMN_CLUSTERS, DIMENSIONS, E_SQL, S_SQL, SEED, U_SQL, b_cells, e_cells, e_rows, s_cells, table, u_cells
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
