@@ -408,10 +408,11 @@ def test_scores_are_the_plain_computation():
     sub, model = _model()
     texts = [b"", b"the cat sat", b"The DOG xylophone9 on the mat " * 12, "naïve cat!".encode(), b"cat"]
     own = {b"the": 0.2, b"cat": 0.05, None: 0.05}
-    held = language_model.Words(sub)
-    places = held.places([words_of(t) for t in texts])
-    held.encode()
-    shares = np.array([own.get(w or None, 0.0) for w in held.index])
+    held, index = language_model.Words(sub), language_model.numbers()
+    places = [language_model.numbered(words_of(t), index) for t in texts]
+    held.add(list(index)[1:])
+    shares = np.array([own.get(w or None, 0.0) for w in index])
+    assert [list(map(list, x)) if i == 1 else x for i, x in enumerate(language_model.unpacked(language_model.packed([1, None], places[:2], [b"a", b"b"])))] == [[1, None], list(map(list, places[:2])), [b"a", b"b"]]
     mixed, network = model.log10(places, held, shares)
     for text, m, k in zip(texts, mixed, network, strict=True):
         assert (m, k) == pytest.approx(_plain_probability(model, sub, text, own, language_model.NETWORK_SHARE), rel=1e-4, abs=1e-3)
