@@ -314,10 +314,12 @@ def _ids(found: list[tuple]) -> list[int]:
     return [int(i) for f in found if f[0] for i in f[1].split(",")]
 
 
-def _codec(model_path: str, held: dict = {}) -> Codec:  # noqa: B006 - one codec per worker process
+def _codec(model_path: str, memo_parts: int = MEMO_PARTS, held: dict = {}) -> Codec:  # noqa: B006 - one codec per worker process
     if model_path not in held:
         held.clear()
         held[model_path] = Codec(model_path)
+    if held[model_path].memo.size != memo_parts:
+        held[model_path].memo = TwoGenerationCache(memo_parts)
     claim("codec", held.clear)
     return held[model_path]
 
@@ -338,8 +340,11 @@ def _with(df: DataFrame, column: str, kind: str, f, source: str) -> DataFrame:
     return per_batch(df, make, schema, owner="codec")
 
 
-def encode(df: DataFrame, text: str = "text", out: str = "ids", check: str | None = None, model_path: str | None = None) -> DataFrame:
-    """Add the ids of every whole text as an array column; ``check`` names a column for whether they decode to it."""
+def encode(df: DataFrame, text: str = "text", out: str = "ids", check: str | None = None, model_path: str | None = None, memo_parts: int = MEMO_PARTS) -> DataFrame:
+    """Add the ids of every whole text as an array column; ``check`` names a column for whether they decode to it.
+
+    ``memo_parts`` bounds how many parts a worker remembers: memory against time, the ids are the same.
+    """
     from pyspark.sql import types as T
 
     path = model_path or default_model()
@@ -348,13 +353,13 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", check: str | Non
     schema = T.StructType([*kept, *T._parse_datatype_string(added).fields])
 
     def make():
-        codec = _codec(path)
+        codec = _codec(path, memo_parts)
 
         def one(batch):
             given = texts(batch.column(text))
             ids, same = [], []
             for t, (found, _) in zip(given, codec.encoded(given), strict=True):
-                ids.append(_ids(found))
+                ids.append(np.array(_ids(found), dtype=np.int32))
                 if check:
                     shown = b"".join([f[2] for f in found])
                     same.append((shown[1:] if shown[:1] == b" " else shown) == t.replace(MARK, " ").encode())
