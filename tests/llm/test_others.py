@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import time
 from collections import Counter, defaultdict
@@ -430,6 +431,21 @@ def test_learning_goes_on_over_all_documents(spark, monkeypatch):
     assert language_model.learnt(docs.limit(0), begun.data, path) is None
 
 
+def test_every_stretch_of_a_long_text_is_learnt_from(spark):
+    path = language_model.default_vocabulary()
+    sub = language_model._subwords(path)
+    some = [w.encode() for w in "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work government number night point home water room mother area money story fact month lot right study book eye job word business issue".split()]
+    ids = {w: int(sub.encode([w])[0][0]) for w in some if len(sub.encode([w])[0]) == 1}
+    assert len(ids) >= 40
+    text = b" ".join(w for w in ids for _ in range(96))
+    begun = language_model.Model([sub.encode(text.split())[0]], sub.begins, sub.end, rounds=2)
+    docs = spark.createDataFrame([(1, text.decode())], "doc_id long, text string")
+    before, after = begun.p["x"].copy(), language_model.learnt(docs, pickle.dumps(begun), path)
+    begun.take(after)
+    moved = np.abs(begun.p["x"] - before).max(axis=1) > 0
+    assert all(moved[begun.input_of[i]] for i in ids.values())
+
+
 def test_windows_score_each_token_once_with_its_context():
     sub, model = _model()
     flat = sub.encode([b"the", b"dog", b"sat", b"on", b"a", b"mat"] * 9)[0].astype(np.int64)
