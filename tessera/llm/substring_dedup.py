@@ -150,10 +150,24 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     Chunks are made once and written, which costs disk and saves a third of the
     time of making them twice; the join reads both sides as they are shuffled,
-    so Spark can split a digest that a third of all chunks have.
+    so Spark can split a digest that a third of all chunks have.  A chunk's place
+    travels as one long.
     """
-    found = table(chunks(docs))
-    return found.join(table(repeating(found)), ["d1", "d2"])
+    found = table(chunks(docs), "zstd")
+    placed = found.select("d1", "d2", "doc_id", packed().alias("place"))
+    marked = placed.join(table(repeating(found)), ["d1", "d2"])
+    return marked.select("d1", "d2", "doc_id", *unpacked(), "first_doc")
+
+
+def packed():
+    """begin, end and gram as one long."""
+    return F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("end").cast("long"), 1)).bitwiseOR(F.col("gram").cast("long"))
+
+
+def unpacked() -> list:
+    place = F.col("place")
+    low = place.bitwiseAND(F.lit((1 << 32) - 1))
+    return [F.shiftright(place, 32).cast("int").alias("begin"), F.shiftright(low, 1).cast("int").alias("end"), (place.bitwiseAND(F.lit(1)) == 1).alias("gram")]
 
 
 def _runs(parts: list[dict]) -> list[tuple[int, int, list[dict]]]:

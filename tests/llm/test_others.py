@@ -173,6 +173,14 @@ def test_copies_are_removed_once(spark):
     assert substring_dedup.without_copies(clashing(awkward(spark))).count() == 11
 
 
+def test_places_travel_as_one_long(spark):
+    places = [(0, 1, False), (0, 1, True), (3, 70_000, True), (2**31 - 2, 2**31 - 1, False), (2**31 - 2, 2**31 - 1, True)]
+    given = spark.createDataFrame(places, "begin int, end int, gram boolean")
+    held = given.select(substring_dedup.packed().alias("place"))
+    assert held.dtypes == [("place", "bigint")]
+    assert [tuple(r) for r in held.select(*substring_dedup.unpacked()).collect()] == places
+
+
 # ---------------------------------------------------------------- personal data
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
