@@ -6,7 +6,7 @@ less the Jaccard index, a metric; two sets link within ``EPSILON`` = 1 - 0.75.
 
 Equal sets become one point.  Unrelated texts are all at distance 1, so
 documents as pivots can't part them; an inverted index does that first: under
-one global order of shingles (sampled frequency, then hash) linked sets share
+one global order of shingles (frequency, then hash) linked sets share
 one of their first n - ceil(0.75 n) + 1 shingles, so every such shingle spans a
 region, a point lies in the regions of its own first shingles, and regions
 without a second point go; regions of the same points count as one, of their
@@ -28,9 +28,9 @@ bound the symmetric difference from below, keep pairs out that can't link.  No
 rule drops a linked pair, so every pair of linked points is compared or already
 connected, and components are exact.
 
-Frequent shingles are known from a bounded sample (about ``SAMPLE_DOCS``
-documents, at most ``MOST_FREQUENT`` shingles); it only orders shingles and
-spreads the rows of frequent ones, the result is the same for any order.
+Frequent shingles are counted over all documents, in counters of bounded number
+a task; at most ``MOST_FREQUENT`` of them order the shingles and have their rows
+spread, the result is the same for any order.
 Components are found by contracting links in the tasks that hold them, and by
 alternating stars on distributed tables where many links are left.  Shingles and sets are known by
 64-bit hashes.
@@ -57,9 +57,10 @@ WORDS = 5
 #: Link where 100 * intersection >= 75 * union.
 PERCENT = 75
 EPSILON = 0.25
-SAMPLE_DOCS = 64_000
 FREQUENT = 3
 MOST_FREQUENT = 200_000
+#: Shingles that a task counts at once.
+TASK_SHINGLES = 400_000
 #: Least number of parts of a frequent shingle's region, and rows of first shingles that a task sorts.
 SALTS, TASK_ROWS = 64, 1_000_000
 #: Rows of narrow and of wide tables that are broadcast, by count.
@@ -67,8 +68,8 @@ BROADCAST_ROWS, WIDE_ROWS = 400_000, 40_000
 #: Links that one task joins at once.
 ONE_TASK_LINKS = 500_000
 FIRST_PIVOTS, PIVOT_GROWTH = 1, 64
-#: Ranks of frequent shingles go up to this.
-MOST_RANK = 127
+#: Ranks of frequent shingles go up to this, by so many for each doubling of their number.
+MOST_RANK, RANKS_A_DOUBLING = 127, 5
 #: Bits of a sketch, kept as words of 64.
 BITS = 1024
 SKETCH = [f"w{k}" for k in range(BITS // 64)]
@@ -182,20 +183,48 @@ def document_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> D
     return per_batch(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, point long, first binary, last long, {', '.join(f'{w} long' for w in SKETCH)}")
 
 
+def fewer(shingles: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most so many counted shingles: each number is lowered by the first one that doesn't fit (Misra and Gries)."""
+    if len(n) <= most:
+        return shingles, n
+    n = n - np.partition(n, len(n) - most - 1)[len(n) - most - 1]
+    return shingles[n > 0], n[n > 0]
+
+
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that come in at least FREQUENT sampled documents, sorted, with their number; of more than MOST_FREQUENT the most frequent."""
-    share = SAMPLE_DOCS / max(SAMPLE_DOCS, docs.count())
-    drawn = docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))).select("text")
+    """Shingles that come in at least FREQUENT documents, sorted, with their ranks; of more than MOST_FREQUENT the most frequent.
+
+    All documents are counted.  A task holds at most ``TASK_SHINGLES`` counters;
+    what it holds too little of a shingle is at most its part's shingles divided
+    by that, so rare ones may go and frequent ones never do.
+    """
 
     def run(batches):
         claim(None)
-        for batch in pieces(batches):
-            sets = [shingle_set(t) for t in raw_texts(batch.column("text"))]
-            every = np.concatenate([np.zeros(0, np.uint64), *sets])
-            shingles, n = np.unique(every, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n)], names=["s", "n"])
+        shingles, n, new, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-    found = table(drawn.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("s", F.least("n", F.lit(MOST_RANK)).cast("byte").alias("n")))
+        def counted():
+            every = np.concatenate([shingles, *new])
+            order = np.argsort(every)
+            every, number = every[order], np.concatenate([n, np.ones(size, np.int64)])[order]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
+            return fewer(every[first], np.add.reduceat(number, first) if len(first) else number, TASK_SHINGLES)
+
+        for batch in pieces(batches):
+            for text in raw_texts(batch.column("text")):
+                new.append(shingle_set(text))
+                size += len(new[-1])
+                if size > 2 * TASK_SHINGLES:
+                    shingles, n = counted()
+                    new, size = [], 0
+        shingles, n = counted()
+        for at in range(0, len(n), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["s", "n"])
+
+    # Ranks grow with the logarithm, so that they tell shingles of millions of documents apart.
+    rank = F.least(F.floor(F.log2("n") * RANKS_A_DOUBLING), F.lit(MOST_RANK)).cast("byte")
+    counts = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "s long, n long")
+    found = table(counts.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("s", rank.alias("n")))
     held, least = 0, MOST_RANK + 1
     for n, many in sorted(((r.n, r["count"]) for r in found.groupBy("n").count().collect()), reverse=True):
         held += many

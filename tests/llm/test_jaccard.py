@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -149,3 +150,18 @@ def test_sketches_bound_the_intersection():
 def test_hash_agrees_for_equal_words():
     assert j.word_hashes(b"Hello, hello, HELLO,").tolist()[0] == j.word_hashes(b"x hello,").tolist()[1]
     assert len(j.word_hashes(b"a\x0bb\x0cc\xc2\xa0d")) == 3
+
+
+def test_frequent_shingles_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(j, "SAMPLE_DOCS", 10, raising=False)
+    texts = [f"five words that all share {i} own{i} words{i} here{i} too{i}" for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shared = j.shingle_set(b"five words that all share")[0]
+    rank = lambda n: math.floor(math.log2(n) * j.RANKS_A_DOUBLING)
+    shingles, ranks = j.frequent_shingles(docs)
+    assert dict(zip(shingles.tolist(), ranks.tolist(), strict=True)) == {int(shared): rank(600)}
+    # With few counters a task loses at most its part's shingles divided by them.
+    monkeypatch.setattr(j, "TASK_SHINGLES", 50)
+    shingles, ranks = j.frequent_shingles(docs)
+    assert rank(600 - 600 * 6 / 50) <= dict(zip(shingles.tolist(), ranks.tolist(), strict=True))[int(shared)] <= rank(600)
+    assert len(j.frequent_shingles(empty(spark))[0]) == 0
