@@ -29,7 +29,7 @@ rule drops a linked pair, so every pair of linked points is compared or already
 connected, and components are exact.
 
 Frequent shingles are counted over all documents, in counters of bounded number
-a task; at most ``MOST_FREQUENT`` of them order the shingles and have their rows
+a task, small parts together; at most ``MOST_FREQUENT`` of them order the shingles and have their rows
 spread, the result is the same for any order.
 Components are found by contracting links in the tasks that hold them, and by
 alternating stars on distributed tables where many links are left.  Shingles and sets are known by
@@ -44,6 +44,7 @@ component; whole texts are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, mix64, per_batch, pieces, raw_texts, table
+from .common import claim, drop_table, mix64, per_batch, pieces, raw_texts, table
 
 WORDS = 5
 #: Link where 100 * intersection >= 75 * union.
@@ -59,8 +60,8 @@ PERCENT = 75
 EPSILON = 0.25
 FREQUENT = 3
 MOST_FREQUENT = 200_000
-#: Shingles that a task counts at once.
-TASK_SHINGLES = 400_000
+#: Shingles that a task counts at once, and bytes of files that one counts at least, unless cores were idle then.
+TASK_SHINGLES, COUNTED_BYTES = 400_000, 16_000_000
 #: Least number of parts of a frequent shingle's region, and rows of first shingles that a task sorts.
 SALTS, TASK_ROWS = 64, 1_000_000
 #: Rows of narrow and of wide tables that are broadcast, by count.
@@ -73,6 +74,8 @@ MOST_RANK, RANKS_A_DOUBLING = 127, 5
 #: Bits of a sketch, kept as words of 64.
 BITS = 1024
 SKETCH = [f"w{k}" for k in range(BITS // 64)]
+#: Words of the folded sketch.
+FOLDED = [f"f{k}" for k in range(8)]
 
 _BYTE = np.random.default_rng(314159).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -191,17 +194,25 @@ def fewer(shingles: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, n
     return shingles[n > 0], n[n > 0]
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that come in at least FREQUENT documents, sorted, with their ranks; of more than MOST_FREQUENT the most frequent.
+def _file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a frame reads, as Spark estimates them; far too many where it can't tell."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+
+
+def shingle_counts(docs: DataFrame) -> DataFrame:
+    """s and n: shingles and in how many of a task's documents they come.
 
     All documents are counted.  A task holds at most ``TASK_SHINGLES`` counters;
     what it holds too little of a shingle is at most its part's shingles divided
-    by that, so rare ones may go and frequent ones never do.
+    by that, and one, so rare ones may go and frequent ones never do.  A task
+    whose shingles all fit its counters lowers none and returns each, and many
+    small ones would return most of the table's: small parts are put together.
     """
 
     def run(batches):
         claim(None)
-        shingles, n, new, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        shingles, n, new, size, lowered = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0, False
 
         def counted():
             every = np.concatenate([shingles, *new])
@@ -216,15 +227,23 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 size += len(new[-1])
                 if size > 2 * TASK_SHINGLES:
                     shingles, n = counted()
-                    new, size = [], 0
+                    new, size, lowered = [], 0, True
         shingles, n = counted()
+        if lowered:  # what came once since tells no more than what went
+            shingles, n = shingles[n > 1], n[n > 1]
         for at in range(0, len(n), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(shingles[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["s", "n"])
 
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-_file_bytes(docs) // COUNTED_BYTES))
+    some = docs.where(F.col("doc_id").isNotNull()).select("text")
+    return some.coalesce(min(tasks, (1 << 31) - 1)).mapInArrow(run, "s long, n long")
+
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come in at least FREQUENT documents, sorted, with their ranks; of more than MOST_FREQUENT the most frequent."""
     # Ranks grow with the logarithm, so that they tell shingles of millions of documents apart.
     rank = F.least(F.floor(F.log2("n") * RANKS_A_DOUBLING), F.lit(MOST_RANK)).cast("byte")
-    counts = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "s long, n long")
-    found = table(counts.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("s", rank.alias("n")))
+    found = table(shingle_counts(docs).groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("s", rank.alias("n")))
     held, least = 0, MOST_RANK + 1
     for n, many in sorted(((r.n, r["count"]) for r in found.groupBy("n").count().collect()), reverse=True):
         held += many
@@ -260,7 +279,7 @@ def postings(sets: DataFrame, salts: int = SALTS) -> DataFrame:
                 salt = np.where(rank > 0, point % salts, -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(salt), pa.array(point), pa.array(np.repeat(np.array([sizes[i] for i in some], dtype=np.int32), keep))], names=["s", "salt", "point", "n"])
 
-    return sets.where(F.col("point").isNotNull()).select("point", "n_shingles", "first").mapInArrow(run, "s long, salt int, point long, n int")
+    return sets.where(F.col("doc_id").isNotNull() & F.col("point").isNotNull()).select("point", "n_shingles", "first").mapInArrow(run, "s long, salt int, point long, n int")
 
 
 def regions(found: DataFrame, parts: int) -> DataFrame:
@@ -445,11 +464,15 @@ def _needed():
     return F.greatest(F.ceil((n_a + n_b) * PERCENT / (100 + PERCENT)) - rest, F.lit(1))
 
 
-def _may_link(weight: str):
+def _near(words: list[str]):
+    """Whether sketches of two points, of the words given, let them link."""
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words[1:]), F.bit_count(F.col(f"{words[0]}_a").bitwiseXOR(F.col(f"{words[0]}_b"))))
+    return (F.col("n_a") + F.col("n_b")) * (100 - PERCENT) >= apart * (100 + PERCENT)
+
+
+def _may_link(weight: str, words: list[str] = SKETCH):
     """What two points must fulfil to link: sizes, shared weight (bounded by each one's) and sketches."""
-    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in SKETCH[1:]), F.bit_count(F.col(f"{SKETCH[0]}_a").bitwiseXOR(F.col(f"{SKETCH[0]}_b"))))
-    near = (F.col("n_a") + F.col("n_b")) * (100 - PERCENT) >= apart * (100 + PERCENT)
-    return _fits("n_a", "n_b") & (F.least(f"{weight}_a", f"{weight}_b") >= _needed()) & near
+    return _fits("n_a", "n_b") & (F.least(f"{weight}_a", f"{weight}_b") >= _needed()) & _near(words)
 
 
 def _side(df: DataFrame, k: str, keep: tuple = ()) -> DataFrame:
@@ -506,6 +529,18 @@ def cell_rounds(docs: DataFrame, cells: DataFrame, label: DataFrame) -> DataFram
         step += 1
 
 
+def folded() -> dict:
+    """A sketch of fewer bits from the whole one: parities by fewer hash bits are sums of parities."""
+    return {f: reduce(lambda x, y: x.bitwiseXOR(y), [F.col(w) for w in SKETCH[k :: len(FOLDED)]]) for k, f in enumerate(FOLDED)}
+
+
+def _sketched(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """The pairs (a, b) that whole sketches let link, with the documents of both; only sketches of points in pairs are shuffled."""
+    pairs = _small(table(pairs.select("a", "b")))
+    side = lambda k: _side(cells.select("point", "doc", "n", *SKETCH), k)
+    return side("a").join(pairs, "a").join(side("b").join(pairs.select("b"), "b", "left_semi"), "b").where(_near(SKETCH))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Pairs with the greater point first."""
     up = F.col("a") > F.col("b")
@@ -515,7 +550,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def boundary_rounds(docs: DataFrame, cells: DataFrame, members: DataFrame, label: DataFrame) -> DataFrame:
     """Labels after all linked pairs are connected that share a region and lie in different cells."""
     pivots, step = FIRST_PIVOTS, 0
-    own = cells.select("point", "doc", "n", "last", "cell", *SKETCH)
+    # Points meet with a folded sketch, as each one comes with all of its regions.
+    own = cells.withColumns(folded()).select("point", "n", "last", "cell", *FOLDED)
     while True:
         labelled = _labelled(members, label)
         held = table(labelled.groupBy("region").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("region", "size"))
@@ -530,21 +566,25 @@ def boundary_rounds(docs: DataFrame, cells: DataFrame, members: DataFrame, label
         some = _small(drawn)
         reached = members.drop("degree").join(own, "point")
         theirs = _small(table(members.drop("degree", "weight").join(some, "point", "left_semi").join(own, "point")), WIDE_ROWS)
-        met = _pairs(reached, theirs, "region", (F.col("cell_a") != F.col("cell_b")) & (F.col("c_a") != F.col("c_b")) & _may_link("reach"))
+        met = _pairs(reached, theirs, "region", (F.col("cell_a") != F.col("cell_b")) & (F.col("c_a") != F.col("c_b")) & _may_link("reach", FOLDED))
         # A linked pair meets at its first region within both points' reach; what the rows left out could add to its weight is bounded too.
-        pairs = met.groupBy("a", "b", "doc_a", "doc_b").agg(F.max(_needed()).alias("needed"), F.sum("weight_a").alias("shared"), F.min(F.least("reach_a", "reach_b") - F.col("weight_a")).alias("left"))
+        pairs = met.groupBy("a", "b").agg(F.max(_needed()).alias("needed"), F.sum("weight_a").alias("shared"), F.min(F.least("reach_a", "reach_b") - F.col("weight_a")).alias("left"))
         pairs = pairs.where(F.col("shared") + F.least(F.col("left"), F.col("needed") - 1) >= F.col("needed"))
-        label = _joined(label, compare(docs, _ordered(pairs)))
+        label = _joined(label, compare(docs, _ordered(_sketched(pairs, cells))))
         members = members.join(some, "point", "left_anti").select("region", "point", "weight")
         pivots *= PIVOT_GROWTH
         step += 1
 
 
 def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFrame:
-    """Links (a, b) between points that connect whatever any links connect."""
+    """Links (a, b) between points that connect whatever any links connect.
+
+    The table of ``sets`` with their first shingles, much the largest, is removed as soon as the regions are written.
+    """
     rows = points.agg(F.sum(F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     where = table(regions(postings(sets, max(SALTS, parts)), parts))
+    drop_table(sets)
     members = table(where.groupBy("region", "point").agg(F.sum("weight").alias("weight")))
     sizes = _small(table(members.groupBy("region").agg(F.count(F.lit(1)).alias("size"))))
     own = members.join(sizes, "region").groupBy("point").agg(F.sum("weight").alias("weight"), F.sum(F.col("size") * F.col("weight")).alias("degree"))
@@ -572,11 +612,13 @@ def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFram
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = docs.select("doc_id", "text")
-    sets = table(document_sets(docs, frequent_shingles(docs)))
-    named = sets.where(F.col("doc_id").isNotNull() & F.col("point").isNotNull())
+    whole_sets = table(document_sets(docs, frequent_shingles(docs)))
+    sets = table(whole_sets.select("doc_id", "n_shingles", "point"))
+    known = F.col("doc_id").isNotNull() & F.col("point").isNotNull()
+    named = sets.where(known)
     least = named.groupBy("point").agg(F.min("doc_id").alias("doc"))
-    points = table(least.join(named.select(F.col("doc_id").alias("doc"), "point", F.col("n_shingles").cast("int").alias("n"), "last", *SKETCH), ["doc", "point"]).dropDuplicates(["point"]))
-    links = point_links(docs, named, points)
+    points = table(least.join(whole_sets.where(known).select(F.col("doc_id").alias("doc"), "point", F.col("n_shingles").cast("int").alias("n"), "last", *SKETCH), ["doc", "point"]).dropDuplicates(["point"]))
+    links = point_links(docs, whole_sets, points)
     # An id with several texts ties their sets together.
     tied = named.groupBy("doc_id").agg(F.min("point").alias("a"), F.max("point").alias("b")).where("a <> b").select("a", "b")
     several = named.select("doc_id", "point").join(named.groupBy("doc_id").agg(F.min("point").alias("b"), F.max("point").alias("t")).where("b <> t").select("doc_id", "b"), "doc_id").select(F.col("point").alias("a"), "b").where("a <> b")

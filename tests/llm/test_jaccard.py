@@ -165,3 +165,70 @@ def test_frequent_shingles_are_counted_over_all_documents(spark, monkeypatch):
     shingles, ranks = j.frequent_shingles(docs)
     assert rank(600 - 600 * 6 / 50) <= dict(zip(shingles.tolist(), ranks.tolist(), strict=True))[int(shared)] <= rank(600)
     assert len(j.frequent_shingles(empty(spark))[0]) == 0
+
+
+def test_many_small_tasks_return_few_counts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(j, "TASK_SHINGLES", 200)
+    texts = [f"five words that all share {i} own{i} words{i} here{i} too{i}" for i in range(3000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(60).write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        assert docs.rdd.getNumPartitions() == 60
+        counts = j.shingle_counts(docs).collect()
+        shared = int(j.shingle_set(b"five words that all share")[0].view("int64"))
+        # Each of a few tasks lowers its counts, and all rows but the shared shingle's come once.
+        assert len(counts) <= spark.sparkContext.defaultParallelism
+        assert 3000 - 3000 * 6 / 200 <= sum(r.n for r in counts if r.s == shared) <= 3000
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_folded_sketches_bound_the_intersection(spark):
+    import numpy as np
+
+    draw = random.Random(3)
+    rows = []
+    for k in range(40):
+        s = np.unique(np.array([draw.getrandbits(64) for _ in range(draw.randint(1, 90))], dtype=np.uint64))
+        rows.append((k, s, j.sketch(s).tolist()))
+    df = spark.createDataFrame([(k, *w) for k, _, w in rows], f"point long, {', '.join(f'{w} long' for w in j.SKETCH)}").withColumns(j.folded())
+    bits = {r.point: np.array([r[f] for f in j.FOLDED]).view(np.uint64) for r in df.collect()}
+    for k, s, _ in rows:
+        size = 64 * len(j.FOLDED)
+        want = np.bincount((s & np.uint64(size - 1)).astype(int), minlength=size) & 1
+        assert np.array_equal(bits[k], np.packbits(want.astype(bool)).view("<u8"))
+
+
+def test_boundaries_shuffle_folded_sketches_only(spark, monkeypatch):
+    """Of the points that meet in regions, whole sketches are joined for pairs only."""
+    seen, pairs = [], j._pairs
+    monkeypatch.setattr(j, "_pairs", lambda left, right, on, where: seen.append((on, [*left.columns, *right.columns])) or pairs(left, right, on, where))
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    passages = [[draw.choice(vocabulary) for _ in range(30)] for _ in range(6)]
+    texts = []
+    for _ in range(150):
+        own = [*draw.choice(passages), *draw.choice(passages)]
+        own[draw.randrange(60)] = draw.choice(vocabulary)
+        texts.append(" ".join(own))
+    _check(spark, texts)
+    met = [columns for on, columns in seen if on == "region"]
+    assert met and not any(w in columns for columns in met for w in j.SKETCH)
+
+
+def test_first_shingles_go_when_regions_are_written(spark, monkeypatch):
+    import os
+
+    made, there, table, rounds = [], [], j.table, j.cell_rounds
+
+    def noted(df, *a):
+        out = table(df, *a)
+        made.append((df.columns, out.written_to))
+        return out
+
+    monkeypatch.setattr(j, "table", noted)
+    monkeypatch.setattr(j, "cell_rounds", lambda *a: there.extend(c for c, path in made if os.path.exists(path)) or rounds(*a))
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(40)], "doc_id long, text string")
+    assert j.classes(docs).count() == 40
+    assert any("first" in c for c, _ in made) and there and not any("first" in c for c in there)
