@@ -32,6 +32,8 @@ count as one item; whole texts are read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ COVERAGE = 0.5
 VERBATIM = 20
 SIFT_BYTES, BROADCAST_BYTES = 16_000_000, 16_000_000
 MEMO_WORDS = 400_000
+#: Characters of the texts that are read at once.
+BLOCK_CHARS = 1_000_000
 
 # Words for numbers and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half twice".split())
@@ -59,6 +63,16 @@ _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW
 Slots = list
 
 
+class _Index(dict):
+    """Numbers of words; a new word is learnt when it is asked for."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        return self.learn(word)
+
+
 class Templates:
     """Words to template symbols, with a bounded memo."""
 
@@ -66,46 +80,69 @@ class Templates:
         self._reset()
 
     def _reset(self):
-        self.index: dict[str, int] = {}
+        self.index = _Index(self._learn)
         self.hashes: list[int] = []
         self.kinds: list[int] = []
         self.ends: list[bool] = []
-        self.tables = None
+        self.tables = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8), np.zeros(0, dtype=bool))
 
     def _learn(self, word: str) -> int:
-        core = word.strip(_EDGE)
-        low = core.lower()
-        if _NUMBER.fullmatch(core) or low in NUMBER_WORDS:
-            kind = NUMBER
-        elif low in UNIT_WORDS:
-            kind = UNIT
+        if word.islower() and word.isalpha():  # as most words: no marks, no digits, no capitals
+            low, ends = word, False
+            kind = NUMBER if word in NUMBER_WORDS else UNIT if word in UNIT_WORDS else LITERAL
         else:
-            kind = NAME if core[:1].isupper() and core[1:] == low[1:] and len(core) > 1 else LITERAL
-        self.index[word] = k = len(self.hashes)
+            core = word.strip(_EDGE)
+            low = core.lower()
+            if _NUMBER.fullmatch(core) or low in NUMBER_WORDS:
+                kind = NUMBER
+            elif low in UNIT_WORDS:
+                kind = UNIT
+            else:
+                kind = NAME if core[:1].isupper() and core[1:] == low[1:] and len(core) > 1 else LITERAL
+            ends = word.rstrip("\"')]*_”’»")[-1:] in (".", "!", "?", ":", "|") or not core
+        self.index[word] = k = len(self.index)
         self.hashes.append(xxhash.xxh3_64_intdigest(low.encode()))
         self.kinds.append(kind)
-        self.ends.append(word.rstrip("\"')]*_”’»")[-1:] in (".", "!", "?", ":", "|") or not core)
+        self.ends.append(ends)
         return k
 
-    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, symbol hashes and kinds."""
-        words = text.split()
+    def read_many(self, block: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, symbol hashes and kinds of some texts, one after the other, and where each one begins, with the end.
+
+        What new words add to the tables is appended once a block, as that copies them.
+        """
+        split = [t.split() for t in block]
+        bounds = np.concatenate([[0], np.cumsum([len(w) for w in split], dtype=np.int64)])
+        words = split[0] if len(split) == 1 else list(chain.from_iterable(split))
         if len(self.index) > MEMO_WORDS:
             self._reset()
-        get = self.index.get
-        at = list(map(get, words))
-        if None in at:
-            at = [self._learn(w) if (k := get(w)) is None else k for w in words]
-        if self.tables is None or len(self.tables[0]) != len(self.hashes):
-            have = 0 if self.tables is None else len(self.tables[0])
-            new = (np.array(self.hashes[have:], dtype=np.uint64), np.array(self.kinds[have:], dtype=np.int8), np.array(self.ends[have:], dtype=bool))
-            self.tables = new if have == 0 else tuple(np.concatenate(p) for p in zip(self.tables, new, strict=True))
-        at = np.array(at, dtype=np.int64)
+        at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.hashes:
+            new = (np.array(self.hashes, dtype=np.uint64), np.array(self.kinds, dtype=np.int8), np.array(self.ends, dtype=bool))
+            self.tables = tuple(np.concatenate(p) for p in zip(self.tables, new, strict=True))
+            self.hashes, self.kinds, self.ends = [], [], []
         kinds = self.tables[1][at]
         if len(at):
             begins = np.concatenate([[True], self.tables[2][at[:-1]]])
+            begins[bounds[:-1][bounds[:-1] < len(at)]] = True
             kinds = np.where((kinds == NAME) & begins, LITERAL, kinds)
-        return words, np.where(kinds == LITERAL, self.tables[0][at], _KIND_HASH[kinds]), kinds
+        return words, np.where(kinds == LITERAL, self.tables[0][at], _KIND_HASH[kinds]), kinds, bounds
+
+    def read(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words, symbol hashes and kinds."""
+        return self.read_many([text])[:3]
+
+
+def blocks(held: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts of about BLOCK_CHARS, with the place of the first one."""
+    at, size = 0, 0
+    for k, text in enumerate(held):
+        if size and size + len(text) > BLOCK_CHARS:
+            yield at, held[at:k]
+            at, size = k, 0
+        size += len(text)
+    if at < len(held):
+        yield at, held[at:]
 
 
 def window_hashes(symbols: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +199,9 @@ def document_windows(docs: DataFrame, sizes: list[int], sift: np.ndarray | None)
 
         def one(batch):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-                words, symbols, kinds = reader.read(text)
+            ids = batch.column("doc_id").to_pylist()
+            for place, block in blocks(texts(batch.column("text"))):
+                words, symbols, kinds, bounds = reader.read_many(block)
                 for size in sizes:
                     begins, hashes = window_hashes(symbols, kinds, size)
                     if wanted is not None and len(begins):
@@ -172,7 +210,10 @@ def document_windows(docs: DataFrame, sizes: list[int], sift: np.ndarray | None)
                         if len(begins):
                             near = wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
                             begins, hashes = begins[near], hashes[near]
-                    rows += [(h, doc, b, _slots(words, kinds, b, size)) for b, h in zip(begins.tolist(), hashes.astype(np.int64).tolist(), strict=True)]
+                    of = np.searchsorted(bounds, begins, side="right") - 1
+                    within = begins + size <= bounds[of + 1]  # no window holds words of two texts
+                    begins, hashes, of = begins[within], hashes[within], of[within]
+                    rows += [(h, ids[place + k], b - first, _slots(words, kinds, b, size)) for b, h, k, first in zip(begins.tolist(), hashes.astype(np.int64).tolist(), of.tolist(), bounds[of].tolist(), strict=True)]
             if not rows:
                 return None
             cols = list(zip(*rows, strict=True))

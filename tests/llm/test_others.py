@@ -306,6 +306,38 @@ def test_changed_copies_merged_values_and_long_quotations(spark):
         assert got[3, 2].n_windows == 25 and got[3, 2].item_windows == 52
 
 
+def test_new_words_cost_the_same_however_many_are_known():
+    texts = [" ".join(f"new{i}x{k}" for k in range(3)) for i in range(8000)]
+
+    def seconds(known):
+        reader = decontaminate.Templates()
+        reader.read(" ".join(f"old{i}" for i in range(known)))
+        began = time.process_time()
+        for _, block in decontaminate.blocks(texts) if hasattr(decontaminate, "blocks") else ((0, [t]) for t in texts):
+            getattr(reader, "read_many", lambda one: reader.read(one[0]))(block)
+        return time.process_time() - began
+
+    assert seconds(300_000) < 5 * seconds(1_000) + 0.2
+
+
+def test_blocks_read_as_texts_alone(spark, monkeypatch):
+    held = ["He met Alice. Then Bob left", "", "Paris is far", "  ", "one Two three. Four", "so Rome", "", *(" ".join(["Filler words"] * k) for k in range(9))]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
+    assert [t for _, block in decontaminate.blocks(held) for t in block] == held and len(list(decontaminate.blocks(held))) > 3
+    reader, alone = decontaminate.Templates(), decontaminate.Templates()
+    words, symbols, kinds, bounds = reader.read_many(held)
+    for k, text in enumerate(held):
+        w, s, c = alone.read(text)
+        part = slice(bounds[k], bounds[k + 1])
+        assert words[part] == w and symbols[part].tolist() == s.tolist() and kinds[part].tolist() == c.tolist()
+    # A window over the end of one text and the beginning of the next is nobody's.
+    item = ITEM.split()
+    docs = spark.createDataFrame([(1, " ".join(item[:12])), (2, " ".join(item[12:])), (3, "x " + ITEM)], "doc_id long, text string").coalesce(1)
+    got = decontaminate.document_windows(docs, [8], None).groupBy("doc_id").count().collect()
+    count = lambda n: len(decontaminate.window_hashes(*decontaminate.Templates().read(n)[1:], 8)[0])
+    assert {r.doc_id: r["count"] for r in got} == {i: count(t) for i, t in ((1, " ".join(item[:12])), (2, " ".join(item[12:])), (3, "x " + ITEM))}
+
+
 # ---------------------------------------------------------------- language model
 
 
