@@ -32,6 +32,7 @@ count as one item; whole texts are read.
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Iterator
 from itertools import chain
 
@@ -64,13 +65,13 @@ Slots = list
 
 
 class _Index(dict):
-    """Numbers of words; a new word is learnt when it is asked for."""
+    """Numbers of words; a new word is learnt when it is asked for.  It doesn't hold its reader, which goes with its task."""
 
     def __init__(self, learn):
         self.learn = learn
 
     def __missing__(self, word: str) -> int:
-        return self.learn(word)
+        return self.learn()(word)
 
 
 class Templates:
@@ -80,7 +81,7 @@ class Templates:
         self._reset()
 
     def _reset(self):
-        self.index = _Index(self._learn)
+        self.index = _Index(weakref.WeakMethod(self._learn))
         self.hashes: list[int] = []
         self.kinds: list[int] = []
         self.ends: list[bool] = []

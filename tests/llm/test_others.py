@@ -320,6 +320,21 @@ def test_new_words_cost_the_same_however_many_are_known():
     assert seconds(300_000) < 5 * seconds(1_000) + 0.2
 
 
+def test_a_reader_goes_without_the_collector():
+    import gc
+    import weakref
+
+    gc.disable()
+    try:
+        reader = decontaminate.Templates()
+        reader.read("some new words")
+        held = weakref.ref(reader)
+        del reader
+        assert held() is None
+    finally:
+        gc.enable()
+
+
 def test_blocks_read_as_texts_alone(spark, monkeypatch):
     held = ["He met Alice. Then Bob left", "", "Paris is far", "  ", "one Two three. Four", "so Rome", "", *(" ".join(["Filler words"] * k) for k in range(9))]
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
