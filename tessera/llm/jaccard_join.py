@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, drop_table, mix64, per_batch, pieces, raw_texts, table
+from .common import claim, drop_table, mix64, per_batch, pieces, raw_texts, relieve, table
 
 WORDS = 5
 #: Link where 100 * intersection >= 75 * union.
@@ -487,7 +487,9 @@ def _pairs(left: DataFrame, right: DataFrame, on: str, where) -> DataFrame:
 def _joined(label: DataFrame, known: DataFrame) -> DataFrame:
     """Labels (point, c) brought up to date with the links among compared pairs."""
     new = known.where("link").select("a", "b")
-    return table(components(label.select(F.col("point").alias("a"), F.col("c").alias("b")).unionByName(new)).withColumnRenamed("v", "point"))
+    joined = table(components(label.select(F.col("point").alias("a"), F.col("c").alias("b")).unionByName(new)).withColumnRenamed("v", "point"))
+    relieve(label.sparkSession)
+    return joined
 
 
 def _labelled(df: DataFrame, label: DataFrame) -> DataFrame:
@@ -585,6 +587,7 @@ def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFram
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     where = table(regions(postings(sets, max(SALTS, parts)), parts))
     drop_table(sets)
+    relieve(docs.sparkSession)
     members = table(where.groupBy("region", "point").agg(F.sum("weight").alias("weight")))
     sizes = _small(table(members.groupBy("region").agg(F.count(F.lit(1)).alias("size"))))
     own = members.join(sizes, "region").groupBy("point").agg(F.sum("weight").alias("weight"), F.sum(F.col("size") * F.col("weight")).alias("degree"))
@@ -599,6 +602,7 @@ def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFram
     asked = home.unionByName(between).distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link("weight"))
     near = compare(docs, _ordered(asked))
     label = table(components(near.where("link").select("a", "b")).withColumnRenamed("v", "point"))
+    relieve(docs.sparkSession)
     both = near.select("a", "b", "distance").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     homes = home.join(both, ["a", "b"], "left").select(F.col("a").alias("point"), F.col("b").alias("home"), "distance")
     # A point without a home is its own, at distance 0; one that can't link with its home isn't compared and has no distance.
@@ -612,7 +616,9 @@ def point_links(docs: DataFrame, sets: DataFrame, points: DataFrame) -> DataFram
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = docs.select("doc_id", "text")
-    whole_sets = table(document_sets(docs, frequent_shingles(docs)))
+    frequent = frequent_shingles(docs)
+    relieve(docs.sparkSession)
+    whole_sets = table(document_sets(docs, frequent))
     sets = table(whole_sets.select("doc_id", "n_shingles", "point"))
     known = F.col("doc_id").isNotNull() & F.col("point").isNotNull()
     named = sets.where(known)

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -232,3 +233,25 @@ def test_first_shingles_go_when_regions_are_written(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(40)], "doc_id long, text string")
     assert j.classes(docs).count() == 40
     assert any("first" in c for c, _ in made) and there and not any("first" in c for c in there)
+
+
+def test_the_driver_forgets_what_is_done(spark, monkeypatch):
+    """What only the driver's garbage holds goes when it is relieved, as every round of the join does."""
+    from tessera.llm.common import relieve
+
+    jvm = spark.sparkContext._jvm
+    done = jvm.java.lang.ref.WeakReference(jvm.java.util.ArrayList())
+    relieve(spark, 1.1)  # a heap never passes its most
+    for _ in range(20):  # Python lets go of it by and by
+        relieve(spark)
+        if gone := bool(done.refersTo(None)):
+            break
+        time.sleep(0.2)
+    assert gone
+    times, joined = [], []
+    monkeypatch.setattr(j, "relieve", lambda s: times.append(s))
+    rounds = j._joined
+    monkeypatch.setattr(j, "_joined", lambda *a: joined.append(a) or rounds(*a))
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(40)], "doc_id long, text string")
+    assert j.classes(docs).count() == 40
+    assert joined and len(times) >= len(joined) + 3
