@@ -35,10 +35,12 @@ from .common import TwoGenerationCache, claim, per_batch, texts
 
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
-MEMO_PARTS = 500_000
-#: Bytes of text whose parts are learnt together, and the longest part for the matrix agenda.
+#: Parts that each of a memo's two generations holds, and the longest part that is remembered.
+MEMO_PARTS, MEMO_CHARS = 400_000, 256
+#: Bytes of text whose parts are learnt together, the longest part for the matrix agenda, and symbols in one matrix.
 BLOCK_BYTES = 2_000_000
 SHORT = 48
+MATRIX_SYMBOLS = 400_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -85,7 +87,7 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary has pieces across word starts")
         self.unknown = lib.unk_id()
-        self.id_text = [str(i) for i in range(n)]
+        self.id_text = [b"%d" % i for i in range(n)]
         self._pair_tables()
         self.plain = lib.normalize("  ﬁ a  b ") == "  ﬁ a  b ".replace(" ", MARK).join([MARK, ""])
         self.memo = TwoGenerationCache(MEMO_PARTS)
@@ -235,15 +237,21 @@ class Codec:
                 out.extend([self.unknown] if None in spelled else spelled)
         return out
 
-    def learn(self, new: set[str]) -> tuple[dict[str, tuple], int]:
-        """Encode new parts, check them against the library in one call and keep them; also counts corrections."""
+    def learn(self, new: set[str]) -> tuple[dict[str, bytes | tuple], int]:
+        """Encode new parts, check them against the library in one call and keep them; also counts corrections.
+
+        A part is kept as its ids in decimals, and if these don't decode to the part itself, with what they show.
+        """
         sized: dict[int, list[str]] = {}
         for p in new:
             sized.setdefault(len(p) // 4 if len(p) < SHORT else -1, []).append(p)
         new, made = [], []
         for size, parts in sized.items():
             new += parts
-            made += [self.agenda(p) for p in parts] if size < 0 else self.matrix_agenda(parts)
+            step = len(parts) if size < 0 else MATRIX_SYMBOLS // (4 * size + 5)
+            for at in range(0, len(parts), step):
+                some = parts[at : at + step]
+                made += [self.agenda(p) for p in some] if size < 0 else self.matrix_agenda(some)
         wrong = 0
         if self.plain:
             checked = self.library.encode([p.replace(MARK, " ") for p in new], num_threads=1)
@@ -254,12 +262,19 @@ class Codec:
                     made[k] = checked[k]
         shown, id_text, put, out = self.shown, self.id_text, self.memo.put, {}
         for p, ids in zip(new, made, strict=True):
-            out[p] = f = (len(ids), ",".join([id_text[i] for i in ids]), b"".join([shown[i] for i in ids]))
-            put(p, f)
+            out[p] = f = b",".join([id_text[i] for i in ids])
+            if (whole := b"".join([shown[i] for i in ids])) != (MARK + p).replace(MARK, " ").encode():
+                out[p] = f = (f, whole)
+            if len(p) <= MEMO_CHARS:
+                put(p, f)
         return out, wrong
 
     def encoded(self, many: list[str]):
-        """Per text its parts as (count, ids as text, shown bytes), and the corrections made for it.
+        """Per text the ids of its parts, in decimals, and the corrections made for it."""
+        return ((found, wrong) for found, _, wrong in self.shown_too(many))
+
+    def shown_too(self, many: list[str]):
+        """Per text the ids of its parts, in decimals, the bytes that they decode to, and the corrections made for it.
 
         Texts are taken in blocks of about BLOCK_BYTES, whose new parts are learnt together.
         """
@@ -276,7 +291,7 @@ class Codec:
         cut = [self.parts(t) for t in block]
         young, old = self.memo.young, self.memo.old
         found = [list(map(young.get, parts)) for parts in cut]
-        here: dict[str, tuple] = {}
+        here: dict[str, bytes | tuple] = {}
         lacking = {p for parts, f in zip(cut, found, strict=True) if None in f for p, x in zip(parts, f, strict=True) if x is None}
         for p in [p for p in lacking if p in old]:
             here[p] = old[p]
@@ -290,11 +305,16 @@ class Codec:
         for parts, f in zip(cut, found, strict=True):
             if None in f:
                 f = [here[p] if x is None else x for p, x in zip(parts, f, strict=True)]
-            yield f, wrong
+            if tuple in set(map(type, f)):
+                whole = b"".join([x[1] if type(x) is tuple else (MARK + p).replace(MARK, " ").encode() for p, x in zip(parts, f, strict=True)])
+                f = [x[0] if type(x) is tuple else x for x in f]
+            else:
+                whole = (MARK + MARK.join(parts)).replace(MARK, " ").encode() if parts else b""
+            yield f, whole[1:] if whole[:1] == b" " else whole, wrong
             wrong = 0
 
-    def encoded_parts(self, text: str) -> tuple[list[tuple], int]:
-        return next(iter(self._block([text])))
+    def encoded_parts(self, text: str) -> tuple[list[bytes], int]:
+        return next(self.encoded([text]))
 
     def encode(self, text: str) -> tuple[list[int], int]:
         found, wrong = self.encoded_parts(text)
@@ -310,8 +330,8 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-def _ids(found: list[tuple]) -> list[int]:
-    return [int(i) for f in found if f[0] for i in f[1].split(",")]
+def _ids(found: list[bytes]) -> list[int]:
+    return list(map(int, b",".join(found).split(b","))) if found else []
 
 
 def _codec(model_path: str, memo_parts: int = MEMO_PARTS, held: dict = {}) -> Codec:  # noqa: B006 - one codec per worker process
@@ -358,11 +378,10 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", check: str | Non
         def one(batch):
             given = texts(batch.column(text))
             ids, same = [], []
-            for t, (found, _) in zip(given, codec.encoded(given), strict=True):
+            for t, (found, shown, _) in zip(given, codec.shown_too(given), strict=True):
                 ids.append(np.array(_ids(found), dtype=np.int32))
                 if check:
-                    shown = b"".join([f[2] for f in found])
-                    same.append((shown[1:] if shown[:1] == b" " else shown) == t.replace(MARK, " ").encode())
+                    same.append(shown == t.replace(MARK, " ").encode())
             cols = [*(batch.column(c.name) for c in kept), pa.array(ids, pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays([*cols, pa.array(same)] if check else cols, names=[f.name for f in schema])
 
@@ -391,11 +410,9 @@ def roundtrip_digests(df: DataFrame, model_path: str | None = None) -> DataFrame
 
         def one(batch):
             rows = []
-            for found, wrong in codec.encoded(texts(batch.column("text"))):
-                shown = b"".join([f[2] for f in found])
-                shown = shown[1:] if shown[:1] == b" " else shown
-                joined = ",".join([f[1] for f in found]).encode()
-                rows.append((sum([f[0] for f in found]), hashlib.sha256(joined).hexdigest(), hashlib.sha256(shown).hexdigest(), wrong))
+            for found, shown, wrong in codec.shown_too(texts(batch.column("text"))):
+                joined = b",".join(found)
+                rows.append((joined.count(b",") + 1 if found else 0, hashlib.sha256(joined).hexdigest(), hashlib.sha256(shown).hexdigest(), wrong))
             n, a, b, w = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(w, pa.int64())], names=names)
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import pytest
 import sentencepiece
@@ -56,3 +57,33 @@ def test_awkward_rows(spark, library):
     assert codec.encode(clashing(awkward(spark))).schema["ids"].dataType.simpleString() == "array<int>"
     assert codec.decode(spark.createDataFrame([(None,)], "ids array<int>")).first().decoded == ""
     assert docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_the_memo_is_small(library):
+    """A remembered part costs its ids in decimals beside the part itself; what decodes otherwise and long parts keep their results."""
+    held = codec.Codec(codec.default_model())
+    texts = [f"word{i} {i}" for i in range(3_000)] + ["y" * 5_000, "a ▁b", "caf́e \U0001d518"]
+    for text, (found, shown, _) in zip(texts, held.shown_too(texts), strict=True):
+        assert codec._ids(found) == library.encode(text)
+        assert shown == library.decode(codec._ids(found)).encode()
+    kept = held.memo.young
+    assert len(kept) > 6_000 and max(map(len, kept)) <= codec.MEMO_CHARS
+    assert all(type(v) is bytes for v in kept.values())
+    assert sum(map(sys.getsizeof, kept.values())) < 60 * len(kept)
+
+
+def test_matrices_are_bounded(monkeypatch):
+    held = codec.Codec(codec.default_model())
+    sizes, matrix = [], held.matrix_agenda
+    monkeypatch.setattr(held, "matrix_agenda", lambda parts: sizes.append(len(parts) * (1 + max(map(len, parts)))) or matrix(parts))
+    texts = [" ".join(f"w{i * 77_777:011d}" for i in range(k, k + 20_000)) for k in range(0, 60_000, 20_000)]
+    list(held.encoded(texts))
+    assert len(sizes) > 1 and max(sizes) <= codec.MATRIX_SYMBOLS
+
+
+def test_pieces_that_show_otherwise(library):
+    """Parts whose ids decode to something else are kept with it."""
+    held = codec.Codec(codec.default_model())
+    held.shown = [x.replace(b"q", b"Q") for x in held.shown]
+    ((found, shown, _),) = held.shown_too(["ab q cd q"])
+    assert codec._ids(found) == library.encode("ab q cd q") and shown == b"ab Q cd Q"
