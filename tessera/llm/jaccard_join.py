@@ -257,7 +257,10 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(sets: DataFrame, salts: int = SALTS) -> DataFrame:
-    """s, salt, point and size for the first shingles of every set; salt spreads frequent shingles (-1: not frequent)."""
+    """salt, s, point and size for the first shingles of every set; salt spreads frequent shingles (-1: not frequent).
+
+    What most rows have in common comes first, so that a shuffled row takes fewer bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -277,9 +280,9 @@ def postings(sets: DataFrame, salts: int = SALTS) -> DataFrame:
                 rank = np.concatenate([np.frombuffer(firsts[i], dtype=np.uint8, offset=8 * k) for i, k in zip(some, keep, strict=True)])
                 point = np.repeat(np.array([points[i] for i in some], dtype=np.int64), keep)
                 salt = np.where(rank > 0, point % salts, -1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(salt), pa.array(point), pa.array(np.repeat(np.array([sizes[i] for i in some], dtype=np.int32), keep))], names=["s", "salt", "point", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(salt), pa.array(s), pa.array(point), pa.array(np.repeat(np.array([sizes[i] for i in some], dtype=np.int32), keep))], names=["salt", "s", "point", "n"])
 
-    return sets.where(F.col("doc_id").isNotNull() & F.col("point").isNotNull()).select("point", "n_shingles", "first").mapInArrow(run, "s long, salt int, point long, n int")
+    return sets.where(F.col("doc_id").isNotNull() & F.col("point").isNotNull()).select("point", "n_shingles", "first").mapInArrow(run, "salt int, s long, point long, n int")
 
 
 def regions(found: DataFrame, parts: int) -> DataFrame:
@@ -292,7 +295,7 @@ def regions(found: DataFrame, parts: int) -> DataFrame:
     """
 
     def run(batches):
-        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("s", "salt", "point", "n")] for b in batches]
         if not held:
             return
         s, salt, point, size = (np.concatenate(c) for c in zip(*held, strict=True))

@@ -255,3 +255,11 @@ def test_the_driver_forgets_what_is_done(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(40)], "doc_id long, text string")
     assert j.classes(docs).count() == 40
     assert joined and len(times) >= len(joined) + 3
+
+
+def test_what_postings_share_is_shuffled_first(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(8)], "doc_id long, text string")
+    found = j.postings(j.document_sets(docs, j.frequent_shingles(docs)))
+    assert found.columns == ["salt", "s", "point", "n"]
+    held = j.regions(found, 3).collect()
+    assert held and {r.n for r in held} == {5}
