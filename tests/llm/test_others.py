@@ -501,6 +501,78 @@ def test_every_stretch_of_a_long_text_is_learnt_from(spark):
     assert all(moved[begun.input_of[i]] for i in ids.values())
 
 
+def test_documents_are_encoded_once_while_they_are_learnt_from(spark):
+    path = language_model.default_vocabulary()
+    sub = language_model._subwords(path)
+    pairs = [(i, t) for i, t in enumerate(["the cat sat on the mat " * 40, None, "", "naïve CAT! xylophone9", "the dog\tsat", "a b c " * 9, "cat"] * 4)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    begun = language_model.begin(docs, path)
+    read = table(language_model.blocks(docs, begun.data, path))
+    weights, ids = language_model.gathered(read, begun.data)
+    spell = lambda t: [*sub.encode(words(t))[0].tolist(), sub.end]
+    assert ids.tolist() == np.bincount([i for k, t in pairs if fold(k, 5) != 1 for i in spell(t)], minlength=sub.size).tolist()
+    assert weights.shape == begun.get().weights().shape and np.isfinite(weights).all()
+    found, held = [], {}
+    for r in read.where("docs is not null").orderBy("block", "place").collect():  # scoring takes the ids from here
+        held.setdefault(r.block, language_model.Words(begun.get())).take(bytes(r.ids))
+        keys, places, new = language_model.unpacked(bytes(r.docs))
+        found += [(k, held[r.block].spelled(at)[0].tolist()) for k, at in zip(keys, places, strict=True)]
+        assert new == []
+    assert sorted(found) == [(k, spell(t)) for k, t in pairs]
+
+
+def test_steps_of_learning_are_the_plain_ones():
+    sub, begun = _model()
+    rows = [sub.encode(t.split())[0] for t in (b"the cat sat on the log and the dog " * 9, b"a mat", b"", b"the dog sat " * 30)]
+    flat = np.concatenate([np.append(r, sub.end) for r in rows]).astype(np.int64)
+    cur, before, targets = begun.windows(flat, np.array([len(r) + 1 for r in rows]))
+    step = language_model.STEP
+
+    def loss(p, some):
+        i, j, y = cur[some], np.concatenate([before[some], cur[some]], axis=1), targets[some]
+        x = p["x"][j]
+        near = (x[:, step:] @ p["q"]) @ (x @ p["k"]).transpose(0, 2, 1) * language_model.WIDTH**-0.5 + p["d"][begun.gaps]
+        near = np.exp(np.where(begun.allowed & (j != begun.none)[:, None], near, -1e9))
+        out = near @ (x @ p["v"]) / np.maximum(near.sum(2), 1e-30)[..., None]
+        logit = np.tanh(p["x"][i] @ p["r"] + out @ p["a"] + p["c"]) @ p["o"] + p["b"]
+        price = np.log(np.exp(logit).sum(2)) - np.take_along_axis(logit, begun.class_of[np.maximum(y, 0)][..., None], 2)[..., 0]
+        return price[y >= 0].mean()
+
+    def slope(k, at, some):
+        p = {name: v.astype(float) for name, v in begun.p.items()}
+        ends = []
+        for move in (1e-5, -1e-5):
+            p[k] = begun.p[k].astype(float)
+            p[k][at] += move
+            ends.append(loss(p, some))
+        return (ends[0] - ends[1]) / 2e-5
+
+    draw, halves, rate, checked = np.random.default_rng(5), (np.arange(0, len(cur), 2), np.arange(1, len(cur), 2)), 0.01, 0
+    for k in list(begun.p):
+        used = np.unravel_index(draw.choice(begun.p[k].size, 8), begun.p[k].shape) if k != "x" else (draw.choice(np.unique(cur), 8), draw.integers(0, language_model.WIDTH, 8))
+        for at in zip(*used, strict=True):
+            begun.take(begun.weights())
+            kept, learn = begun.weights().copy(), begun.learner()
+            one, value = slope(k, at, halves[0]), float(begun.p[k][at])
+            learn(cur[halves[0]], before[halves[0]], targets[halves[0]], rate)
+            two, after = slope(k, at, halves[1]), float(begun.p[k][at])
+            learn(cur[halves[1]], before[halves[1]], targets[halves[1]], rate)
+            if min(abs(one), abs(two)) > 1e-5:
+                assert after - value == pytest.approx(-rate * np.sign(one), rel=0.05)
+                want = -rate / 0.19 * (0.09 * one + 0.1 * two) / math.sqrt((0.0099 * one**2 + 0.01 * two**2) / (1 - 0.99**2))
+                assert float(begun.p[k][at]) - after == pytest.approx(want, rel=0.05, abs=1e-4)
+                checked += 1
+            begun.take(kept)
+    assert checked > 30
+
+
+def test_tall_products_by_parts():
+    draw = np.random.default_rng(2)
+    for n in (0, 1, 511, 512, 1024, 1300):
+        a, b = draw.normal(size=(n, 5)), draw.normal(size=(n, 3))
+        assert np.allclose(language_model.crossed(a, b, 256), a.T @ b)
+
+
 def test_windows_score_each_token_once_with_its_context():
     sub, model = _model()
     flat = sub.encode([b"the", b"dog", b"sat", b"on", b"a", b"mat"] * 9)[0].astype(np.int64)
