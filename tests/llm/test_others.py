@@ -521,6 +521,14 @@ def test_documents_are_encoded_once_while_they_are_learnt_from(spark):
     assert sorted(found) == [(k, spell(t)) for k, t in pairs]
 
 
+def test_words_of_several_blocks_are_counted_together(spark):
+    rows = [(1, b"a", 1, 2), (2, b"a", 5, 3), (7, b"a", 3, 0), (2, b"b", 1, 0), (7, b"b", 2, 0), (7, b"", 0, 4), (1, None, 0, None)]
+    read = spark.createDataFrame(rows, "block long, word binary, place int, c long").repartition(3)
+    got = language_model.word_counts(read).collect()
+    assert sorted(tuple(r)[:3] for r in got) == [(1, 1, 5), (2, 5, 5), (7, 0, 4), (7, 3, 5)]
+    assert sorted((r.c, r.block) for r in got if r["first"]) == [(4, 7), (5, 1)]
+
+
 def test_steps_of_learning_are_the_plain_ones():
     sub, begun = _model()
     rows = [sub.encode(t.split())[0] for t in (b"the cat sat on the log and the dog " * 9, b"a mat", b"", b"the dog sat " * 30)]
