@@ -529,8 +529,11 @@ def test_words_of_several_blocks_are_counted_together(spark):
     assert sorted((r.c, r.block) for r in got if r["first"]) == [(4, 7), (5, 1)]
 
 
-def test_steps_of_learning_are_the_plain_ones():
+@pytest.mark.parametrize("times", [1, 20])  # the second beyond what exp takes as it is
+def test_steps_of_learning_are_the_plain_ones(times):
     sub, begun = _model()
+    begun.p["o"] = begun.p["o"] * np.float32(times)
+    begun.p["q"] = begun.p["q"] * np.float32(times**1.5)
     rows = [sub.encode(t.split())[0] for t in (b"the cat sat on the log and the dog " * 9, b"a mat", b"", b"the dog sat " * 30)]
     flat = np.concatenate([np.append(r, sub.end) for r in rows]).astype(np.int64)
     cur, before, targets = begun.windows(flat, np.array([len(r) + 1 for r in rows]))
